@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gleaner.llm import quality, sharding
+from gleaner.llm import quality, sharding, simhash
 
 QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
     "op8_sharding": sharding.op8_sharding,
     "op10_quality": quality.op10_quality,
 }
