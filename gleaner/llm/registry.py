@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gleaner.llm import quality, sharding, simhash
+from gleaner.llm import quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op8_sharding": sharding.op8_sharding,
     "op10_quality": quality.op10_quality,
