@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gleaner.llm import language, quality, sharding, simhash, toxicity
+from gleaner.llm import decontaminate, language, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_language_id": language.op3_language_id,
     "op5_simhash": simhash.op5_simhash,
     "op8_sharding": sharding.op8_sharding,
