@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from gleaner.llm import decontaminate, language, quality, sharding, simhash, toxicity
+from gleaner.llm import decontaminate, language, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_language_id": language.op3_language_id,
+    "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
     "op8_sharding": sharding.op8_sharding,
     "op10_quality": quality.op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.MIXING_SQL}
