@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import bytescan
-from gleaner.llm.common import read_table, small_or_not
+from gleaner.llm.common import read_table, small_or_not, stored
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -169,7 +169,7 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, consi
     table[asked.select(F.expr(f"cast(pmod(h, {TABLE_BITS}L) as int)").alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
     sizes = asked.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
     held = spark.sparkContext.broadcast(table)
-    found = docs.mapInArrow(_held(held), f"id {dict(docs.dtypes)['id']}, k long, h long, pos long, template array<long>, literal array<long>")
+    found = stored(docs.mapInArrow(_held(held), f"id {dict(docs.dtypes)['id']}, k long, h long, pos long, template array<long>, literal array<long>"))
     hits = found.join(small_or_not(asked, 200), "h")
     pairs = hits.groupBy("id", "k", "item_id").agg(F.countDistinct("h").alias("n_found")).join(small_or_not(sizes, 40), "item_id").where(F.col("n_found") >= coverage * F.col("n_windows"))
     slots = hits.select(

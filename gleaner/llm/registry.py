@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import decontaminate, language, mixing, quality, sharding, simhash, toxicity
+from gleaner.llm import chat, decontaminate, language, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,7 +10,8 @@ QUERIES = {
     "op3_language_id": language.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
+    "op7_chat": chat.op7_chat,
     "op8_sharding": sharding.op8_sharding,
     "op10_quality": quality.op10_quality,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.MIXING_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.MIXING_SQL, "op7_chat": chat.CHAT_SQL}
