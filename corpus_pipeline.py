@@ -13,7 +13,7 @@ from gleaner.llm.common import read_table, shared_folder
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the base rules or the n-gram likelihood ratio reject."""
-    return quality.quality(docs, quality.trusted_ids(spark, sf_dir)).where("kept").select(docs.columns)
+    return quality.kept_rows(docs, quality.trusted_ids(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACES, read_table, small_or_not, words_of
+from gleaner.llm.common import SPACE_RUN, read_table, small_or_not, words_of
 
 SLOTS = 1 << 16
 SMOOTHING = 0.5
@@ -46,49 +46,64 @@ def slot_weights(counts: DataFrame, slots: int = SLOTS, smoothing: float = SMOOT
     return row.select(F.transform("all", lambda s: F.log((s["target"] + a) / (F.col("t") + mass)) - F.log((s["raw"] + a) / (F.col("r") + mass))).alias("weights"))
 
 
-def base_measures(docs: DataFrame) -> DataFrame:
-    """`docs` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; null text: no words.
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: `body` with `value`, computed once, under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    n_repeat_words compares three-word windows by a 64-bit hash.
+
+def judgement(text: str, weights: str, slots: int, threshold: float) -> str:
+    """SQL of a text's measures and verdict, a struct; `text` and `weights` are columns.
+
+    All in one expression, so that a filter on the verdict costs no second look at the text.
+    n_repeat_words compares three-word windows by a 64-bit hash: windows are sorted by hash, those
+    equal to a neighbour are put in order of place, and each covers three words less what the next
+    one covers again.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    df = docs.withColumn("_w", words_of(text)).withColumn("_l", lines)
-    df = df.withColumn("_h", F.expr("transform(if(size(_w) < 3, array(), sequence(0, size(_w) - 3)), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2]))"))
-    # Starts of repeated windows in ascending order; each covers three words, less what the next one covers again.
-    df = df.withColumn("_s", F.expr("if(size(array_distinct(_h)) = size(_h), cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(_h, (h, i) -> struct(h as h, i as i))))"))
-    df = df.withColumn("_p", F.expr("sort_array(transform(filter(_s, (s, k) -> s.h <=> get(_s, k - 1).h or s.h <=> get(_s, k + 1).h), s -> s.i))"))
-    df = df.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (p, k) -> least(3, coalesce(get(_p, k + 1) - p, 3))), 0L, (a, x) -> a + x)"))
-    return df.select(
-        *docs.columns,
-        "_w",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-    ).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    space = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
+    words = f"array_remove(split(t, '{SPACE_RUN}'), '')".replace("\\", "\\\\")
+    hashes = "if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))"
+    twice = _let("s", "sort_array(transform(h, (x, i) -> struct(x as x, i as i)))", "sort_array(transform(filter(s, (e, k) -> e.x <=> get(s, k - 1).x or e.x <=> get(s, k + 1).x), e -> e.i))")
+    starts = f"if(size(array_distinct(h)) = size(h), cast(array() as array<int>), {twice})"
+    covered = _let("p", starts, "aggregate(transform(p, (q, k) -> least(3, coalesce(get(p, k + 1) - q, 3))), 0L, (a, x) -> a + x)")
+    one, two = f"v[cast(pmod(xxhash64(w[i]), {slots}) as int)]", f"v[cast(pmod(xxhash64(w[i], w[i + 1]), {slots}) as int)]"
+    ratio = f"if(size(w) = 0, 0D, aggregate(sequence(0, size(w) - 1), 0D, (a, i) -> a + {one} + if(i + 1 < size(w), {two}, 0D)) / (2 * size(w) - 1))"
+    of_words = _let("w", words, _let("v", weights, f"named_struct('n_words', cast(size(w) as bigint), 'n_repeat_words', {_let('h', hashes, covered)}, 'llr', {ratio})"))
+    lines = _let("l", f"filter(split(t, '\\\\n'), x -> length(translate(x, {space}, '')) > 0)", "cast(size(l) - size(array_distinct(l)) as bigint)")
+    verdict = (
+        f"named_struct('n_words', m.n_words, 'word_chars', cast(length(translate(t, {space}, '')) as bigint), 'n_symbols', cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as bigint),"
+        f" 'n_dup_lines', {lines}, 'n_repeat_words', m.n_repeat_words, 'base_failed', m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words, 'llr', m.llr,"
+        f" 'kept', not (m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words) and m.llr >= {threshold})"
+    )
+    return _let("t", f"coalesce({text}, '')", _let("m", of_words, verdict))
+
+
+def _weighted(docs: DataFrame, trusted: DataFrame, slots: int) -> DataFrame:
+    """`docs` with the slot weights in `_weights`."""
+    ids = small_or_not(trusted.select("doc_id").where("doc_id is not null").distinct(), 40).withColumn("_good", F.lit(True))
+    weights = slot_weights(slot_counts(docs.select("doc_id", "text").join(ids, "doc_id", "left"), F.col("_good"), slots), slots)
+    return docs.withColumn("_weights", weights.scalar())
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
 def quality(docs: DataFrame, trusted: DataFrame, slots: int = SLOTS, threshold: float = THRESHOLD) -> DataFrame:
     """Judge every row of `docs` (doc_id, text, ...): its columns plus the base measures, `llr` and `kept`.
 
     `trusted` (doc_id) names the rows of the target; ids that repeat count once, null ids never.
-    No words: llr 0 and base_failed. No trusted row at all: both models are near uniform on unseen
-    slots and the same threshold holds. Repeated rows are judged alike and all returned. Columns of
-    `docs` whose names clash with the result's are dropped.
+    No words, or null text: llr 0 and base_failed. No trusted row at all: the target is uniform and
+    the same threshold holds. Repeated rows are judged alike and all returned. Columns of `docs`
+    whose names clash with the result's are replaced.
     """
-    out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
-    docs = docs.drop(*out, "_w", "_l", "_h", "_s", "_p", "_weights", "_good")
-    ids = small_or_not(trusted.select("doc_id").where("doc_id is not null").distinct(), 40).withColumn("_good", F.lit(True))
-    weights = slot_weights(slot_counts(docs.select("doc_id", "text").join(ids, "doc_id", "left"), F.col("_good"), slots), slots)
-    df = base_measures(docs).withColumn("_weights", weights.scalar())
-    total = F.expr(
-        f"aggregate(sequence(0, size(_w) - 1), 0D, (a, i) -> a + _weights[cast(pmod(xxhash64(_w[i]), {slots}) as int)]"
-        f" + if(i + 1 < size(_w), _weights[cast(pmod(xxhash64(_w[i], _w[i + 1]), {slots}) as int)], 0D))"
-    )
-    df = df.withColumn("llr", F.when(F.size("_w") > 0, total / (2 * F.size("_w") - 1)).otherwise(0.0))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(*docs.columns, *out)
+    docs = docs.drop(*MEASURES, "_weights", "_j")
+    judged = _weighted(docs, trusted, slots).select(*docs.columns, F.expr(judgement("text", "_weights", slots, threshold)).alias("_j"))
+    return judged.select(*docs.columns, *[F.col("_j")[m].alias(m) for m in MEASURES])
+
+
+def kept_rows(docs: DataFrame, trusted: DataFrame, slots: int = SLOTS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that `quality` keeps, with their own columns."""
+    verdict = F.expr(f"filter(array({judgement('text', '_weights', slots, threshold)}), j -> j.kept)")
+    return _weighted(docs, trusted, slots).select(*docs.columns, F.explode(verdict).alias("_j")).drop("_j")
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
