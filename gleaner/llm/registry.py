@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import chat, decontaminate, language, licenses, mixing, quality, sharding, simhash, toxicity
+from gleaner.llm import chat, decontaminate, language, licenses, linededup, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,9 +10,10 @@ QUERIES = {
     "op3_language_id": language.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op7_chat": chat.op7_chat,
     "op8_sharding": sharding.op8_sharding,
     "op9_licenses": licenses.op9_licenses,
     "op10_quality": quality.op10_quality,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.MIXING_SQL, "op7_chat": chat.CHAT_SQL, "op9_licenses": licenses.LICENSES_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.MIXING_SQL, "op6_line_dedup": linededup.LINES_SQL, "op7_chat": chat.CHAT_SQL, "op9_licenses": licenses.LICENSES_SQL}
