@@ -17,7 +17,7 @@ from gleaner.llm.common import SPACE_RUN, read_table, small_or_not, words_of
 SLOTS = 1 << 16
 SMOOTHING = 0.5
 #: Mean log ratio, in nats an n-gram, from which a text counts as like the target.
-THRESHOLD = -0.1
+THRESHOLD = -0.15
 SYMBOLS = "#*$%&|<>"
 
 

@@ -20,7 +20,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -131,6 +131,16 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
     return met.mapInArrow(linked, "a long, b long")
 
 
+def _clustered(docs: DataFrame, distance: int) -> DataFrame:
+    """(doc_id, fp, text_hash, root, component_id) of every row; `root` names the component."""
+    slim = stored(docs.select("doc_id", fingerprint_of("text").alias("fp"), F.xxhash64("text").alias("text_hash")))
+    prints = slim.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    roots = stored(components(links(prints.select("fp"), distance)))
+    named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return slim.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row (doc_id, fp, component_id) for each row of `docs` (doc_id, text, ...).
 
@@ -139,27 +149,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     have fingerprint 0 and link to each other. Rows that repeat are returned as often. Empty
     input: no rows. Other columns are not looked at.
     """
-    slim = stored(docs.select("doc_id", fingerprint_of("text").alias("fp")))
-    prints = slim.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = stored(components(links(prints.select("fp"), distance)))
-    named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return slim.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def _id_or_print(doc_id: Column, text: Column) -> Column:
-    """What tells rows apart: the id, or the fingerprint of a row that has none."""
-    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("fp"), fingerprint_of(F.when(doc_id.isNull(), text))))
+    return _clustered(docs, distance).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of `docs` that stay: of each component the row with the smallest doc_id, once if it repeats.
+    """The rows of `docs` that stay: of each component the row with the smallest doc_id, and of those the smallest text hash.
 
-    A component without any doc_id keeps one of its rows.
+    A row that repeats stays once. Rows without a doc_id stay only where their component has no other.
     """
-    found = near_duplicates(docs, distance)
-    stays = found.where("doc_id = component_id or component_id is null").select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("fp"), F.col("fp"))).alias("_k"))
-    return docs.withColumn("_k", _id_or_print(F.col("doc_id"), F.col("text"))).join(stays.distinct(), "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    stays = _clustered(docs, distance).groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    return hashed.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
