@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import read_table, small_or_not, stored, words_of
 
-SLOTS = 1 << 18
+#: Rarity is told by the slot of a word's hash: one byte a slot goes with each document.
+SLOTS = 1 << 16
 #: Jaccard threshold NUM / DEN, so that an overlap o of sizes m and n suffices if (NUM + DEN) * o >= NUM * (m + n).
 NUM, DEN = 4, 5
 
@@ -32,21 +33,30 @@ def word_set(content: Column) -> Column:
 
 
 def slot_ranks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row, `ranks`: of each slot, six times the binary logarithm of the number of words in it, 0 to 255."""
+    """One row, `ranks`: of each slot, three times the binary logarithm of the number of words in it, 0 to 127."""
     words = docs.select(F.explode(words_of(F.lower(F.coalesce("text", F.lit(""))))).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(slots)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     spine = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    rank = F.least(F.lit(255), F.floor(6 * F.log2(F.coalesce("n", F.lit(1))))).cast("int").alias("rank")
+    rank = F.least(F.lit(127), F.floor(3 * F.log2(F.coalesce("n", F.lit(1))))).cast("tinyint").alias("rank")
     return spine.join(counts, "slot", "left").select("slot", rank).groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", "rank"))).alias("r")).select(F.col("r.rank").alias("ranks"))
 
 
 def _classes(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
-    """(lines with their class's signature, classes with their place, size and prefix)."""
-    sets = lines_of(docs).withColumn("w", word_set(F.col("content"))).where(F.size("w") > 0)
-    ids = F.expr(f"sort_array(transform(transform(w, x -> xxhash64(x)), h -> shiftleft(cast(_ranks[cast(pmod(h, {slots}) as int)] as bigint), 55) | shiftrightunsigned(h, 9)))")
-    coded = sets.withColumn("_ranks", slot_ranks(docs, slots).scalar()).select("doc_id", "line", F.length("content").alias("chars"), F.size("w").alias("n"), ids.alias("ids"))
+    """(lines with their class's signature, classes with their place, size and prefix).
+
+    A word is 7 bits of rank and 56 of hash. Lines are coded within their document's row, and only then set apart.
+    """
+
+    def coded(line: Column) -> Column:
+        hashes = F.transform(line["w"], lambda w: F.xxhash64(w))
+        ids = F.transform(hashes, lambda h: F.shiftleft(F.get("_ranks", F.pmod(h, F.lit(slots)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+        return F.struct(line["chars"].alias("chars"), F.size(ids).alias("n"), F.sort_array(ids).alias("ids"))
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.length(x).alias("chars"), word_set(x).alias("w")))
+    rows = docs.withColumn("_ranks", slot_ranks(docs, slots).scalar()).select("doc_id", F.posexplode(F.transform(lines, coded)).alias("line", "x"))
+    coded_lines = rows.select("doc_id", "line", "x.chars", "x.n", "x.ids").where("n > 0")
     prefix = F.slice("ids", F.lit(1), F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1").cast("int"))
-    lines = stored(coded.select("doc_id", "line", "chars", "n", F.xxhash64("ids").alias("s1"), F.hash("ids").alias("s2"), prefix.alias("prefix")))
+    lines = stored(coded_lines.select("doc_id", "line", "chars", "n", F.xxhash64("ids").alias("s1"), F.hash("ids").alias("s2"), prefix.alias("prefix")))
     classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("prefix").alias("prefix"))
     return lines.drop("prefix"), classes
 
