@@ -62,15 +62,22 @@ def _classes(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): places of classes that the prefix, length and positional filters leave."""
+    """(a, b): places of classes that the prefix, length and positional filters leave.
+
+    Of a pair, all common words up to the last one in both prefixes are known; after it, the shorter
+    rest bounds what more they can share.
+    """
     postings = classes.select("place", "n", F.posexplode("prefix").alias("pos", "token"))
     left = postings.select("token", F.col("place").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     right = postings.select("token", F.col("place").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     length = DEN * F.col("na") >= NUM * F.col("nb")
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    position = (NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb"))
-    return left.join(right, "token").where(order & length & position).select("a", "b").distinct()
+    reaches = lambda shared, pa, pb: (NUM + DEN) * (shared + F.least(F.col("na") - pa, F.col("nb") - pb) - 1) >= NUM * (F.col("na") + F.col("nb"))
+    # At one word, the words before it may all be shared.
+    one = reaches(F.least("pa", "pb") + 1, F.col("pa"), F.col("pb"))
+    pairs = left.join(right, "token").where(order & length & one)
+    met = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    return met.where(reaches(F.col("shared"), F.col("pa"), F.col("pb"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
