@@ -41,6 +41,16 @@ def slot_ranks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return spine.join(counts, "slot", "left").select("slot", rank).groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", "rank"))).alias("r")).select(F.col("r.rank").alias("ranks"))
 
 
+def _toggled(hashes: Column, half: int) -> Column:
+    """64 of 128 bits, of which each hash toggles one."""
+
+    def toggle(bits: Column, h: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        return bits.bitwiseXOR(F.when(F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half, bit).otherwise(F.lit(0).cast("long")))
+
+    return F.aggregate(hashes, F.lit(0).cast("long"), toggle)
+
+
 def _classes(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
     """(lines with their class's signature, classes with their place, size and prefix).
 
@@ -50,32 +60,36 @@ def _classes(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
     def coded(line: Column) -> Column:
         hashes = F.transform(line["w"], lambda w: F.xxhash64(w))
         ids = F.transform(hashes, lambda h: F.shiftleft(F.get("_ranks", F.pmod(h, F.lit(slots)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-        return F.struct(line["chars"].alias("chars"), F.size(ids).alias("n"), F.sort_array(ids).alias("ids"))
+        bits = [_toggled(hashes, half) for half in (0, 1)]
+        return F.struct(line["chars"].alias("chars"), F.size(ids).alias("n"), F.sort_array(ids).alias("ids"), bits[0].alias("bits0"), bits[1].alias("bits1"))
 
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.length(x).alias("chars"), word_set(x).alias("w")))
     rows = docs.withColumn("_ranks", slot_ranks(docs, slots).scalar()).select("doc_id", F.posexplode(F.transform(lines, coded)).alias("line", "x"))
-    coded_lines = rows.select("doc_id", "line", "x.chars", "x.n", "x.ids").where("n > 0")
+    coded_lines = rows.select("doc_id", "line", "x.chars", "x.n", "x.ids", "x.bits0", "x.bits1").where("n > 0")
     prefix = F.slice("ids", F.lit(1), F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1").cast("int"))
-    lines = stored(coded_lines.select("doc_id", "line", "chars", "n", F.xxhash64("ids").alias("s1"), F.hash("ids").alias("s2"), prefix.alias("prefix")))
-    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("prefix").alias("prefix"))
-    return lines.drop("prefix"), classes
+    lines = stored(coded_lines.select("doc_id", "line", "chars", "n", "bits0", "bits1", F.xxhash64("ids").alias("s1"), F.hash("ids").alias("s2"), prefix.alias("prefix")))
+    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "line")).alias("place"), *[F.first(c).alias(c) for c in ("prefix", "bits0", "bits1")])
+    return lines.drop("prefix", "bits0", "bits1"), classes
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): places of classes that the prefix, length and positional filters leave.
+    """(a, b): places of classes that the prefix, length, bitmap and positional filters leave.
 
     Of a pair, all common words up to the last one in both prefixes are known; after it, the shorter
     rest bounds what more they can share.
     """
-    postings = classes.select("place", "n", F.posexplode("prefix").alias("pos", "token"))
-    left = postings.select("token", F.col("place").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = postings.select("token", F.col("place").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    postings = classes.select("place", "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
+    left = postings.select("token", F.col("place").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("bits0").alias("a0"), F.col("bits1").alias("a1"))
+    right = postings.select("token", F.col("place").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits0").alias("b0"), F.col("bits1").alias("b1"))
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     length = DEN * F.col("na") >= NUM * F.col("nb")
     reaches = lambda shared, pa, pb: (NUM + DEN) * (shared + F.least(F.col("na") - pa, F.col("nb") - pb) - 1) >= NUM * (F.col("na") + F.col("nb"))
     # At one word, the words before it may all be shared.
     one = reaches(F.least("pa", "pb") + 1, F.col("pa"), F.col("pb"))
-    pairs = left.join(right, "token").where(order & length & one)
+    # Each word toggles one of 128 bits: as many bits differ as words at most that one has and the other lacks.
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    few = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, "token").where(order & length & one & few)
     met = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     return met.where(reaches(F.col("shared"), F.col("pa"), F.col("pb"))).select("a", "b")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import SPACE_RUN, read_table, small_or_not, words_of
 
+#: The weights, four bytes a slot, go with each row.
 SLOTS = 1 << 16
 SMOOTHING = 0.5
 #: Mean log ratio, in nats an n-gram, from which a text counts as like the target.
@@ -43,7 +44,7 @@ def slot_weights(counts: DataFrame, slots: int = SLOTS, smoothing: float = SMOOT
         .agg(F.sort_array(F.collect_list(F.struct("slot", "raw", "target"))).alias("all"), F.sum("raw").alias("r"), F.sum("target").alias("t"))
     )
     a, mass = F.lit(smoothing), F.lit(smoothing * slots)
-    return row.select(F.transform("all", lambda s: F.log((s["target"] + a) / (F.col("t") + mass)) - F.log((s["raw"] + a) / (F.col("r") + mass))).alias("weights"))
+    return row.select(F.transform("all", lambda s: F.log((s["target"] + a) / (F.col("t") + mass)) - F.log((s["raw"] + a) / (F.col("r") + mass))).cast("array<float>").alias("weights"))
 
 
 def _let(name: str, value: str, body: str) -> str:

@@ -60,7 +60,7 @@ def test_quality_matches_brute_force(spark, docs, corpus):
         raw.update(grams(words(t)))
         if i is not None and i < 120 and i % 2 == 0:
             target.update(grams(words(t)))
-    weight = [math.log((target[k] + 0.5) / (target.total() + 0.5 * slots)) - math.log((raw[k] + 0.5) / (raw.total() + 0.5 * slots)) for k in range(slots)]
+    weight = [float(np.float32(math.log((target[k] + 0.5) / (target.total() + 0.5 * slots)) - math.log((raw[k] + 0.5) / (raw.total() + 0.5 * slots)))) for k in range(slots)]
     want = []
     for i, t, *_ in corpus:
         m, g = brute_measures(t), grams(words(t))
