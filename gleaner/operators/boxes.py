@@ -34,19 +34,26 @@ def shaped(boxes: DataFrame, frame_w: Column, frame_h: Column) -> DataFrame:
     return boxes.where(area.between(LEAST_AREA * frame_w * frame_h, MOST_AREA * frame_w * frame_h) & ratio.between(LEAST_ASPECT, MOST_ASPECT))
 
 
-def _covered(zone: tuple[float, float, float, float]) -> Column:
+def _covered(box: Column, zone: tuple[float, float, float, float]) -> Column:
     x0, y0, x1, y1 = F.lit(zone[0]), F.lit(zone[1]), F.lit(zone[0] + zone[2]), F.lit(zone[1] + zone[3])
-    across = F.greatest(F.least(F.col("x") + F.col("w"), x1) - F.greatest(F.col("x"), x0), F.lit(0.0))
-    down = F.greatest(F.least(F.col("y") + F.col("h"), y1) - F.greatest(F.col("y"), y0), F.lit(0.0))
-    return F.coalesce(F.try_divide(across * down, F.col("w") * F.col("h")), F.lit(0.0))
+    across = F.greatest(F.least(box["x"] + box["w"], x1) - F.greatest(box["x"], x0), F.lit(0.0))
+    down = F.greatest(F.least(box["y"] + box["h"], y1) - F.greatest(box["y"], y0), F.lit(0.0))
+    return F.coalesce(F.try_divide(across * down, box["w"] * box["h"]), F.lit(0.0))
 
 
 def outside_zones(boxes: DataFrame, zones: tuple = ZONES, share: float = ZONE_SHARE) -> DataFrame:
-    """Boxes of which no zone covers over `share` of the box's own area: a theta anti-join against a constant table, as one predicate."""
-    hit = F.lit(False)
-    for z in zones:
-        hit = hit | (_covered(z) > share)
-    return boxes.where(~hit)
+    """Boxes of which no zone covers over `share` of the box's own area: a theta anti-join against a constant table, as one predicate.
+
+    The box is put in a one-element array so that its columns are computed once and not for each zone.
+    """
+
+    def hit(box: Column) -> Column:
+        out = F.lit(False)
+        for z in zones:
+            out = out | (_covered(box, z) > share)
+        return out
+
+    return boxes.where(~F.exists(F.array(F.struct("x", "y", "w", "h")), hit))
 
 
 def iou(a: Column, b: Column) -> Column:
