@@ -68,10 +68,8 @@ def write_shards(df: DataFrame, path: str, **options) -> None:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    placed = external_shuffle(docs, row_bytes=F.lit(64))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Shuffle whole documents; size and checksum are of the texts that come out."""
+    placed = external_shuffle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
+    crc32 = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    return placed.select("doc_id", size, crc32, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -330,6 +331,15 @@ def test_written_shards(spark, docs, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 3
 
 
+def test_sharding_query_shuffles_texts(spark, tmp_path):
+    # 20 MB of text in 20 rows: three buckets by bytes, one by rows.
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.repeat(F.chr(F.col("id") + 65), 1 << 20).alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["shard"], r["slot"]): (r["size"], r["text_crc32"]) for r in sharding.op8_sharding(spark, str(tmp_path)).collect()}
+    real = sharding.external_shuffle(docs, bucket_bytes=sharding.BUCKET_BYTES).collect()
+    assert got == {(r["doc_id"], r["shard"], r["slot"]): (len(r["text"]) + 1, zlib.crc32(r["text"].encode())) for r in real}
+
+
 def test_lines_match_brute_force(spark, docs, corpus):
     rows = [(i, t) for i, t, *_ in corpus if i not in (None, 204) and i != 0] + [(300, "x y z w v\nnew line of its own here"), (301, "x y z w v u\nX  y z w v")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
