@@ -1,10 +1,13 @@
 """License scans: sparse TF-IDF cosine of license statements to templates, then inheritance by path.
 
 Texts are cut into segments (lines, and sentences within them). A segment that has one of the
-anchors, without which no template is, is compared with each template: term counts times inverse
-document frequencies, which are counted over all documents for the templates' terms; any other term
-weighs as one that no document has. A document has the license of its best segment, if the cosine
-is high enough.
+anchors, or that can reach the threshold without, is compared with each template: term counts times
+inverse document frequencies, which are counted over all documents for the templates' terms; any
+other term weighs as one that no document has. A document has the license of its best segment, if
+the cosine is high enough.
+
+What can reach the threshold is bounded without loss: by Cauchy-Schwarz a cosine is at most the root
+of the squared weights, in the template's unit vector, of the terms that segment and template share.
 
 A directory's license is that of a license file in it. A document without a license of its own
 inherits from its nearest ancestor directory that has one: distinct directories are joined with
@@ -14,6 +17,9 @@ their ancestors' paths, and documents with their directory.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +38,11 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
 )
-#: Every template has one of these.
+#: Every template has one of these; a segment that does is compared for its score, however low.
 ANCHORS = "licens|permission is hereby"
 THRESHOLD = 0.6
+#: For rounding: scores have six places.
+MARGIN = 1e-5
 SEGMENT_ENDS = r"[.!?][ \t\r]+|\n"
 TERM_ENDS = "[^a-z0-9]+"
 
@@ -84,23 +92,49 @@ def similarities(segments: DataFrame, idf: DataFrame) -> DataFrame:
     return scored.groupBy("segment").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
 
 
+def _squares(idf: DataFrame) -> list[dict[str, float]]:
+    """Of each template: the squared weight of each term in its unit vector."""
+    weight = {r["term"]: r["idf"] for r in idf.collect()}  # one row a term of TEMPLATES
+    out = []
+    for _, text in TEMPLATES:
+        raw = {t: (n * weight[t]) ** 2 for t, n in Counter(_python_terms(text)).items()}
+        out.append({t: x / sum(raw.values()) for t, x in raw.items()})
+    return out
+
+
+def can_reach(words: Column, squares: list[dict[str, float]], threshold: float) -> Column:
+    """Whether a segment of these terms can have a cosine of `threshold` to a template; never false for one that has."""
+    least = max(threshold - MARGIN, 0.0) ** 2
+    prefix: set[str] = set()
+    for square in squares:
+        rest = sum(square.values())
+        for t in sorted(square, key=lambda t: (-square[t], t)):
+            if rest < least:
+                break
+            prefix.add(t)
+            rest -= square[t]
+    shared = [sum((F.when(F.array_contains(words, t), x).otherwise(0.0) for t, x in square.items()), F.lit(0.0)) >= least for square in squares]
+    return F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(prefix)])) & reduce(or_, shared)
+
+
 def licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row (doc_id, path, license, score, origin, from_dir) for each doc_id and path of `docs` (doc_id, path, is_license_file, text).
 
     origin: `own`, `inherited` or `none`; from_dir: the directory inherited from. `score` is of the
-    document's best segment (no candidate: 0), also where it inherits. A license file also counts
+    document's best segment (no candidate: 0), also where it inherits; candidates are the segments
+    with an anchor, and of the others those that reach the threshold. A license file also counts
     for its own directory. If several license files of a directory disagree, the highest score
     decides, then the first name. A null text has no license; a null path inherits nothing. Rows
     that share doc_id and path are one document. Empty input: no rows.
     """
     spark = docs.sparkSession
     idf = stored(term_weights(docs))
-    text = F.coalesce("text", F.lit(""))
-    # A text that lacks the anchors has no candidate; others are cut, whole.
-    candidates = docs.where(F.lower(text).rlike(ANCHORS)).select("doc_id", "path", F.explode(F.filter(F.split(F.col("text"), SEGMENT_ENDS), lambda s: F.lower(s).rlike(ANCHORS))).alias("segment"))
-    candidates = stored(candidates.distinct())
+    segments = docs.select("doc_id", "path", F.explode(F.split(F.col("text"), SEGMENT_ENDS)).alias("segment"))
+    segments = segments.select("*", terms(F.col("segment")).alias("_terms"), F.lower("segment").rlike(ANCHORS).alias("anchored"))
+    candidates = stored(segments.where(F.col("anchored") | can_reach(F.col("_terms"), _squares(idf), threshold)).drop("_terms").distinct())
     scores = similarities(candidates.select("segment").distinct(), idf)
-    best = candidates.join(scores, "segment").groupBy(F.col("doc_id").alias("_id"), F.col("path").alias("_path")).agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
+    candidates = candidates.join(scores, "segment").where(F.col("anchored") | (F.col("score") >= threshold))
+    best = candidates.groupBy(F.col("doc_id").alias("_id"), F.col("path").alias("_path")).agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
     directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", ""))
     slim = docs.groupBy("doc_id", "path").agg(F.max("is_license_file").alias("is_license_file"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path"))

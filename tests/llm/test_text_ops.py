@@ -366,6 +366,26 @@ def test_licenses(spark):
     assert licenses.licenses(df.where("false")).count() == 0
 
 
+def test_license_headers_without_anchors(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    rows = [(1, "a/LICENSE", True, f"Copyright\n{bsd}:\nall of them"), (2, "a/b/x.py", False, "code of some kind"), (3, "c/y.py", False, "# Released under CC BY-NC 4.0.\ncode"), (4, "c/z.py", False, "use of the source in other forms, with care")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, is_license_file boolean, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"], r["from_dir"], r["score"] >= licenses.THRESHOLD) for r in licenses.licenses(df).collect()}
+    assert got == {1: ("BSD-3-Clause", "own", None, True), 2: ("BSD-3-Clause", "inherited", "a", False), 3: ("CC-BY-NC-4.0", "own", None, True), 4: (None, "none", None, False)}
+
+
+def test_license_filter_loses_nothing(spark):
+    rng = np.random.default_rng(3)
+    pool = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["alpha", "beta", "gamma"]
+    texts = sorted({" ".join(rng.choice(t.split() if k % 2 else pool, rng.integers(1, 14))) for k in range(300) for _, t in licenses.TEMPLATES})
+    df = spark.createDataFrame([(t, t) for t in texts], "segment string, text string")
+    idf = licenses.term_weights(df.limit(500)).localCheckpoint()
+    scores = licenses.similarities(df.select("segment"), idf)
+    passed = df.where(licenses.can_reach(licenses.terms(F.col("segment")), licenses._squares(idf), licenses.THRESHOLD)).select("segment")
+    reach = scores.where(F.col("score") >= licenses.THRESHOLD)
+    assert reach.count() > 50 and reach.join(passed, "segment", "left_anti").count() == 0 and passed.count() < len(texts)
+
+
 @pytest.mark.parametrize("op", [lambda d: toxicity.toxicity(d, d.select("doc_id", F.lit(1).alias("toxic"))), lambda d: language.language(d, d), simhash.near_duplicates, simhash.deduplicated, lambda d: quality.quality(d, d), linededup.similar_lines, mixing.mixed])
 def test_empty_tables(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).count() == 0
