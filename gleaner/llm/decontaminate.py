@@ -2,7 +2,9 @@
 
 Words keep their letters and digits, in lower case; numbers, names and units become typed
 placeholders. Windows of five such words are hashed and joined between benchmark items and
-documents, so that a question with other numbers or names is met in the same windows. A document
+documents, so that a question with other numbers or names is met in the same windows. A window also
+has the hash of its literal words, for copies in other case, and one in which capitalised words that
+open a sentence are names too; any of them finds it. A document
 holds an item if it has at least 0.8 of the item's windows and if the slots agree: within one
 alignment the same value of the item always stands for the same value of the document, and the
 other way round, for at least 0.8 of the slots. An unchanged passage agrees with itself.
@@ -50,8 +52,8 @@ def _hashes_of(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hashes_of(UNITS))
 
 
-def templates(p: bytescan.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template word, literal word, bounds of each text) as hashes; a template word under 4 is a placeholder."""
+def templates(p: bytescan.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template word, the same with names that open sentences, literal word, bounds of each text) as hashes; a template word under 4 is a placeholder."""
     w = bytescan.words(p)
     keep = bytescan.ALNUM[p.buf]
     at = np.concatenate([[0], np.cumsum(keep)])
@@ -60,7 +62,7 @@ def templates(p: bytescan.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     literal = bytescan.span_hashes(bytescan.fold(p.buf)[keep], starts, ends)[solid]
     bounds = np.concatenate([[0], np.cumsum(solid)])[w.bounds]
     if not len(literal):
-        return literal, literal, bounds
+        return literal, literal, literal, bounds
     flat = p.buf[keep]
     first = flat[starts[solid]]
     second = flat[np.minimum(starts[solid] + 1, len(flat) - 1)]
@@ -71,13 +73,14 @@ def templates(p: bytescan.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     opens[w.bounds[:-1][w.bounds[:-1] < len(opens)]] = True
     number = _DIGIT[first]
     upper = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    name = upper & ~opens[solid] & ~number & ((ends - starts)[solid] > 1 + (first >= 0x80))
+    name = upper & ~number & ((ends - starts)[solid] > 1 + (first >= 0x80))
     after = np.zeros(len(number), bool)
     after[1:] = number[:-1]
     after[bounds[:-1][bounds[:-1] < len(after)]] = False
     unit = after & ~number & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, literal), len(_UNIT_HASHES) - 1)] == literal)
     literal = literal | np.uint64(4)
-    return np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], literal), literal, bounds
+    template, wide = (np.select([number, unit, x], [_NUMBER, _UNIT, _NAME], literal) for x in (name & ~opens[solid], name))
+    return template, wide, literal, bounds
 
 
 def _chain(words: np.ndarray) -> np.ndarray:
@@ -90,34 +93,51 @@ def _chain(words: np.ndarray) -> np.ndarray:
 
 
 def windows(p: bytescan.Piece) -> tuple[np.ndarray, ...]:
-    """(hash, text, position in the text, start, words, template, literal): one row a window; a shorter text is one window.
+    """(own, hash, kind, text, position in the text, start, words, template, wide, literal): one row a window and kind of hash; a shorter text is one window.
 
-    `start` and `words` say where a window lies in the last two, which are the words of all texts.
+    `own` is the hash of kind 0 of the same window: of template words, or of literal ones if few are
+    not placeholders. Kind 1 is of `wide`, where names may open sentences; kind 2 of literal words.
+    Both only where they differ. `start` and `words` say where a window lies in the last three,
+    which are the words of all texts.
     """
-    template, literal, bounds = templates(p)
+    template, wide, literal, bounds = templates(p)
     pad = np.zeros(WINDOW, np.uint64)
-    template, literal = np.concatenate([template, pad]), np.concatenate([literal, pad])
+    template, wide, literal = (np.concatenate([x, pad]) for x in (template, wide, literal))
     n = np.diff(bounds)
     text = np.repeat(np.arange(len(n)), n)
     pos = np.arange(len(text)) - np.repeat(bounds[:-1], n)
     room = np.repeat(n, n) - pos
     take = np.flatnonzero((room >= WINDOW) | (pos == 0))
-    fixed = np.concatenate([[0], np.cumsum(template > 3)])
-    plain = fixed[take + np.minimum(room[take], WINDOW)] - fixed[take] < LEAST_LITERAL
-    h = np.where(plain, _chain(literal)[take], _chain(template)[take])
-    for i in np.flatnonzero(room[take] < WINDOW):
-        s, e = take[i], take[i] + room[take[i]]
-        h[i] = _chain(np.concatenate([(literal if plain[i] else template)[s:e], pad[: WINDOW - (e - s)]]))[0]
-    return h, text[take], pos[take], take, np.minimum(room[take], WINDOW), template, literal
+    size = np.minimum(room[take], WINDOW)
+    short = np.flatnonzero(size < WINDOW)
+
+    def hashes(words: np.ndarray) -> np.ndarray:
+        h = _chain(words)[take]
+        for i in short:
+            h[i] = _chain(np.concatenate([words[take[i] : take[i] + size[i]], pad[: WINDOW - size[i]]]))[0]
+        return h
+
+    def n_where(flags: np.ndarray) -> np.ndarray:
+        at = np.concatenate([[0], np.cumsum(flags)])
+        return at[take + size] - at[take]
+
+    as_literal = hashes(literal)
+    own = np.where(n_where(template > 3) < LEAST_LITERAL, as_literal, hashes(template))
+    opened = np.flatnonzero((n_where(wide != template) > 0) & (n_where(wide > 3) >= LEAST_LITERAL))
+    plain = np.flatnonzero(own != as_literal)
+    rows = np.concatenate([np.arange(len(take)), opened, plain])
+    kind = np.repeat([0, 1, 2], [len(take), len(opened), len(plain)])
+    h = np.concatenate([own, hashes(wide)[opened] if opened.size else own[:0], as_literal[plain]])
+    return own[rows], h, kind, text[take][rows], pos[take][rows], take[rows], size[rows], template, wide, literal
 
 
 def _scan(table: np.ndarray | None):
-    """Rows (id, k, h, pos, template, literal) of all windows, or of those that `table` may hold."""
+    """Rows (id, k, own, h, kind, pos, template, literal) of all windows, or of those that `table` may hold."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in bytescan.pieces(batch.column("text")):
-                h, text, pos, at, size, template, literal = windows(p)
+                own_h, h, kind, text, pos, at, size, template, wide, literal = windows(p)
                 hit = np.flatnonzero(table[(h % np.uint64(TABLE_BITS)).astype(np.int64)]) if table is not None else np.arange(len(h))
                 if not hit.size:
                     continue
@@ -125,16 +145,16 @@ def _scan(table: np.ndarray | None):
                 cells = at[hit][:, None] + np.arange(WINDOW)
                 own = np.arange(WINDOW) < size[hit][:, None]
                 ends = pa.array(np.arange(0, WINDOW * len(hit) + 1, WINDOW, dtype=np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.where(own, x[cells], 0).view(np.int64).ravel())) for x in (template, literal)]
-                columns = [batch.column("id").take(rows), batch.column("k").take(rows), pa.array(h[hit].view(np.int64)), pa.array(pos[hit].astype(np.int64)), *lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "h", "pos", "template", "literal"])
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.where(own, x, 0).view(np.int64).ravel())) for x in (np.where(kind[hit][:, None] == 1, wide[cells], template[cells]), literal[cells])]
+                columns = [batch.column("id").take(rows), batch.column("k").take(rows), pa.array(own_h[hit].view(np.int64)), pa.array(h[hit].view(np.int64)), pa.array(kind[hit].astype(np.int64)), pa.array(pos[hit].astype(np.int64)), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "own", "h", "kind", "pos", "template", "literal"])
 
     return scan
 
 
 def _windows_of(df: DataFrame, table: np.ndarray | None = None) -> DataFrame:
     """df (id, k, text) -> its windows; `k`, a hash of the text, tells apart texts that share an id."""
-    return df.mapInArrow(_scan(table), f"id {dict(df.dtypes)['id']}, k long, h long, pos long, template array<long>, literal array<long>")
+    return df.mapInArrow(_scan(table), f"id {dict(df.dtypes)['id']}, k long, own long, h long, kind long, pos long, template array<long>, literal array<long>")
 
 
 def _held(held):
@@ -148,8 +168,8 @@ def _held(held):
 
 def _agreement(slots: DataFrame, this: str, other: str) -> DataFrame:
     """How many slots go with the most frequent `other` value of their `this` value, per document, item and alignment."""
-    run = ["id", "k", "item_id", "shift"]
-    return slots.groupBy(*run, this, other).agg(F.count(F.lit(1)).alias("n")).groupBy(*run, this).agg(F.max("n").alias("n")).groupBy("id", "k", "item_id").agg(F.sum("n").alias(f"by_{this}"))
+    run = ["mode", "id", "k", "item_id", "shift"]
+    return slots.groupBy(*run, this, other).agg(F.count(F.lit(1)).alias("n")).groupBy(*run, this).agg(F.max("n").alias("n")).groupBy("mode", "id", "k", "item_id").agg(F.sum("n").alias(f"by_{this}"))
 
 
 def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
@@ -163,25 +183,32 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, consi
     """
     spark = docs.sparkSession
     asked = _windows_of(items.where("item_id is not null").select(F.col("item_id").alias("id"), F.lit(0).cast("long").alias("k"), "text")).select(
-        F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("template").alias("item_template"), F.col("literal").alias("item_literal")
+        F.col("id").alias("item_id"), "own", "h", F.col("kind").alias("item_kind"), F.col("pos").alias("item_pos"), F.col("template").alias("item_template"), F.col("literal").alias("item_literal")
     )
     table = np.zeros(TABLE_BITS, bool)
     table[asked.select(F.expr(f"cast(pmod(h, {TABLE_BITS}L) as int)").alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
-    sizes = asked.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    sizes = asked.groupBy("item_id").agg(F.countDistinct("own").alias("n_windows"))
     held = spark.sparkContext.broadcast(table)
-    found = stored(docs.mapInArrow(_held(held), f"id {dict(docs.dtypes)['id']}, k long, h long, pos long, template array<long>, literal array<long>"))
-    hits = found.join(small_or_not(asked, 200), "h")
-    pairs = hits.groupBy("id", "k", "item_id").agg(F.countDistinct("h").alias("n_found")).join(small_or_not(sizes, 40), "item_id").where(F.col("n_found") >= coverage * F.col("n_windows"))
+    found = stored(docs.mapInArrow(_held(held), f"id {dict(docs.dtypes)['id']}, k long, own long, h long, kind long, pos long, template array<long>, literal array<long>"))
+    # Names that open sentences are optional: an item is held if it is without them (mode 0) or with them (mode 1).
+    modes = F.when((F.col("item_kind") == 1) | (F.col("kind") == 1), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    met = found.drop("own").join(small_or_not(asked, 200), "h").withColumn("mode", F.explode(modes))
+    # Two windows that meet by several kinds of hash are one hit, by the first kind.
+    first = F.min(F.struct((F.col("item_kind") + F.col("kind")).alias("kinds"), "own", "item_template", "item_literal", "template", "literal")).alias("_hit")
+    hits = met.groupBy("mode", "id", "k", "item_id", "pos", "item_pos").agg(first).select("mode", "id", "k", "item_id", "pos", "item_pos", "_hit.*")
+    pairs = hits.groupBy("mode", "id", "k", "item_id").agg(F.countDistinct("own").alias("n_found")).join(small_or_not(sizes, 40), "item_id").where(F.col("n_found") >= coverage * F.col("n_windows"))
     slots = hits.select(
-        "id", "k", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"),
+        "mode", "id", "k", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.inline(F.expr("filter(arrays_zip(item_template, item_literal, template, literal), x -> x.item_template between 1 and 3 and x.template = x.item_template)")),
-    ).select("id", "k", "item_id", "shift", F.col("item_literal").alias("item_value"), F.col("literal").alias("value"))
-    total = slots.groupBy("id", "k", "item_id").agg(F.count(F.lit(1)).alias("n_slots"))
-    agreed = total.join(_agreement(slots, "item_value", "value"), ["id", "k", "item_id"]).join(_agreement(slots, "value", "item_value"), ["id", "k", "item_id"])
-    agreed = agreed.select("k", "item_id", "n_slots", F.col("id").alias("_id"), (F.least("by_item_value", "by_value") / F.col("n_slots")).alias("agreement"))
-    both = pairs.join(agreed, pairs["id"].eqNullSafe(agreed["_id"]) & (pairs["k"] == agreed["k"]) & (pairs["item_id"] == agreed["item_id"]), "left")
-    out = both.select("id", pairs["k"], pairs["item_id"], "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
-    return out.where(F.col("agreement") >= consistency)
+    ).select("mode", "id", "k", "item_id", "shift", F.col("item_literal").alias("item_value"), F.col("literal").alias("value"))
+    total = slots.groupBy("mode", "id", "k", "item_id").agg(F.count(F.lit(1)).alias("n_slots"))
+    agreed = total.join(_agreement(slots, "item_value", "value"), ["mode", "id", "k", "item_id"]).join(_agreement(slots, "value", "item_value"), ["mode", "id", "k", "item_id"])
+    agreed = agreed.select("mode", "k", "item_id", "n_slots", F.col("id").alias("_id"), (F.least("by_item_value", "by_value") / F.col("n_slots")).alias("agreement"))
+    both = pairs.join(agreed, pairs["id"].eqNullSafe(agreed["_id"]) & (pairs["k"] == agreed["k"]) & (pairs["item_id"] == agreed["item_id"]) & (pairs["mode"] == agreed["mode"]), "left")
+    out = both.select(pairs["mode"], "id", pairs["k"], pairs["item_id"], "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
+    shown = ["n_windows", "n_found", "n_slots", "agreement"]
+    best = F.max_by(F.struct(*shown), F.struct("n_found", "agreement", -F.col("mode"))).alias("_best")
+    return out.where(F.col("agreement") >= consistency).groupBy("id", "k", "item_id").agg(best).select("id", "k", "item_id", "_best.*")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -182,6 +182,20 @@ def test_leaks_are_found(spark):
     assert {3, 4, 5, 7, 8} <= {r["doc_id"] for r in kept.collect()} and not {1, 2} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_leaks_in_other_case_and_with_other_first_names(spark):
+    item = "A train leaves Paris with 120 people and 35 leave at the next stop, how many people are on the train when 120 more board it"
+    story = "Maria sells her old red bicycle for 40 dollars and buys a lamp. Maria then pays the shop for a new wheel and a bell. Maria keeps what is left over in a small tin box."
+    items = spark.createDataFrame([(10, item), (20, story)], "item_id long, text string")
+    renamed = story.replace("Maria", "Sofia")
+    rows = [(6, item.upper()), (7, f"Read this. {renamed}"), (8, renamed.replace("Sofia", "Nadia", 1).replace("Sofia", "Petra", 1)), (9, item.upper() + " " + item), (11, "Maria sells nothing at all. Maria then goes home.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, items).collect()}
+    # 8 has another name in each sentence: its slots do not agree.
+    assert set(got) == {(6, 10), (7, 20), (9, 10)}
+    assert got[(6, 10)]["n_found"] == got[(6, 10)]["n_windows"] and got[(7, 20)]["n_found"] == got[(7, 20)]["n_windows"]
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items).orderBy("doc_id").collect()] == [8, 11]
+
+
 def test_leaks_match_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
