@@ -120,3 +120,24 @@ def mean_by_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     n = np.diff(bounds)
     return np.where(n > 0, (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1), np.nan)
+
+
+_MARK = np.full(1, 32, np.uint32)
+_LETTER = np.array([chr(c).isalpha() for c in range(0x30000)])
+
+
+def letters(p: Piece) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each text in lower case, each run of other than letters one space; and each text's bounds.
+
+    A text starts and ends with a space and holds nothing else if it has no letter.
+    """
+    raw, out, bounds = p.buf.tobytes(), [], [0]
+    for s, e in zip(p.offs, p.offs[1:], strict=False):
+        points = np.frombuffer(raw[s:e].decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
+        letter = _LETTER[np.minimum(points, len(_LETTER) - 1)]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        text = np.where(letter, points, 32)[keep]
+        out += [_MARK, text, _MARK[: 1 - int(bool(len(text)) and text[-1] == 32)]]
+        bounds.append(bounds[-1] + sum(map(len, out[-3:])))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(bounds)

@@ -35,31 +35,6 @@ UNKNOWN = "und"
 _FLUSH = 1 << 22
 
 
-def _letters(piece: bytescan.Piece) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of each text in lower case, each run of other than letters one space; and each text's bounds.
-
-    A text starts and ends with a space and holds nothing else if it has no letter.
-    """
-    raw, out, bounds = piece.buf.tobytes(), [], [0]
-    for s, e in zip(piece.offs, piece.offs[1:], strict=False):
-        points = np.frombuffer(raw[s:e].decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
-        letter = _is_letter(points)
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        text = np.where(letter, points, 32)[keep]
-        out += [_SPACE, text, _SPACE[: 1 - int(bool(len(text)) and text[-1] == 32)]]
-        bounds.append(bounds[-1] + sum(map(len, out[-3:])))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(bounds)
-
-
-_SPACE = np.full(1, 32, np.uint32)
-_LETTER = np.array([chr(c).isalpha() for c in range(0x30000)])
-
-
-def _is_letter(points: np.ndarray) -> np.ndarray:
-    return _LETTER[np.minimum(points, len(_LETTER) - 1)]
-
-
 def _grams(points: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hash of each gram, the text it is in), for each size; grams lie within a text and hold a space at their ends only."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -94,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
         for p in bytescan.pieces(batch.column("text")):
-            points, bounds = _letters(p)
+            points, bounds = bytescan.letters(p)
             own = langs[p.first : p.first + p.rows]
             for grams, text in _grams(points, bounds):
                 for lang in set(own):
@@ -149,7 +124,7 @@ def decide(f: Filters, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     if not f.langs:
         return names.tolist(), scores
     for p in bytescan.pieces(texts):
-        points, bounds = _letters(p)
+        points, bounds = bytescan.letters(p)
         hits, total = np.zeros((p.rows, len(f.langs))), np.zeros(p.rows)
         for grams, text in _grams(points, bounds):
             mask = None

@@ -1,17 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For each class, an interpolated Kneser-Ney bigram model over hashed words: discounted pair counts,
-then continuation counts (in how many contexts a word occurs), of the class where it differs from
-the other by more than chance, and of both classes together where it does not. So a rare
-expression, or one that only copies of a text repeat, has the same backoff in both and speaks for
-neither. A text's evidence is the difference of its toxic and ordinary log-likelihoods, normalised
-by length and turned into a probability by a logistic curve.
-
-Words are hashed into WORDS slots. Pair counts are exact over slots, gathered over all labelled
-rows. A pair survives the discount only with over DISCOUNT * sqrt(N) of a class's N words,
-so at most sqrt(N) / DISCOUNT pairs a class do (3 million for 10^12 words): that and the
-word slots are all that is sent to the tasks. The curve is fitted on a histogram of rows that the
-counts did not see.
+For each class, an interpolated Kneser-Ney model of the letters of words: a letter given the up to
+ORDER - 1 before it in its word. So an expression is known by its stem, whatever its ending, and one
+that no text had before by its parts. Counts of the highest order are occurrences, those below
+numbers of contexts, and each order's discount follows from its counts of counts. From SHARED
+letters down, both classes back off to the same counts: where a class has seen too little, it
+speaks for neither. A text's evidence is the difference of its toxic and ordinary log-likelihoods
+over its length in letters and word ends, turned into a probability by a logistic curve, which is
+fitted on a histogram of rows that the counts did not see.
+
+A gram is a long of up to four code points (16 bits each; beyond those, folded into them), so its
+context and its suffix are a shift and a mask, and the model is made by joins. Scoring sends the
+model to the tasks while its counted size is below MODEL_BYTES, and joins it by a shuffle beyond.
+
+`tests/llm/tune_toxicity.py` shows how ORDER and SHARED were chosen: on rows that are not held out.
 """
 
 from __future__ import annotations
@@ -26,168 +28,224 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from gleaner.llm import bytescan
-from gleaner.llm.common import read_table, small_or_not, words_of
-
-WORDS = 1 << 18
-#: The shared counts' weight in a word's probability: (CHANCE / z)^2, where z is by how many standard errors the
-#: classes differ, in the word's counts and in its contexts, whichever is less; LEAST_SHARED at least.
-CHANCE, LEAST_SHARED = 2.5, 0.02
-#: What every pair count gives to the backoff, over the square root of the smaller class's words.
-DISCOUNT = 10 / 32
-#: Texts are compared by evidence over length to this power; chance evidence grows with its square root.
-LENGTH_POWER = 0.75
+from gleaner.llm.common import read_table, small_or_not, stored
+
+ORDER, SHARED = 4, 2
+#: For an order whose counts of counts tell nothing.
+DISCOUNT = 0.75
+MODEL_BYTES = 64 << 20
 FOLDS = 5
 #: Of the rows that are not held out (crc32 of the id modulo FOLDS not 0), those with this remainder modulo CURVE_FOLDS fit the curve; the rest are counted.
 CURVE_FOLDS, CURVE_FOLD = 10, 9
 _FLUSH = 1 << 21
+_BINS = 1000
+
+
+def text_grams(p: bytescan.Piece, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, text it is in) of each letter and word end of a piece; a gram reaches back to its word's start at most."""
+    points, bounds = bytescan.letters(p)
+    unit = np.where(points > 0xFFFF, (points & 0xFFFF) | 0x8000, points).astype(np.uint64)
+    text = np.repeat(np.arange(p.rows), np.diff(bounds))
+    gram, open_ = unit.copy(), np.ones(len(unit), bool)
+    for back in range(1, order):
+        before = np.zeros(len(unit), np.uint64)
+        before[back:] = unit[:-back]
+        before[~open_] = 0
+        gram |= before << np.uint64(16 * back)
+        open_ &= before > 32
+    asked = np.ones(len(unit), bool)
+    asked[bounds[:-1][bounds[:-1] < len(unit)]] = False
+    asked[1:] &= (unit[1:] != 32) | (unit[:-1] != 32)
+    return gram[asked], text[asked]
+
+
+def _counter(order: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def counted() -> pa.RecordBatch:
+            parts = [np.unique(np.concatenate([*h, np.zeros(0, np.uint64)]), return_counts=True) for h in held]
+            for h in held:
+                h.clear()
+            gram = np.concatenate([g for g, _ in parts]).view(np.int64)
+            t, o = (np.concatenate([n if k == own else np.zeros(len(g), np.int64) for k, (g, n) in enumerate(parts)]) for own in (1, 0))
+            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(t.astype(np.int64)), pa.array(o.astype(np.int64))], names=["gram", "t", "o"])
 
-
-def _pairs(p: bytescan.Piece) -> tuple[np.ndarray, np.ndarray, bytescan.Words]:
-    """Slots of each word and of the one before it; slot 0 stands before a text's first."""
-    w = bytescan.words(p)
-    slot = (bytescan.folded_hashes(p, w) % np.uint64(WORDS - 1)).astype(np.int64) + 1
-    prev = np.zeros_like(slot)
-    prev[1:] = slot[:-1]
-    prev[w.bounds[:-1][w.bounds[:-1] < len(slot)]] = 0
-    return prev, slot, w
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-
-    def counted() -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array((n * (keys & 1)).astype(np.int64)), pa.array((n * (1 - (keys & 1))).astype(np.int64))], names=["pair", "t", "o"])
-
-    for batch in batches:
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        for p in bytescan.pieces(batch.column("text")):
-            prev, slot, w = _pairs(p)
-            held.append(((prev * WORDS + slot) << 1) | toxic[p.first + w.text_of()])
-            if sum(map(len, held)) > _FLUSH:
-                yield counted()
-    if held:
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            for p in bytescan.pieces(batch.column("text")):
+                gram, text = text_grams(p, order)
+                own = toxic[p.first + text]
+                for k in range(2):
+                    held[k].append(gram[own == bool(k)])
+                if sum(map(len, held[0])) + sum(map(len, held[1])) > _FLUSH:
+                    yield counted()
         yield counted()
 
+    return count
 
-def pair_counts(labelled: DataFrame) -> DataFrame:
-    """labelled (text, toxic 0/1) -> (pair, t, o): how often each pair of slots occurs in toxic and in ordinary texts."""
-    return labelled.select("text", F.col("toxic").cast("int")).mapInArrow(_count_pairs, "pair long, t long, o long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
+def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """labelled (text, toxic 0/1) -> (gram, t, o): how often each gram occurs in toxic and in ordinary texts."""
+    return labelled.select("text", F.col("toxic").cast("int")).mapInArrow(_counter(order), "gram long, t long, o long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
-def _slots_of_pairs(scale: tuple[float, float], discount: float):
-    """What each pair adds to its context (kind 0), to its word (1) and, if any of it survives the discount, to itself (2), summed over a batch."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair, t, o = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "t", "o"))
-            all_, t, o = t + o, t * scale[0], o * scale[1]
-            rest_t, rest_o = np.maximum(t - discount, 0), np.maximum(o - discount, 0)
-            kept = (rest_t > 0) | (rest_o > 0)
-            parts = [
-                (0, pair // WORDS, (t, o, rest_t, rest_o)),
-                (1, pair % WORDS, (t, o, np.ones_like(t), all_, (t > 0) * scale[0], (o > 0) * scale[1])),
-                (2, pair[kept], (rest_t[kept], rest_o[kept])),
-            ]
-            for kind, slot, columns in parts:
-                slots, at = np.unique(slot, return_inverse=True)
-                added = [np.bincount(at, weights=c, minlength=len(slots)).astype(float) for c in columns]
-                added += [np.zeros(len(slots))] * (6 - len(added))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), kind, np.int32)), pa.array(slots.astype(np.int64)), *map(pa.array, added)], names=["kind", "slot", *(f"c{k}" for k in range(6))])
-
-    return sums
+def _longer(symbols: int) -> Column:
+    """Whether a gram has more than so many symbols."""
+    return F.shiftrightunsigned("gram", 16 * symbols) != 0
+
+
+def _discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else DISCOUNT
+
+
+def _level(rows: DataFrame, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """rows (gram, t, o) of one order, lower (suffix, low_t, low_o) -> (gram, pt, po) and (context, weight_t, weight_o), the backoff's weights."""
+    n = rows.agg(*[F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in "to" for k in (1, 2)], F.count(F.lit(1)).alias("all")).first()
+    contexts = rows.groupBy(F.shiftrightunsigned("gram", 16).alias("context")).agg(*[x for c in "to" for x in (F.sum(c).alias(f"all_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))])
+    d = {c: _discount(n[f"{c}1"], n[f"{c}2"]) for c in "to"}
+    weights = contexts.select("context", *[F.col(f"all_{c}") for c in "to"], *[F.when(F.col(f"all_{c}") > 0, d[c] * F.col(f"kinds_{c}") / F.col(f"all_{c}")).otherwise(1.0).alias(f"weight_{c}") for c in "to"])
+    met = rows.withColumn("context", F.shiftrightunsigned("gram", 16)).join(weights, "context")
+    if lower is None:
+        met = met.withColumn("low_t", F.lit(1.0 / max(n["all"], 1))).withColumn("low_o", F.col("low_t"))
+    else:
+        met = met.join(lower, "suffix")
+    own = lambda c: F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - d[c], F.lit(0.0)) / F.col(f"all_{c}")).otherwise(0.0)
+    return met.select("gram", *[(own(c) + F.col(f"weight_{c}") * F.col(f"low_{c}")).alias(f"p{c}") for c in "to"]), weights.select("context", "weight_t", "weight_o")
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
+    """counts (gram, t, o) -> (gram, value), the log ratio of a gram's two probabilities, and (context, value), of its two backoff weights.
+
+    Only grams of more than `shared` symbols are returned; for the others both are equal.
+    """
+    suffix = lambda symbols: F.col("gram").bitwiseAND(F.lit((1 << 16 * symbols) - 1))
+    levels = {order: counts.where(_longer(order - 1)).select("gram", "t", "o", (F.col("t") + F.col("o")).alias("both"))}
+    for n in range(order - 1, 0, -1):
+        whole = counts.where(_longer(n - 1) & ~_longer(n)).select("gram", "t", "o", (F.col("t") + F.col("o")).alias("both"))
+        seen = levels[n + 1].groupBy(suffix(n).alias("gram")).agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"), F.count(F.lit(1)).alias("both"))
+        levels[n] = stored(whole.unionByName(seen) if n > 1 else seen)
+    lower, grams, contexts = None, [], []
+    for n in range(1, order + 1):
+        rows = levels[n] if n > shared else levels[n].select("gram", F.col("both").alias("t"), F.col("both").alias("o"))
+        probable, weights = _level(rows.withColumn("suffix", suffix(n - 1)), lower)
+        probable = stored(probable)
+        lower = probable.select(F.col("gram").alias("suffix"), F.col("pt").alias("low_t"), F.col("po").alias("low_o"))
+        if n > shared:
+            grams.append(probable.select("gram", F.log(F.col("pt") / F.col("po")).alias("value")))
+            contexts.append(weights.select("context", F.log(F.col("weight_t") / F.col("weight_o")).alias("value")))
+    return stored(_union(grams)), stored(_union(contexts))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @dataclass
-class Model:
-    """Per class (row 0 toxic, row 1 ordinary), by slot."""
+class Table:
+    """Sorted keys and their values."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def of(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, whether known) of each asked key; 0 where it is not."""
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        known = self.keys[at] == asked
+        return np.where(known, self.values[at], 0.0), known
+
+
+def _table(df: DataFrame) -> Table:
+    key, value = (c.to_numpy() for c in df.toArrow().columns)
+    order = np.argsort(key.view(np.uint64))
+    return Table(key.view(np.uint64)[order], value[order])
+
 
-    word: np.ndarray  # probability of each word without its context
-    seen: np.ndarray  # words counted after each context, on the common scale
-    back: np.ndarray  # weight of the backoff after each context
-    pair: np.ndarray  # discounted counts of the pairs in `keys`
-    keys: np.ndarray  # pairs that survive the discount, in order
+@dataclass
+class Model:
+    grams: DataFrame
+    contexts: DataFrame
+    order: int
+    shared: int
+    limit: int = MODEL_BYTES
     slope: float = 1.0
     offset: float = 0.0
     prior: float = 0.0
     trained: bool = False
 
 
-def _deviation(t: np.ndarray, o: np.ndarray, scale: tuple[float, float]) -> np.ndarray:
-    """Difference of two scaled counts in standard errors."""
-    return (t - o) / np.sqrt(scale[0] * t + scale[1] * o + 1e-12)
-
-
-def fit_counts(labelled: DataFrame) -> Model:
-    """Both classes' counts are brought to the size of the smaller one before discounting, so that neither is smoothed less than the other."""
-    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.sum(F.size(words_of(F.col("text")))).alias("n")).collect()}
-    n_t, n_o = sizes.get(1) or 0, sizes.get(0) or 0
-    least = min(n_t, n_o)
-    if not least:
-        empty = np.zeros((2, 1), np.float32)
-        return Model(empty, empty, empty, empty, np.zeros(0, np.int64))
-    scale, discount = (least / n_t, least / n_o), max(1.0, DISCOUNT * least**0.5)
-    slots = pair_counts(labelled).mapInArrow(_slots_of_pairs(scale, discount), "kind int, slot long, " + ", ".join(f"c{k} double" for k in range(6)))
-    rows = slots.groupBy("kind", "slot").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(6)]).toArrow()
-    kind, slot, *c = (rows.column(k).to_numpy() for k in rows.column_names)
-
-    def spread(k: int, size: int, columns: range) -> np.ndarray:
-        out = np.zeros((len(columns), size))
-        own = kind == k
-        for j in columns:
-            out[j, slot[own]] = c[j][own]
-        return out
-
-    context, word = spread(0, WORDS, range(4)), spread(1, WORDS, range(6))
-    own = np.flatnonzero(kind == 2)
-    own = own[np.argsort(slot[own])]
-    keys, pair = slot[own], np.stack([c[0][own], c[1][own]])
-    both, spread_of = word[3], (word[2] + 0.5) / (word[2].sum() + 0.5 * WORDS)
-    shared = np.maximum(both - 0.75, 0) / both.sum()
-    shared += (1 - shared.sum()) * spread_of
-    counts, contexts = (_deviation(word[k], word[k + 1], scale) for k in (0, 4))
-    z = np.where(counts * contexts > 0, np.minimum(np.abs(counts), np.abs(contexts)), 0.0)
-    share = np.clip((CHANCE / np.maximum(z, 1e-9)) ** 2, LEAST_SHARED, 1)
-    own = (1 - share) * word[4:6] / np.maximum(word[4:6].sum(axis=1, keepdims=True), 1e-9) + share * shared
-    own /= own.sum(axis=1, keepdims=True)
-    seen = context[:2]
-    back = 1 - context[2:4] / np.maximum(seen, 1e-9)
-    return Model(own.astype(np.float32), seen.astype(np.float32), np.clip(back, 1e-6, 1).astype(np.float32), pair.astype(np.float32), keys, trained=True)
-
-
-def evidence(model: Model, texts: pa.Array) -> np.ndarray:
-    """Toxic less ordinary log-likelihood of each text, over its length in words to the power LENGTH_POWER; nan without words."""
+def log_ratios(gram: np.ndarray, grams: Table, contexts: Table, order: int, shared: int) -> np.ndarray:
+    """Log ratio of each gram: of its longest known suffix, and of the backoff weights on the way there."""
+    out, left = np.zeros(len(gram)), np.arange(len(gram))
+    for n in range(order, shared, -1):
+        asked = gram[left]
+        value, known = grams.of(asked)
+        out[left] += value
+        # A gram that has fewer symbols anyway was no gram of this order.
+        weight = np.where(known | (asked >> np.uint64(16 * (n - 1)) == 0), 0.0, contexts.of(asked >> np.uint64(16))[0])
+        out[left] += weight
+        left = left[~known]
+        gram = gram & np.uint64((1 << 16 * (n - 1)) - 1)
+    return out
+
+
+def _evidence(texts: pa.Array, grams: Table, contexts: Table, order: int, shared: int) -> np.ndarray:
+    """Mean log ratio of each text; nan without a letter."""
     out = np.full(len(texts), np.nan)
     for p in bytescan.pieces(texts):
-        prev, slot, w = _pairs(p)
-        pair, logs = prev * WORDS + slot, []
-        at = np.minimum(np.searchsorted(model.keys, pair), max(len(model.keys) - 1, 0))
-        known = model.keys[at] == pair if len(model.keys) else None
-        for k in range(2):
-            direct = known * model.pair[k][at] / np.maximum(model.seen[k][prev], 1e-9) if len(model.keys) else 0.0
-            logs.append(np.log(np.minimum(direct, 1.0) + model.back[k][prev] * model.word[k][slot]))
-        n = np.diff(w.bounds)
-        out[p.first : p.first + p.rows] = bytescan.mean_by_text(logs[0] - logs[1], w.bounds) * np.maximum(n, 1) ** (1 - LENGTH_POWER)
+        gram, text = text_grams(p, order)
+        n = np.bincount(text, minlength=p.rows)
+        sums = np.bincount(text, weights=log_ratios(gram, grams, contexts, order, shared), minlength=p.rows)
+        out[p.first : p.first + p.rows] = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
     return out
 
 
-def scorer(spark: SparkSession, model: Model, raw: bool = False):
-    """A column function: text -> probability of class 1 (`raw`: evidence; null without words)."""
-    held = spark.sparkContext.broadcast(model)
+def _text_gram_rows(order: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in bytescan.pieces(batch.column("text")):
+                gram, text = text_grams(p, order)
+                by = np.lexsort([gram, text])
+                gram, text = gram[by], text[by]
+                new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])])) if len(gram) else np.zeros(0, int)
+                rows = pa.array(p.first + text[new])
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(rows), batch.column("k2").take(rows), pa.array(gram[new].view(np.int64)), pa.array(np.diff(np.append(new, len(gram))))], names=["k", "k2", "gram", "n"])
+
+    return emit
+
+
+def _evidence_by_joins(df: DataFrame, model: Model) -> DataFrame:
+    """As `with_evidence`, for a model of any size: distinct grams of all texts find their values by joins."""
+    k, k2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    found = stored(df.select("text", k.alias("k"), k2.alias("k2")).dropDuplicates(["k", "k2"]).mapInArrow(_text_gram_rows(model.order), "k long, k2 long, gram long, n long"))
+    zero = F.lit(0.0)
+    asked = found.select("gram").distinct().select("gram", F.col("gram").alias("rest"), zero.alias("value"), F.lit(False).alias("known"))
+    for n in range(model.order, model.shared, -1):
+        longer = F.shiftrightunsigned("rest", 16 * (n - 1)) != 0
+        grams = model.grams.select(F.col("gram").alias("rest"), F.col("value").alias("own"))
+        contexts = model.contexts.select("context", F.col("value").alias("weight"))
+        met = asked.join(grams, "rest", "left").withColumn("context", F.shiftrightunsigned("rest", 16)).join(contexts, "context", "left")
+        step = F.when(F.col("known"), zero).when(F.col("own").isNotNull(), F.col("own")).when(longer, F.coalesce("weight", zero)).otherwise(zero)
+        asked = met.select("gram", F.col("rest").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1)).alias("rest"), (F.col("value") + step).alias("value"), (F.col("known") | F.col("own").isNotNull()).alias("known"))
+    means = found.join(asked.select("gram", "value"), "gram").groupBy("k", "k2").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("evidence"))
+    return df.withColumn("_k", k).withColumn("_k2", k2).join(means, (F.col("_k") == F.col("k")) & (F.col("_k2") == F.col("k2")), "left").select(*df.columns, "evidence")
+
+
+def with_evidence(df: DataFrame, model: Model) -> DataFrame:
+    """`df` (text, ...) with `evidence`, the mean log ratio; null for a text without a letter."""
+    if 16 * (model.grams.count() + model.contexts.count()) > model.limit:
+        return _evidence_by_joins(df, model)
+    held = df.sparkSession.sparkContext.broadcast((_table(model.grams), _table(model.contexts), model.order, model.shared))
 
     @F.arrow_udf(DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        m = held.value
-        if not m.trained:
-            return pa.array(np.full(len(texts), m.prior))
-        llr = evidence(m, texts)
-        if raw:
-            return pa.array(llr, mask=np.isnan(llr))
-        p = 1 / (1 + np.exp(-np.clip(m.slope * llr + m.offset, -50, 50)))
-        return pa.array(np.where(np.isnan(llr), m.prior, p))
+    def evidence(texts: pa.Array) -> pa.Array:
+        found = _evidence(texts, *held.value)
+        return pa.array(found, mask=np.isnan(found))
 
-    return score
+    return df.withColumn("evidence", evidence("text"))
 
 
 def _logistic(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float, float]:
@@ -202,19 +260,21 @@ def _logistic(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float
     return float(b[0] / scale), float(b[1] - b[0] * mid / scale)
 
 
-def fit(spark: SparkSession, labelled: DataFrame) -> Model:
+def fit(labelled: DataFrame, order: int = ORDER, shared: int = SHARED, limit: int = MODEL_BYTES) -> Model:
     """labelled (text, toxic, curve): rows with `curve` fit the logistic, the others are counted."""
     labelled = labelled.where("toxic in (0, 1)")
-    model = fit_counts(labelled.where("not curve"))
-    score = scorer(spark, model, raw=True)
-    bins = (
-        labelled.where("curve").select(F.round(score("text") * 500).alias("bin"), "toxic").groupBy("bin").agg(F.sum("toxic").alias("ones"), F.count(F.lit(1)).alias("n")).toArrow()
-    )
+    counts = stored(gram_counts(labelled.where("not curve"), order))
+    model = Model(*kneser_ney(counts, order, shared), order, shared, limit)
+    n = counts.agg(F.sum("t"), F.sum("o")).first()
+    model.trained = bool(n[0] and n[1]) and not model.grams.isEmpty()
+    curve = labelled.where("curve")
+    seen = with_evidence(curve, model) if model.trained else curve.withColumn("evidence", F.lit(None).cast("double"))
+    bins = seen.select(F.round(F.col("evidence") * _BINS).alias("bin"), "toxic").groupBy("bin").agg(F.sum("toxic").alias("ones"), F.count(F.lit(1)).alias("n")).toArrow()
     x, ones, n = (bins.column(k).to_numpy().astype(float) for k in ("bin", "ones", "n"))
     model.prior = float(ones.sum() / max(n.sum(), 1))
-    worded = ~np.isnan(x)
-    if model.trained and worded.any():
-        model.slope, model.offset = _logistic(x[worded] / 500, ones[worded], (n - ones)[worded])
+    lettered = ~np.isnan(x)
+    if model.trained and lettered.any():
+        model.slope, model.offset = _logistic(x[lettered] / _BINS, ones[lettered], (n - ones)[lettered])
     return model
 
 
@@ -222,19 +282,23 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MODEL_BYTES) -> DataFrame:
     """One row (doc_id, held_out, score, predicted) for each row of `docs` (doc_id, text, ...).
 
-    `labels` (doc_id, toxic): ids that repeat teach once a row, nulls nothing. Text without a word,
-    or null: the score is the share of toxic rows among those that fit the curve. Labels of one
-    class only, or none: every score is that share. A null doc_id is scored and not held out.
+    `labels` (doc_id, toxic): ids that repeat teach once a row, nulls nothing. Text without a
+    letter, or null: the score is the share of toxic rows among those that fit the curve. Labels of
+    one class only, or none: every score is that share. A null doc_id is scored and not held out.
+    Rows that repeat are scored alike; texts are scored whole, however long. Other columns of
+    `docs` are not looked at.
     """
-    spark = docs.sparkSession
     labels = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(fold_of(F.col("doc_id"), FOLDS) != 0)
     known = docs.select("doc_id", "text").join(small_or_not(labels, 40), "doc_id").select("text", "toxic", (fold_of(F.col("doc_id"), CURVE_FOLDS) == CURVE_FOLD).alias("curve"))
-    score = scorer(spark, fit(spark, known))
-    found = docs.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), score("text").alias("score"))
-    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = fit(known, limit=limit)
+    rows = docs.select("doc_id", "text")
+    found = with_evidence(rows, model) if model.trained else rows.withColumn("evidence", F.lit(None).cast("double"))
+    score = F.when(F.col("evidence").isNull(), model.prior).otherwise(1 / (1 + F.exp(-(model.slope * F.col("evidence") + model.offset))))
+    held = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == 0, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

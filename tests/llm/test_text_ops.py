@@ -280,16 +280,55 @@ def test_one_class_only(spark):
     assert toxicity.toxicity(docs, labels.where("false")).count() == 40
 
 
-def test_model_is_a_distribution(spark):
+def brute_kneser_ney(texts, order, shared):
+    """texts (text, toxic) -> a function: text -> mean log ratio, or None."""
+    tokens = lambda t: [f" {w} " for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+    grams = lambda t: [s[max(0, e - order + 1) : e + 1] for s in tokens(t) for e in range(1, len(s))]
+    levels = []
+    for own in (lambda y: y == 1, lambda y: y == 0, lambda y: True):
+        top = collections.Counter(g for t, y in texts if own(y) for g in grams(t))
+        by = {n: {g: c for g, c in top.items() if len(g) == n} for n in range(1, order + 1)}
+        for n in range(order, 1, -1):
+            for g, c in collections.Counter(g[1:] for g in by[n]).items():
+                assert g not in by[n - 1]
+                by[n - 1][g] = c
+        levels.append(by)
+
+    def probability(k, g):
+        if not g:
+            return 1 / len(levels[2][1])
+        by = levels[2 if len(g) <= shared else k][len(g)]
+        ones, twos = (sum(c == m for c in by.values()) for m in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.75
+        after = [c for x, c in by.items() if x[:-1] == g[:-1]]
+        low = probability(k, g[1:])
+        return max(by.get(g, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * low if after else low
+
+    def evidence(t):
+        g = grams(t)
+        return sum(math.log(probability(0, x) / probability(1, x)) for x in g) / len(g) if g else None
+
+    return evidence
+
+
+@pytest.mark.parametrize("shared", [1, 2, 3])
+def test_kneser_ney_matches_brute_force(spark, shared):
     rng = np.random.default_rng(4)
-    rows = [(" ".join(rng.choice(["a", "b", "c", "d"], 300)), k % 2) for k in range(40)]
-    m = toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int"))
-    assert np.allclose(m.word.sum(axis=1), 1, atol=1e-3)
-    # After each context: what the kept pairs have and what the backoff has make one.
-    for k in range(2):
-        kept = np.bincount(m.keys // toxicity.WORDS, weights=m.pair[k], minlength=toxicity.WORDS)
-        seen = m.seen[k] > 0
-        assert np.allclose((kept[seen] / m.seen[k][seen]) + m.back[k][seen], 1, atol=1e-4)
+    parts = ["an", "be", "co", "d", "ée", "ß", "日本"]
+    text = lambda n: " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(n))
+    taught = [(text(12), int(k % 3 == 0)) for k in range(12)] + [("bedbedbed!", 1)] * 2
+    asked = [*[t for t, _ in taught], text(30), "unseen wörds 42 x", None, "", "12 34", "É", "𝔸𝔹 an", text(5000), text(3), "zz"]
+    want = [brute_kneser_ney(taught, 4, shared)(t or "") for t in asked]
+    counts = toxicity.gram_counts(spark.createDataFrame(taught, "text string, toxic int").repartition(3))
+    model = toxicity.Model(*toxicity.kneser_ney(counts, 4, shared), 4, shared)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(asked)] * 2, "i long, text string").repartition(4)
+    for limit in (toxicity.MODEL_BYTES, 0):
+        model.limit = limit
+        got = toxicity.with_evidence(df, model).collect()
+        assert len(got) == 2 * len(asked)
+        for r in got:
+            assert (r["evidence"] is None) == (want[r["i"]] is None)
+            assert want[r["i"]] is None or abs(r["evidence"] - want[r["i"]]) < 1e-6
 
 
 # --- 4, 6, 8, 9 on edge cases
