@@ -1,13 +1,18 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words in lower case. Lines of the same set are one class, whose place is
-its first line. Words are ordered by rarity: by how many words of the corpus fall into the slot of
-their hash, then by the hash itself; any order gives the same result, a good one short lists. Two
-sets of Jaccard 0.8 or more share a word among the first n - ceil(0.8 n) + 1 of each. Classes that
-do are candidates if their sizes and the places of the word still allow the overlap; candidates are
-verified on their whole word sets, which are read again for them alone.
-
-A line goes if an earlier one (by document id, then line number) has Jaccard 0.8 or more with it.
+A line is the set of its words in lower case; a word is a 63-bit id, its rarity above its hash.
+Lines of the same set are one class. Rarity is how many words of the corpus fall into the slot of
+the hash; any order gives the same result, a good one short lists. Two sets of Jaccard 0.8 or more
+share a word among the first n - ceil(0.8 n) + 1 of each, and what they share begins at the first
+such word: so a pair belongs to that word, and to be met there both must have enough words left.
+
+Pairs are never rows. Of all postings, those remain that some other of their word may link to by
+length, position and a bitmap of the words (a semi-join), then those of whose partners one shares
+no earlier word (another). What is left gets its whole word set, and meets in blocks of bounded
+weight, every pair of blocks of a word; a block gives, for each class, how many it links to and the
+earliest line of these, and the blocks' counts are added up.
+
+A line goes if an earlier one (by document id, line number, text) has Jaccard 0.8 or more with it.
 """
 
 from __future__ import annotations
@@ -17,121 +22,169 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import read_table, small_or_not, stored, words_of
 
-#: Rarity is told by the slot of a word's hash: one byte a slot goes with each document.
-SLOTS = 1 << 16
+#: Rarity is told by the slot of a word's hash, one byte each: a power of two, about a quarter of the vocabulary or more.
+SLOTS = 1 << 17
 #: Jaccard threshold NUM / DEN, so that an overlap o of sizes m and n suffices if (NUM + DEN) * o >= NUM * (m + n).
 NUM, DEN = 4, 5
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, line, content): every line, from 0."""
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content"))
-
-
-def word_set(content: Column) -> Column:
-    return F.array_distinct(words_of(F.lower(content)))
+#: Words of the sets of a block, of which two meet in a task (a larger set is a block of its own).
+BLOCK_WORDS = 1 << 15
+#: From this size on a set has a second bitmap, of WIDE longs.
+LONG_LINE, WIDE = 128, 8
 
 
 def slot_ranks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """One row, `ranks`: of each slot, three times the binary logarithm of the number of words in it, 0 to 127."""
-    words = docs.select(F.explode(words_of(F.lower(F.coalesce("text", F.lit(""))))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(slots)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(_words(F.translate(F.coalesce("text", F.lit("")), "\n", " "))).alias("w"))
+    counts = words.groupBy(_slot(F.xxhash64("w"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     spine = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     rank = F.least(F.lit(127), F.floor(3 * F.log2(F.coalesce("n", F.lit(1))))).cast("tinyint").alias("rank")
     return spine.join(counts, "slot", "left").select("slot", rank).groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", "rank"))).alias("r")).select(F.col("r.rank").alias("ranks"))
 
 
-def _toggled(hashes: Column, half: int) -> Column:
-    """64 of 128 bits, of which each hash toggles one."""
+def _slot(h: Column, slots: int) -> Column:
+    return h.bitwiseAND(F.lit(slots - 1)).cast("int")
 
-    def toggle(bits: Column, h: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-        return bits.bitwiseXOR(F.when(F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half, bit).otherwise(F.lit(0).cast("long")))
 
-    return F.aggregate(hashes, F.lit(0).cast("long"), toggle)
+def _words(line: Column) -> Column:
+    """`words_of` in lower case, for a text without line ends."""
+    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " "), "")
 
 
-def _classes(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
-    """(lines with their class's signature, classes with their place, size and prefix).
+def _ids(line: Column, ranks: Column, slots: int) -> Column:
+    """The line's set of word ids, rarest first."""
 
-    A word is 7 bits of rank and 56 of hash. Lines are coded within their document's row, and only then set apart.
-    """
+    def coded(h: Column) -> Column:
+        return F.shiftleft(F.get(ranks, _slot(h, slots)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    def coded(line: Column) -> Column:
-        hashes = F.transform(line["w"], lambda w: F.xxhash64(w))
-        ids = F.transform(hashes, lambda h: F.shiftleft(F.get("_ranks", F.pmod(h, F.lit(slots)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-        bits = [_toggled(hashes, half) for half in (0, 1)]
-        return F.struct(line["chars"].alias("chars"), F.size(ids).alias("n"), F.sort_array(ids).alias("ids"), bits[0].alias("bits0"), bits[1].alias("bits1"))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), coded)))
 
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.length(x).alias("chars"), word_set(x).alias("w")))
-    rows = docs.withColumn("_ranks", slot_ranks(docs, slots).scalar()).select("doc_id", F.posexplode(F.transform(lines, coded)).alias("line", "x"))
-    coded_lines = rows.select("doc_id", "line", "x.chars", "x.n", "x.ids", "x.bits0", "x.bits1").where("n > 0")
-    prefix = F.slice("ids", F.lit(1), F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1").cast("int"))
-    lines = stored(coded_lines.select("doc_id", "line", "chars", "n", "bits0", "bits1", F.xxhash64("ids").alias("s1"), F.hash("ids").alias("s2"), prefix.alias("prefix")))
-    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "line")).alias("place"), *[F.first(c).alias(c) for c in ("prefix", "bits0", "bits1")])
-    return lines.drop("prefix", "bits0", "bits1"), classes
 
+def _toggled(ids: Column, part: int, parts: int) -> Column:
+    """64 of 64 * `parts` bits, of which each word toggles one."""
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): places of classes that the prefix, length, bitmap and positional filters leave.
+    def toggle(bits: Column, x: Column) -> Column:
+        own = F.shiftright(x, 6).bitwiseAND(F.lit(parts - 1))
+        one = (own == part).cast("long") if parts > 2 else own if part else own.bitwiseXOR(F.lit(1))
+        return bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))
 
-    Of a pair, all common words up to the last one in both prefixes are known; after it, the shorter
-    rest bounds what more they can share.
-    """
-    postings = classes.select("place", "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
-    left = postings.select("token", F.col("place").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("bits0").alias("a0"), F.col("bits1").alias("a1"))
-    right = postings.select("token", F.col("place").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits0").alias("b0"), F.col("bits1").alias("b1"))
-    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    length = DEN * F.col("na") >= NUM * F.col("nb")
-    reaches = lambda shared, pa, pb: (NUM + DEN) * (shared + F.least(F.col("na") - pa, F.col("nb") - pb) - 1) >= NUM * (F.col("na") + F.col("nb"))
-    # At one word, the words before it may all be shared.
-    one = reaches(F.least("pa", "pb") + 1, F.col("pa"), F.col("pb"))
-    # Each word toggles one of 128 bits: as many bits differ as words at most that one has and the other lacks.
-    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    few = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb"))
-    pairs = left.join(right, "token").where(order & length & one & few)
-    met = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    return met.where(reaches(F.col("shared"), F.col("pa"), F.col("pb"))).select("a", "b")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose word sets have the overlap."""
-    places = stored(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct().select("place.doc_id", "place.line"))
-    wanted = docs.select("doc_id", "text").join(small_or_not(places.select("doc_id").distinct(), 24), "doc_id", "left_semi")
-    sets = lines_of(wanted).join(small_or_not(places, 40), ["doc_id", "line"], "left_semi").select(F.struct("doc_id", "line").alias("place"), word_set(F.col("content")).alias("w"))
-    sets = stored(sets)
-    with_a = pairs.join(sets.select(F.col("place").alias("a"), F.col("w").alias("wa")), "a")
-    both = with_a.join(sets.select(F.col("place").alias("b"), F.col("w").alias("wb")), "b")
-    overlap = F.size(F.array_intersect("wa", "wb"))
-    return both.where((NUM + DEN) * overlap >= NUM * (F.size("wa") + F.size("wb"))).select("a", "b")
-
-
-def similar_lines(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row (doc_id, line, chars, removed, n_links) for each line of `docs` (doc_id, text) that has a word.
+    return F.aggregate(ids, F.lit(0).cast("long"), toggle)
+
+
+def _lines(docs: DataFrame, ranks: DataFrame, slots: int) -> DataFrame:
+    """(doc_id, line, text_hash, chars, ids) of every line that has a word. Lines are coded within their document's row, and only then set apart."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.length(x).alias("chars"), _ids(x, F.col("_ranks"), slots).alias("ids")))
+    rows = docs.withColumn("_ranks", ranks.scalar()).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines).alias("line", "x"))
+    return rows.where(F.size("x.ids") > 0).select("doc_id", "line", "text_hash", "x.chars", "x.ids")
+
+
+def _signature() -> list[Column]:
+    return [F.xxhash64("ids").alias("s1"), F.hash("ids").alias("s2"), F.size("ids").alias("n")]
+
+
+def _classes(docs: DataFrame, ranks: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+    """(lines with their class's signature, classes with a number `c`, place, size, bitmap and prefix)."""
+    prefix = F.slice("ids", F.lit(1), F.expr(f"size(ids) - (({NUM} * size(ids) + {DEN - 1}) div {DEN}) + 1").cast("int"))
+    bits = [_toggled(F.col("ids"), k, 2).alias(f"bits{k}") for k in (0, 1)]
+    lines = stored(_lines(docs, ranks, slots).select("doc_id", "line", "text_hash", "chars", *_signature(), *bits, prefix.alias("prefix")))
+    place = F.min(F.struct("doc_id", "line", "text_hash")).alias("place")
+    classes = lines.groupBy("s1", "s2", "n").agg(place, *[F.first(x).alias(x) for x in ("bits0", "bits1", "prefix")])
+    return lines.drop("bits0", "bits1", "prefix"), stored(classes.withColumn("c", F.monotonically_increasing_id()))
+
+
+def _sides(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`postings` twice, all columns but the word with an a or b in front."""
+    return tuple(postings.select("word", *[F.col(x).alias(f"{side}_{x}") for x in postings.columns if x != "word"]) for side in "ab")
+
+
+def _may_link() -> Column:
+    """Of two classes that share a word and none before it: what length, positions and bitmap allow."""
+    need = NUM * (F.col("a_n") + F.col("b_n"))
+    length = (DEN * F.col("a_n") >= NUM * F.col("b_n")) & (DEN * F.col("b_n") >= NUM * F.col("a_n"))
+    room = (NUM + DEN) * F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= need
+    # As many bits differ as words at most that one has and the other lacks.
+    apart = F.bit_count(F.col("a_bits0").bitwiseXOR(F.col("b_bits0"))) + F.bit_count(F.col("a_bits1").bitwiseXOR(F.col("b_bits1")))
+    return (F.col("a_c") != F.col("b_c")) & length & room & ((NUM + DEN) * apart <= (DEN - NUM) * (F.col("a_n") + F.col("b_n")))
+
+
+def _met(classes: DataFrame) -> DataFrame:
+    """(word, c, at): postings with a partner that `_may_link` allows."""
+    a, b = _sides(classes.select("c", "n", "bits0", "bits1", F.posexplode("prefix").alias("at", "word")))
+    return a.join(b, (a["word"] == b["word"]) & _may_link(), "left_semi").select("word", F.col("a_c").alias("c"), F.col("a_at").alias("at"))
+
+
+def _whole_sets(docs: DataFrame, ranks: DataFrame, slots: int, wanted: DataFrame) -> DataFrame:
+    """(c, ids) of the `wanted` classes (c, place, s1, s2, n), from the lines at their places."""
+    ids = small_or_not(wanted.select("place.doc_id").distinct(), 24)
+    lines = _lines(docs.join(ids, "doc_id", "left_semi"), ranks, slots).select(F.struct("doc_id", "line", "text_hash").alias("place"), "ids", *_signature())
+    # A row that repeats has its lines as often.
+    return lines.join(small_or_not(wanted, 80), ["place", "s1", "s2", "n"]).select("c", "ids").dropDuplicates(["c"])
+
+
+def _owners(met: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(word, c, n, at, earlier): postings with a partner that may link and has no earlier word in common."""
+    by_class = met.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+    known = classes.select("c", "n", "bits0", "bits1").join(by_class, "c").join(sets, "c")
+    wide = F.when(F.col("n") >= LONG_LINE, F.array(*[_toggled(F.col("ids"), k, WIDE) for k in range(WIDE)]))
+    placed = known.select("c", "n", "bits0", "bits1", wide.alias("wide"), F.col("w.word").alias("words"), F.posexplode("w").alias("k", "x"))
+    postings = stored(placed.select("x.word", "c", "n", "bits0", "bits1", "wide", "x.at", F.slice("words", F.lit(1), F.col("k")).alias("earlier")))
+    a, b = _sides(postings)
+    far = sum((F.bit_count(F.get("a_wide", F.lit(k)).bitwiseXOR(F.get("b_wide", F.lit(k)))) for k in range(WIDE)), F.lit(0))
+    near = F.coalesce((NUM + DEN) * far <= (DEN - NUM) * (F.col("a_n") + F.col("b_n")), F.lit(True))
+    first = ~F.arrays_overlap("a_earlier", "b_earlier")
+    return a.join(b, (a["word"] == b["word"]) & _may_link() & near & first, "left_semi").select("word", F.col("a_c").alias("c"), F.col("a_n").alias("n"), F.col("a_earlier").alias("earlier"))
+
+
+def _counts(owners: DataFrame, classes: DataFrame, sets: DataFrame, block_words: int) -> DataFrame:
+    """(c, n_links, earliest): of each class that has any."""
+    weights = owners.groupBy("word").agg(F.sum("n").alias("weight")).where(F.col("weight") > block_words)
+    cut = small_or_not(stored(weights.select("word", F.ceil(F.col("weight") / block_words).cast("int").alias("blocks"))), 32)
+    dealt = owners.join(cut, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    whole = dealt.join(sets, "c").join(classes.select("c", "place"), "c")
+    meets = whole.select("word", "c", "place", "ids", "earlier", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = meets.groupBy("word", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("c", "place", "ids", "earlier", "own")).alias("all")).where(F.size("all") > 1)
+
+    def links(a: Column, b: Column) -> Column:
+        apart = (a["c"] != b["c"]) & ((F.col("x") == F.col("y")) | (a["own"] != b["own"]))
+        sizes = F.size(a["ids"]) + F.size(b["ids"])
+        near = (DEN * F.size(a["ids"]) >= NUM * F.size(b["ids"])) & (DEN * F.size(b["ids"]) >= NUM * F.size(a["ids"]))
+        return apart & near & ~F.arrays_overlap(a["earlier"], b["earlier"]) & ((NUM + DEN) * F.size(F.array_intersect(a["ids"], b["ids"])) >= NUM * sizes)
+
+    def linked(a: Column) -> Column:
+        partners = F.transform(F.filter("all", lambda b: links(a, b)), lambda b: b["place"])
+        return F.struct(a["c"].alias("c"), partners.alias("p"))
+
+    found = blocks.select(F.inline(F.transform(F.transform("all", linked), lambda r: F.struct(r["c"].alias("c"), F.size(r["p"]).alias("k"), F.array_min(r["p"]).alias("first")))))
+    return found.where("k > 0").groupBy("c").agg(F.sum("k").alias("n_links"), F.min("first").alias("earliest"))
+
+
+def similar_lines(docs: DataFrame, slots: int = SLOTS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row (doc_id, line, text_hash, chars, removed, n_links) for each line of `docs` (doc_id, text) that has a word.
 
     n_links: how many other word sets of the corpus are similar to the line's; lines of the same
-    set are not links but copies, of which the first alone may stay. doc_id must tell rows apart:
-    of rows that share one, lines of the same number and words are one line. Null ids: left out. Null texts,
-    blank lines and empty input give no rows.
+    set are not links but copies, of which the first alone may stay. Rows that share an id are told
+    apart by the hash of their texts; of rows that repeat, a line that stays does in each. Null
+    ids: left out. Null texts, blank lines and empty input give no rows. Very long lines are sets
+    like any.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    lines, classes = _classes(docs, slots)
-    classes = stored(classes)
-    links = stored(_verified(stored(candidates(classes)), docs))
-    sides = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = sides.groupBy(F.col("a").alias("place")).agg(F.count(F.lit(1)).alias("n_links"), F.min("b").alias("earliest"))
-    known = classes.select("s1", "s2", "n", "place").join(linked, "place", "left")
+    ranks = stored(slot_ranks(docs, slots))
+    lines, classes = _classes(docs, ranks, slots)
+    met = stored(_met(classes))
+    wanted = classes.join(met.select("c").distinct(), "c", "left_semi").select("c", "place", "s1", "s2", "n")
+    sets = stored(_whole_sets(docs, ranks, slots, stored(wanted)))
+    counts = _counts(stored(_owners(met, classes, sets)), classes, sets, block_words)
+    known = classes.select("s1", "s2", "n", "place", "c").join(stored(counts), "c", "left")
     found = lines.join(known, ["s1", "s2", "n"])
-    first = F.struct("doc_id", "line") == F.col("place")
-    return found.select("doc_id", "line", "chars", (~first | F.coalesce(F.col("earliest") < F.col("place"), F.lit(False))).alias("removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = F.struct("doc_id", "line", "text_hash") == F.col("place")
+    return found.select("doc_id", "line", "text_hash", "chars", (~first | F.coalesce(F.col("earliest") < F.col("place"), F.lit(False))).alias("removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def deduplicated_lines(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """`docs` (doc_id, text, ...) with `text` less its removed lines; lines without a word stay. Rows with a null id stay as they are."""
-    gone = similar_lines(docs, slots).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    gone = similar_lines(docs, slots).where("removed").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line").alias("_gone"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    out = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left")
+    return out.select(*[(F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c]) for c in docs.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,21 +393,38 @@ def test_sharding_query_shuffles_texts(spark, tmp_path):
     assert got == {(r["doc_id"], r["shard"], r["slot"]): (len(r["text"]) + 1, zlib.crc32(r["text"].encode())) for r in real}
 
 
-def test_lines_match_brute_force(spark, docs, corpus):
-    rows = [(i, t) for i, t, *_ in corpus if i not in (None, 204) and i != 0] + [(300, "x y z w v\nnew line of its own here"), (301, "x y z w v u\nX  y z w v")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    lines = sorted((i, k, frozenset(words(c.lower()))) for i, t in rows for k, c in enumerate((t or "").split("\n")) if words(c))
-    want, sets = {}, {s for _, _, s in lines}
+def test_lines_match_brute_force(spark, corpus):
+    long = " ".join(f"w{k}" for k in range(300))
+    rows = [(i, t) for i, t, *_ in corpus] + [(300, "x y z w v\nnew line of its own here"), (301, "x y z w v u\nX  y z w v"), (302, long), (303, long.replace("w7 ", "other ") + "\x0bw1\t"), (304, long.replace("w2", "v2")), (305, long.upper() + "\n" + long)]
+    rows += [(310 + k, f"a variant of one line that many share with number n{k} in it") for k in range(40)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, line string").repartition(6)
+    known = [(i, t) for i, t in rows if i is not None]
+    hashed = {t: _xx(t) for _, t in known if t}
+    lines = sorted({(i, k, hashed[t], frozenset(words(c.lower()))) for i, t in known for k, c in enumerate((t or "").split("\n")) if words(c)}, key=lambda x: x[:3])
+    want, sets = {}, {s for *_, s in lines}
     close = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
-    for n, (i, k, s) in enumerate(lines):
-        want[(i, k)] = (any(close(s, other) for _, _, other in lines[:n]), sum(close(s, o) for o in sets if o != s))
-    got = {(r["doc_id"], r["line"]): (r["removed"], r["n_links"]) for r in linededup.similar_lines(df).collect()}
-    assert got == want and any(v[0] for v in want.values()) and any(v[1] for v in want.values())
-    texts = {r["doc_id"]: r["text"] for r in linededup.deduplicated_lines(df.withColumn("_x", F.lit(1))).collect()}
-    assert texts[301] == "" and texts[201] == ""
+    for n, (i, k, h, s) in enumerate(lines):
+        want[(i, k, h)] = (any(close(s, other) for *_, other in lines[:n]), sum(close(s, o) for o in sets if o != s))
+    times = collections.Counter((i, k, hashed[t]) for i, t in known for k, c in enumerate((t or "").split("\n")) if words(c))
+    for slots, block in ((linededup.SLOTS, linededup.BLOCK_WORDS), (64, 50)):
+        rows_got = linededup.similar_lines(df, slots, block).collect()
+        got = {(r["doc_id"], r["line"], r["text_hash"]): (r["removed"], r["n_links"]) for r in rows_got}
+        assert got == want and any(v[0] for v in want.values()) and any(v[1] > 30 for v in want.values())
+        assert collections.Counter((r["doc_id"], r["line"], r["text_hash"]) for r in rows_got) == times
+    texts = collections.defaultdict(list)
+    out = linededup.deduplicated_lines(df.withColumn("_x", F.lit(1)))
+    assert out.columns == ["doc_id", "text", "line", "_x"]
+    for r in out.collect():
+        texts[r["doc_id"]].append(r["text"])
+    assert texts[301] == [""] and texts[201] == [""] and texts[None] == ["no id here"] and len(texts[204]) == 2 and len(texts[0]) == 3 and len(texts[200]) == 1
     assert linededup.similar_lines(df.where("false")).count() == 0
 
 
+def test_lines_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["removed"], r["n_links"]) for r in linededup.similar_lines(df).collect()) == [(1, False, 1), (1, False, 1), (2, True, 1)]
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/LICENSE", True, "Released under the MIT License."), (2, "a/b/x.py", False, "code without any"), (3, "a/b/c/y.py", False, "# Licensed under the Apache License, Version 2.0.\ncode"), (4, "z.py", False, None),
