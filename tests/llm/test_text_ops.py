@@ -379,9 +379,51 @@ def test_shards(spark, docs, corpus, empty):
 
 
 def test_written_shards(spark, docs, tmp_path):
-    sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "s"), n_shards=3)
+    sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "s"), n_shards=3, bucket_rows=7)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 3
+    for k in range(3):
+        slots = [r["slot"] for r in spark.read.parquet(str(tmp_path / "s" / f"shard={k}")).collect()]
+        assert sorted(slots) == list(range(len(slots)))
+
+
+@pytest.fixture
+def settings(spark):
+    """A way to set session settings for a test."""
+    was = {}
+
+    def put(**conf):
+        for k, v in conf.items():
+            k = k.replace("_", ".")
+            was.setdefault(k, spark.conf.get(k))
+            spark.conf.set(k, v)
+
+    yield put
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_shards_follow_from_rows_and_seed(spark, settings):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 1500).alias("text"))
+    layouts = []
+    for partitions, aqe, parts, seed in ((4, "true", 3, 1), (7, "false", 5, 1), (3, "true", 8, 1), (4, "true", 3, 2)):
+        settings(**{"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.enabled": aqe})
+        layouts.append(sorted(((r["shard"], r["slot"]), str(r["doc_id"]), r["text"]) for r in sharding.external_shuffle(rows.repartition(parts), seed=seed, bucket_rows=50, equal_rows=1).collect()))
+    assert layouts[0] == layouts[1] == layouts[2] != layouts[3]
+    # Neighbours in the table are not neighbours in the shards.
+    at = {x[2]: k for k, x in enumerate(layouts[0])}
+    assert np.corrcoef([at[f"text {k}"] for k in range(1500)], range(1500))[0, 1] < 0.1
+
+
+def test_equal_rows_fill_no_bucket(spark):
+    rows = spark.range(30000).select(F.when(F.col("id") >= 20000, F.col("id")).alias("doc_id"), F.when(F.col("id") >= 10000, F.lit("same")).alias("text"))
+    placed = sharding.external_shuffle(rows, 16, bucket_rows=200, equal_rows=100)
+    kinds = collections.Counter((r["doc_id"], r["text"]) for r in placed.select("doc_id", "text").collect())
+    assert kinds[(None, "same")] == 10000 and kinds[(None, None)] == 10000 and len(kinds) == 10002
+    by = placed.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("nulls"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert all(r["n"] == 1875 == r["slots"] == r["last"] + 1 and 500 < r["nulls"] < 750 for r in by)
+    sizes = sharding._numbered(rows.select(F.xxhash64("doc_id", "text").alias("_h1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_h2"), F.struct("doc_id", "text").alias("_row")), rows.select(F.xxhash64("doc_id", "text").alias("_h1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_h2")), 100)
+    assert sizes.groupBy("_h1", "_n").count().agg(F.max("count")).first()[0] == 1
 
 
 def test_sharding_query_shuffles_texts(spark, tmp_path):
