@@ -1,13 +1,15 @@
-"""License scans: sparse TF-IDF cosine of license statements to templates, then inheritance by path.
+"""License scans: sparse TF-IDF cosine of headers and license files to templates, then inheritance by path.
 
-Texts are cut into segments (lines, and sentences within them). A segment that has one of the
-anchors, or that can reach the threshold without, is compared with each template: term counts times
+Texts are cut into segments (lines, and sentences within them); a license file is also one segment
+as a whole. A segment that can reach the threshold is compared with each template: term counts times
 inverse document frequencies, which are counted over all documents for the templates' terms; any
 other term weighs as one that no document has. A document has the license of its best segment, if
-the cosine is high enough.
+the cosine reaches the threshold.
 
-What can reach the threshold is bounded without loss: by Cauchy-Schwarz a cosine is at most the root
-of the squared weights, in the template's unit vector, of the terms that segment and template share.
+What can reach it is bounded without loss: by Cauchy-Schwarz a cosine is at most the root of the
+squared weights, in the template's unit vector, of the terms that segment and template share. So of
+each template, a segment must share one of the heaviest terms without which the rest falls short;
+first whole texts are asked for one of these, then the segments of those that have one.
 
 A directory's license is that of a license file in it. A document without a license of its own
 inherits from its nearest ancestor directory that has one: distinct directories are joined with
@@ -26,20 +28,56 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import read_table, small_or_not, stored
 
-#: License notices, one or more a license.
+_NO_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+    "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+)
+#: License notices and, of short licenses, the whole text; one or more a license.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without "
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+        "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _NO_WARRANTY,
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, either version 2.1 of the License"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 Universal waiver"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License"),
+    ("BSD-3-Clause", _BSD_START + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
+    ("BSD-2-Clause", "Licensed under the Simplified BSD License, with two clauses."),
+    ("BSD-2-Clause", _BSD_START + _BSD_END),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty; permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0."),
 )
-#: Every template has one of these; a segment that does is compared for its score, however low.
-ANCHORS = "licens|permission is hereby"
 THRESHOLD = 0.6
 #: For rounding: scores have six places.
 MARGIN = 1e-5
@@ -65,8 +103,9 @@ def term_weights(docs: DataFrame) -> DataFrame:
     """(term, idf) of the templates' terms, from all of `docs`; and the idf of a term that no document has as term ''."""
     vocabulary = sorted({t for _, text in TEMPLATES for t in _python_terms(text)})
     known = F.array(*[F.lit(t) for t in vocabulary])
-    seen = docs.select(F.explode(F.concat(F.array_intersect(terms(F.coalesce("text", F.lit(""))), known), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    has = F.array_intersect(terms(F.coalesce("text", F.lit(""))), known)
     # The empty term is in every document: its count is theirs.
+    seen = stored(docs.select(F.explode(F.concat(has, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     n = seen.where("term = ''").select("df").scalar()
     every = docs.sparkSession.createDataFrame([(t,) for t in [*vocabulary, ""]], "term string").join(seen, "term", "left")
     return every.select("term", _idf(F.coalesce(n, F.lit(0)), F.when(F.col("term") == "", 0).otherwise(F.coalesce("df", F.lit(0)))).alias("idf"))
@@ -102,43 +141,55 @@ def _squares(idf: DataFrame) -> list[dict[str, float]]:
     return out
 
 
-def can_reach(words: Column, squares: list[dict[str, float]], threshold: float) -> Column:
-    """Whether a segment of these terms can have a cosine of `threshold` to a template; never false for one that has."""
-    least = max(threshold - MARGIN, 0.0) ** 2
-    prefix: set[str] = set()
+def _needed(squares: list[dict[str, float]], least: float) -> Column:
+    """Terms of which a segment has one if its cosine to a template is the root of `least` or more."""
+    needed: set[str] = set()
     for square in squares:
         rest = sum(square.values())
         for t in sorted(square, key=lambda t: (-square[t], t)):
             if rest < least:
                 break
-            prefix.add(t)
+            needed.add(t)
             rest -= square[t]
+    return F.array(*[F.lit(t) for t in sorted(needed)])
+
+
+def can_reach(words: Column, squares: list[dict[str, float]], threshold: float) -> Column:
+    """Whether a segment of these terms can have a cosine of `threshold` to a template; never false for one that has."""
+    least = max(threshold - MARGIN, 0.0) ** 2
     shared = [sum((F.when(F.array_contains(words, t), x).otherwise(0.0) for t, x in square.items()), F.lit(0.0)) >= least for square in squares]
-    return F.arrays_overlap(words, F.array(*[F.lit(t) for t in sorted(prefix)])) & reduce(or_, shared)
+    return F.arrays_overlap(words, _needed(squares, least)) & reduce(or_, shared)
+
+
+def _candidates(docs: DataFrame, squares: list[dict[str, float]], threshold: float) -> DataFrame:
+    """(doc_id, path, segment): segments that can reach the threshold."""
+    needed = _needed(squares, max(threshold - MARGIN, 0.0) ** 2)
+    asked = docs.where(F.arrays_overlap(terms(F.col("text")), needed))
+    whole = F.when(F.coalesce("is_license_file", F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
+    segments = asked.select("doc_id", "path", F.explode(F.concat(F.split(F.col("text"), SEGMENT_ENDS), whole)).alias("segment"))
+    return segments.where(F.arrays_overlap(terms(F.col("segment")), needed)).where(can_reach(terms(F.col("segment")), squares, threshold)).distinct()
 
 
 def licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row (doc_id, path, license, score, origin, from_dir) for each doc_id and path of `docs` (doc_id, path, is_license_file, text).
 
-    origin: `own`, `inherited` or `none`; from_dir: the directory inherited from. `score` is of the
-    document's best segment (no candidate: 0), also where it inherits; candidates are the segments
-    with an anchor, and of the others those that reach the threshold. A license file also counts
-    for its own directory. If several license files of a directory disagree, the highest score
-    decides, then the first name. A null text has no license; a null path inherits nothing. Rows
-    that share doc_id and path are one document. Empty input: no rows.
+    origin: `own`, `inherited` or `none`; from_dir: the directory inherited from. `score` is the
+    cosine of the document's best segment if it reaches the threshold, and else 0. A license file
+    also counts for its own directory. If several license files of a directory disagree, the highest
+    score decides, then the first name. A null text has no license; a null path inherits nothing; a
+    null is_license_file is false. Rows that share doc_id and path are one document. Very long texts
+    are cut and compared like any. Other columns are not looked at. Empty input: no rows.
     """
-    spark = docs.sparkSession
+    docs = docs.select("doc_id", "path", "is_license_file", "text")
     idf = stored(term_weights(docs))
-    segments = docs.select("doc_id", "path", F.explode(F.split(F.col("text"), SEGMENT_ENDS)).alias("segment"))
-    segments = segments.select("*", terms(F.col("segment")).alias("_terms"), F.lower("segment").rlike(ANCHORS).alias("anchored"))
-    candidates = stored(segments.where(F.col("anchored") | can_reach(F.col("_terms"), _squares(idf), threshold)).drop("_terms").distinct())
+    candidates = stored(_candidates(docs, _squares(idf), threshold))
     scores = similarities(candidates.select("segment").distinct(), idf)
-    candidates = candidates.join(scores, "segment").where(F.col("anchored") | (F.col("score") >= threshold))
+    candidates = candidates.join(scores, "segment").where(F.col("score") >= threshold)
     best = candidates.groupBy(F.col("doc_id").alias("_id"), F.col("path").alias("_path")).agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
     directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", ""))
     slim = docs.groupBy("doc_id", "path").agg(F.max("is_license_file").alias("is_license_file"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path"))
-    own = stored(slim.join(best, same, "left").select("doc_id", "path", "is_license_file", directory.alias("dir"), F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.col("score") >= threshold, F.col("license")).alias("license")))
+    own = stored(slim.join(best, same, "left").select("doc_id", "path", "is_license_file", directory.alias("dir"), F.coalesce("score", F.lit(0.0)).alias("score"), "license"))
     rooted = own.where("is_license_file and license is not null and dir is not null").groupBy(F.col("dir").alias("up")).agg(F.min_by("license", F.struct(-F.col("score"), "license")).alias("found"))
     parts = F.split("dir", "/")
     ups = own.select("dir").where("dir is not null").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("up"))
@@ -162,7 +213,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(with_paths(read_table(spark, sf_dir, "documents")))
 
 
-_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))  # none has a single quote
 LICENSES_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || (doc_id // {FOLDER * 10}) || '/' || (doc_id // {FOLDER}) AS dir,
@@ -176,15 +227,16 @@ idf AS (SELECT term, ln(((SELECT count(*) FROM d) + 1)::DOUBLE / (coalesce(df, 0
 unk AS (SELECT ln(((SELECT count(*) FROM d) + 1)::DOUBLE) + 1 AS u),
 tv AS (SELECT template, license, term, n * idf AS x FROM tt JOIN idf USING (term)),
 tn AS (SELECT template, sqrt(sum(x * x)) AS norm FROM tv GROUP BY template),
-cand AS (SELECT DISTINCT doc_id, dir, name, segment FROM (SELECT doc_id, dir, name, unnest(string_split_regex(text, '[.!?][ \\t\\r]+|\\n')) AS segment FROM d) WHERE regexp_matches(lower(segment), '{ANCHORS}')),
+cand AS (SELECT DISTINCT doc_id, dir, name, segment FROM (
+  SELECT doc_id, dir, name, unnest(string_split_regex(text, '[.!?][ \\t\\r]+|\\n')) AS segment FROM d UNION ALL SELECT doc_id, dir, name, text FROM d WHERE is_file)),
 seg AS (SELECT DISTINCT segment FROM cand),
 sc AS (SELECT segment, term, count(*) AS n FROM (SELECT segment, unnest(list_filter(string_split_regex(lower(segment), '{TERM_ENDS}'), lambda x: x <> '')) AS term FROM seg) GROUP BY ALL),
 sv AS (SELECT segment, term, n * coalesce(idf, (SELECT u FROM unk)) AS y FROM sc LEFT JOIN idf USING (term)),
 sl AS (SELECT segment, sqrt(sum(y * y)) AS len FROM sv GROUP BY segment),
 dots AS (SELECT segment, license, template, sum(x / norm * y) AS dot FROM sv JOIN tv USING (term) JOIN tn USING (template) GROUP BY ALL),
 scored AS (SELECT segment, license, round(dot / len, 6) AS score FROM dots JOIN sl USING (segment)),
-best AS (SELECT doc_id, dir, name, license, score FROM cand JOIN scored USING (segment) QUALIFY row_number() OVER (PARTITION BY doc_id, dir, name ORDER BY score DESC, license) = 1),
-own AS (SELECT d.doc_id, d.dir, d.name, d.is_file, coalesce(score, 0) AS score, CASE WHEN score >= {THRESHOLD} THEN license END AS license FROM d LEFT JOIN best USING (doc_id, dir, name)),
+best AS (SELECT doc_id, dir, name, license, score FROM cand JOIN scored USING (segment) WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, dir, name ORDER BY score DESC, license) = 1),
+own AS (SELECT d.doc_id, d.dir, d.name, d.is_file, coalesce(score, 0) AS score, license FROM d LEFT JOIN best USING (doc_id, dir, name)),
 rooted AS (SELECT dir AS up, license AS found FROM own WHERE is_file AND license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
 near AS (SELECT o.dir, up, found FROM (SELECT DISTINCT dir FROM own) o JOIN rooted ON o.dir = up OR starts_with(o.dir, up || '/') QUALIFY row_number() OVER (PARTITION BY o.dir ORDER BY length(up) DESC) = 1)
 SELECT doc_id, own.dir || '/' || name AS path, coalesce(license, found) AS license, score,

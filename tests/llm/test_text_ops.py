@@ -486,12 +486,22 @@ def test_license_headers_without_anchors(spark):
     assert got == {1: ("BSD-3-Clause", "own", None, True), 2: ("BSD-3-Clause", "inherited", "a", False), 3: ("CC-BY-NC-4.0", "own", None, True), 4: (None, "none", None, False)}
 
 
+def test_license_files_are_compared_whole(spark):
+    whole = {name: text for name, text in licenses.TEMPLATES if len(text) > 400}
+    assert len(whole) > 2 and len({name for name, _ in licenses.TEMPLATES}) > 18
+    rows = [(k, f"{name}/LICENSE", True, "Copyright (c) 2001 Someone Else\n\n" + text.replace(" the ", "\nthe ").upper()) for k, (name, text) in enumerate(whole.items())]
+    rows += [(100, "BSD-2-Clause/a.py", False, "x = 1\n" * 50000), (101, "odd/LICENSE", None, "nothing of the kind"), (102, "odd/LICENSE", True, None)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, is_license_file boolean, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.licenses(df).collect()}
+    assert got == {**{k: (name, "own") for k, name in enumerate(whole)}, 100: ("BSD-2-Clause", "inherited"), 101: (None, "none"), 102: (None, "none")}
+
+
 def test_license_filter_loses_nothing(spark):
     rng = np.random.default_rng(3)
     pool = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["alpha", "beta", "gamma"]
     texts = sorted({" ".join(rng.choice(t.split() if k % 2 else pool, rng.integers(1, 14))) for k in range(300) for _, t in licenses.TEMPLATES})
     df = spark.createDataFrame([(t, t) for t in texts], "segment string, text string")
-    idf = licenses.term_weights(df.limit(500)).localCheckpoint()
+    idf = licenses.term_weights(df.limit(500)).cache()
     scores = licenses.similarities(df.select("segment"), idf)
     passed = df.where(licenses.can_reach(licenses.terms(F.col("segment")), licenses._squares(idf), licenses.THRESHOLD)).select("segment")
     reach = scores.where(F.col("score") >= licenses.THRESHOLD)
