@@ -5,6 +5,7 @@ Lines of the same set are one class. Rarity is how many words of the corpus fall
 the hash; any order gives the same result, a good one short lists. Two sets of Jaccard 0.8 or more
 share a word among the first n - ceil(0.8 n) + 1 of each, and what they share begins at the first
 such word: so a pair belongs to that word, and to be met there both must have enough words left.
+Postings know a word by the upper half of its id: words that share it only make sets meet in vain.
 
 Pairs are never rows. Of all postings, those remain that some other of their word may link to by
 length, position and a bitmap of the words (a semi-join), then those of whose partners one shares
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import read_table, small_or_not, stored, words_of
 
 #: Rarity is told by the slot of a word's hash, one byte each: a power of two, about a quarter of the vocabulary or more.
-SLOTS = 1 << 17
+SLOTS = 1 << 16
 #: Jaccard threshold NUM / DEN, so that an overlap o of sizes m and n suffices if (NUM + DEN) * o >= NUM * (m + n).
 NUM, DEN = 4, 5
 #: Words of the sets of a block, of which two meet in a task (a larger set is a block of its own).
@@ -33,11 +34,11 @@ LONG_LINE, WIDE = 128, 8
 
 
 def slot_ranks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row, `ranks`: of each slot, three times the binary logarithm of the number of words in it, 0 to 127."""
+    """One row, `ranks`: of each slot, the binary logarithm of the number of words in it, 0 to 31."""
     words = docs.select(F.explode(_words(F.translate(F.coalesce("text", F.lit("")), "\n", " "))).alias("w"))
     counts = words.groupBy(_slot(F.xxhash64("w"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     spine = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    rank = F.least(F.lit(127), F.floor(3 * F.log2(F.coalesce("n", F.lit(1))))).cast("tinyint").alias("rank")
+    rank = F.least(F.lit(31), F.floor(F.log2(F.coalesce("n", F.lit(1))))).cast("tinyint").alias("rank")
     return spine.join(counts, "slot", "left").select("slot", rank).groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", "rank"))).alias("r")).select(F.col("r.rank").alias("ranks"))
 
 
@@ -54,7 +55,7 @@ def _ids(line: Column, ranks: Column, slots: int) -> Column:
     """The line's set of word ids, rarest first."""
 
     def coded(h: Column) -> Column:
-        return F.shiftleft(F.get(ranks, _slot(h, slots)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(F.get(ranks, _slot(h, slots)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
 
     return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), coded)))
 
@@ -83,7 +84,8 @@ def _signature() -> list[Column]:
 
 def _classes(docs: DataFrame, ranks: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
     """(lines with their class's signature, classes with a number `c`, place, size, bitmap and prefix)."""
-    prefix = F.slice("ids", F.lit(1), F.expr(f"size(ids) - (({NUM} * size(ids) + {DEN - 1}) div {DEN}) + 1").cast("int"))
+    first = F.slice("ids", F.lit(1), F.expr(f"size(ids) - (({NUM} * size(ids) + {DEN - 1}) div {DEN}) + 1").cast("int"))
+    prefix = F.transform(first, lambda x: F.shiftright(x, 32).cast("int"))
     bits = [_toggled(F.col("ids"), k, 2).alias(f"bits{k}") for k in (0, 1)]
     lines = stored(_lines(docs, ranks, slots).select("doc_id", "line", "text_hash", "chars", *_signature(), *bits, prefix.alias("prefix")))
     place = F.min(F.struct("doc_id", "line", "text_hash")).alias("place")
@@ -91,25 +93,21 @@ def _classes(docs: DataFrame, ranks: DataFrame, slots: int) -> tuple[DataFrame,
     return lines.drop("bits0", "bits1", "prefix"), stored(classes.withColumn("c", F.monotonically_increasing_id()))
 
 
-def _sides(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`postings` twice, all columns but the word with an a or b in front."""
-    return tuple(postings.select("word", *[F.col(x).alias(f"{side}_{x}") for x in postings.columns if x != "word"]) for side in "ab")
-
-
 def _may_link() -> Column:
     """Of two classes that share a word and none before it: what length, positions and bitmap allow."""
-    need = NUM * (F.col("a_n") + F.col("b_n"))
-    length = (DEN * F.col("a_n") >= NUM * F.col("b_n")) & (DEN * F.col("b_n") >= NUM * F.col("a_n"))
-    room = (NUM + DEN) * F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= need
+    need = NUM * (F.col("a.n") + F.col("b.n"))
+    length = (DEN * F.col("a.n") >= NUM * F.col("b.n")) & (DEN * F.col("b.n") >= NUM * F.col("a.n"))
+    room = (NUM + DEN) * F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need
     # As many bits differ as words at most that one has and the other lacks.
-    apart = F.bit_count(F.col("a_bits0").bitwiseXOR(F.col("b_bits0"))) + F.bit_count(F.col("a_bits1").bitwiseXOR(F.col("b_bits1")))
-    return (F.col("a_c") != F.col("b_c")) & length & room & ((NUM + DEN) * apart <= (DEN - NUM) * (F.col("a_n") + F.col("b_n")))
+    apart = F.bit_count(F.col("a.bits0").bitwiseXOR(F.col("b.bits0"))) + F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1")))
+    return (F.col("a.c") != F.col("b.c")) & length & room & ((NUM + DEN) * apart <= (DEN - NUM) * (F.col("a.n") + F.col("b.n")))
 
 
 def _met(classes: DataFrame) -> DataFrame:
     """(word, c, at): postings with a partner that `_may_link` allows."""
-    a, b = _sides(classes.select("c", "n", "bits0", "bits1", F.posexplode("prefix").alias("at", "word")))
-    return a.join(b, (a["word"] == b["word"]) & _may_link(), "left_semi").select("word", F.col("a_c").alias("c"), F.col("a_at").alias("at"))
+    postings = classes.select("n", "bits0", "bits1", "c", F.posexplode("prefix").alias("at", "word"))
+    # In the order of the table, under aliases only: both sides are one exchange.
+    return postings.alias("a").join(postings.alias("b"), (F.col("a.word") == F.col("b.word")) & _may_link(), "left_semi").select("word", "c", "at")
 
 
 def _whole_sets(docs: DataFrame, ranks: DataFrame, slots: int, wanted: DataFrame) -> DataFrame:
@@ -127,11 +125,10 @@ def _owners(met: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     wide = F.when(F.col("n") >= LONG_LINE, F.array(*[_toggled(F.col("ids"), k, WIDE) for k in range(WIDE)]))
     placed = known.select("c", "n", "bits0", "bits1", wide.alias("wide"), F.col("w.word").alias("words"), F.posexplode("w").alias("k", "x"))
     postings = stored(placed.select("x.word", "c", "n", "bits0", "bits1", "wide", "x.at", F.slice("words", F.lit(1), F.col("k")).alias("earlier")))
-    a, b = _sides(postings)
-    far = sum((F.bit_count(F.get("a_wide", F.lit(k)).bitwiseXOR(F.get("b_wide", F.lit(k)))) for k in range(WIDE)), F.lit(0))
-    near = F.coalesce((NUM + DEN) * far <= (DEN - NUM) * (F.col("a_n") + F.col("b_n")), F.lit(True))
-    first = ~F.arrays_overlap("a_earlier", "b_earlier")
-    return a.join(b, (a["word"] == b["word"]) & _may_link() & near & first, "left_semi").select("word", F.col("a_c").alias("c"), F.col("a_n").alias("n"), F.col("a_earlier").alias("earlier"))
+    far = sum((F.bit_count(F.get("a.wide", F.lit(k)).bitwiseXOR(F.get("b.wide", F.lit(k)))) for k in range(WIDE)), F.lit(0))
+    near = F.coalesce((NUM + DEN) * far <= (DEN - NUM) * (F.col("a.n") + F.col("b.n")), F.lit(True))
+    first = ~F.arrays_overlap("a.earlier", "b.earlier")
+    return postings.alias("a").join(postings.alias("b"), (F.col("a.word") == F.col("b.word")) & _may_link() & near & first, "left_semi").select("word", "c", "n", "earlier")
 
 
 def _counts(owners: DataFrame, classes: DataFrame, sets: DataFrame, block_words: int) -> DataFrame:
