@@ -20,8 +20,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,11 +152,15 @@ def _needed(squares: list[dict[str, float]], least: float) -> Column:
     return F.array(*[F.lit(t) for t in sorted(needed)])
 
 
-def can_reach(words: Column, squares: list[dict[str, float]], threshold: float) -> Column:
-    """Whether a segment of these terms can have a cosine of `threshold` to a template; never false for one that has."""
+def can_reach(segments: DataFrame, squares: list[dict[str, float]], threshold: float) -> DataFrame:
+    """The `segments` (segment, ...) that can have a cosine of `threshold` to a template; all that have one."""
     least = max(threshold - MARGIN, 0.0) ** 2
-    shared = [sum((F.when(F.array_contains(words, t), x).otherwise(0.0) for t, x in square.items()), F.lit(0.0)) >= least for square in squares]
-    return F.arrays_overlap(words, _needed(squares, least)) & reduce(or_, shared)
+    weights = segments.sparkSession.createDataFrame([({t: [square.get(t, 0.0) for square in squares] for t in sorted({t for square in squares for t in square})},)], "w map<string, array<double>>")
+    # A map of the templates' terms, one value a template: its size is fixed, and few segments come to it.
+    some = segments.where(F.arrays_overlap(terms(F.col("segment")), _needed(squares, least))).withColumn("_w", weights.scalar())
+    none = F.array_repeat(F.lit(0.0), len(squares))
+    shared = F.aggregate(F.array_intersect(terms(F.col("segment")), F.map_keys("_w")), none, lambda sums, t: F.zip_with(sums, F.element_at("_w", t), lambda a, x: a + x))
+    return some.where(F.exists(shared, lambda x: x >= least)).drop("_w")
 
 
 def _candidates(docs: DataFrame, squares: list[dict[str, float]], threshold: float) -> DataFrame:
@@ -167,7 +169,7 @@ def _candidates(docs: DataFrame, squares: list[dict[str, float]], threshold: flo
     asked = docs.where(F.arrays_overlap(terms(F.col("text")), needed))
     whole = F.when(F.coalesce("is_license_file", F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
     segments = asked.select("doc_id", "path", F.explode(F.concat(F.split(F.col("text"), SEGMENT_ENDS), whole)).alias("segment"))
-    return segments.where(F.arrays_overlap(terms(F.col("segment")), needed)).where(can_reach(terms(F.col("segment")), squares, threshold)).distinct()
+    return can_reach(segments, squares, threshold).distinct()
 
 
 def licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

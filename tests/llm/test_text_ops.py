@@ -503,7 +503,7 @@ def test_license_filter_loses_nothing(spark):
     df = spark.createDataFrame([(t, t) for t in texts], "segment string, text string")
     idf = licenses.term_weights(df.limit(500)).cache()
     scores = licenses.similarities(df.select("segment"), idf)
-    passed = df.where(licenses.can_reach(licenses.terms(F.col("segment")), licenses._squares(idf), licenses.THRESHOLD)).select("segment")
+    passed = licenses.can_reach(df, licenses._squares(idf), licenses.THRESHOLD).select("segment")
     reach = scores.where(F.col("score") >= licenses.THRESHOLD)
     assert reach.count() > 50 and reach.join(passed, "segment", "left_anti").count() == 0 and passed.count() < len(texts)
 
