@@ -35,7 +35,7 @@ LONG_LINE, WIDE = 128, 8
 
 def slot_ranks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """One row, `ranks`: of each slot, the binary logarithm of the number of words in it, 0 to 31."""
-    words = docs.select(F.explode(_words(F.translate(F.coalesce("text", F.lit("")), "\n", " "))).alias("w"))
+    words = docs.select(F.explode(words_of(F.lower("text"))).alias("w"))
     counts = words.groupBy(_slot(F.xxhash64("w"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     spine = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     rank = F.least(F.lit(31), F.floor(F.log2(F.coalesce("n", F.lit(1))))).cast("tinyint").alias("rank")
@@ -46,18 +46,13 @@ def _slot(h: Column, slots: int) -> Column:
     return h.bitwiseAND(F.lit(slots - 1)).cast("int")
 
 
-def _words(line: Column) -> Column:
-    """`words_of` in lower case, for a text without line ends."""
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " "), "")
-
-
 def _ids(line: Column, ranks: Column, slots: int) -> Column:
     """The line's set of word ids, rarest first."""
 
     def coded(h: Column) -> Column:
         return F.shiftleft(F.get(ranks, _slot(h, slots)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), coded)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words_of(F.lower(line)), lambda w: F.xxhash64(w)), coded)))
 
 
 def _toggled(ids: Column, part: int, parts: int) -> Column:
