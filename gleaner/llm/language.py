@@ -5,9 +5,13 @@ j of the table holds one bit for each language, so that one lookup, the AND of a
 slots, returns all languages that have the gram. A text's languages are decided by popcounts: per
 language, the grams found less those expected by false positives, which the filter's fill tells.
 
-Grams are counted over all teaching rows. A language keeps those that make up at least MIN_SHARE of
-its grams and of which it has at least RIVAL of what the language richest in them has: at most
-1 / MIN_SHARE a language, so the table is bounded at any corpus size.
+Grams are counted over all teaching rows. A gram is a language's if it makes up at least MIN_SHARE of
+the language's grams, and at least RIVAL of its share in the language that is richest in it. This is
+what having a gram means here, at every corpus size, and it leaves at most 1 / MIN_SHARE a language.
+If one occurrence were enough, stray words and wrong labels would fill every filter with the grams
+of all languages as the corpus grows: at sf0.1 the runner-up then already has 95 % of a text's grams
+(median), against 84 % for grams of five occurrences; held-out accuracy is 99.8 %, 100 % and with
+both shares 100 %.
 """
 
 from __future__ import annotations

@@ -20,11 +20,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gleaner.llm.common import read_table, stored
+from gleaner.llm.common import read_table, small_or_not, stored
 from gleaner.llm.graph import components
 
 SHINGLE = 4
@@ -107,11 +107,14 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
     found = patterns(distance, segments, chain)
     signed = [m - (1 << 64) if m >> 63 else m for m, _ in found]
     keys = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for k, m in enumerate(signed)])
-    keyed = prints.select("fp", F.inline(keys)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("p", "m"))).where("n > 1")
-    blocks = keyed.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+    keyed = prints.select("fp", F.inline(keys))
+    # Counts are summed before they are shuffled, and only keys of several fingerprints gather rows.
+    several = stored(keyed.groupBy("p", "m").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    blocks = keyed.join(small_or_not(several, 40), ["p", "m"]).withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     met = (
         blocks.select("p", "m", "fp", "x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"))
         .select("p", "m", "fp", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        .repartition("p", "m", "x", "y")
         .groupBy("p", "m", "x", "y")
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
         .where(F.size("fps") > 1)
@@ -159,9 +162,10 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     stays = _clustered(docs, distance).groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return hashed.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    kept = rows.join(stays, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

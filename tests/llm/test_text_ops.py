@@ -120,8 +120,8 @@ def test_simhash_matches_brute_force(spark, docs, corpus):
             least[root(k)] = min(least.get(root(k), 10**9), i)
     want = collections.Counter((i, prints[k], least.get(root(k))) for k, (i, *_) in enumerate(corpus))
     assert collections.Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == want
-    stays = simhash.deduplicated(docs)
-    assert stays.columns == docs.columns
+    stays = simhash.deduplicated(docs.withColumn("_text_hash", F.lit(7)).withColumn("row", F.lit(1)))
+    assert stays.columns == [*docs.columns, "_text_hash", "row"] and stays.select("_text_hash").distinct().first()[0] == 7
     ids = [r["doc_id"] for r in stays.collect()]
     assert len(ids) == len({root(k) for k in range(len(corpus))})
     assert {i for i in ids if i is not None} == set(least.values())
@@ -210,6 +210,60 @@ def test_leaks_match_brute_force(spark):
     assert want and got == want
 
 
+def brute_template(t):
+    """(template words, literal words) of a text: numbers, units after them, and capitalised words that open no sentence."""
+    raw, out = words(t), []
+    for k, w in enumerate(raw):
+        core = re.sub(r"[^\w]|_", "", w)
+        if not core:
+            continue
+        opens = k == 0 or raw[k - 1][-1] in ".!?:"
+        kind = "<n>" if core[0].isdigit() else "<u>" if out and out[-1][0] == "<n>" and core.lower() in decontaminate.UNITS else "<x>" if core[0].isupper() and len(core) > 1 and not opens else core.lower()
+        out.append((kind, core.lower()))
+    return out
+
+
+def brute_match(item, doc):
+    """(windows of the item, found in the document, slots, share that agrees), without names that open sentences."""
+
+    def windows_of(rows):
+        for k in range(len(rows) - 4):
+            part = rows[k : k + 5]
+            plain = sum(x[0][0] != "<" for x in part) < decontaminate.LEAST_LITERAL
+            yield k, tuple(x[1] if plain else x[0] for x in part), tuple(x[1] for x in part), part
+
+    a, b = list(windows_of(brute_template(item))), list(windows_of(brute_template(doc)))
+    hits = [(i, j, x, y) for i, t, lit, x in a for j, u, lit2, y in b if t == u or lit == lit2 or t == lit2 or lit == u]
+    found = {t for i, t, *_ in a if any(h[0] == i for h in hits)}
+    slots = [(j - i, p[1], q[1]) for i, j, x, y in hits for p, q in zip(x, y, strict=True) if p[0][0] == "<" and p[0] == q[0]]
+    agree = lambda this, other: sum(max(collections.Counter(s[other] for s in slots if (s[0], s[this]) == key).values()) for key in {(s[0], s[this]) for s in slots})
+    return len({t for _, t, *_ in a}), len(found), len(slots), min(agree(1, 2), agree(2, 1)) / len(slots) if slots else 1.0
+
+
+def test_templates_and_slots_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    item = "A tank holds 40 litres and a pump of Nora fills 5 litres in 3 minutes while another of Omar empties 2 litres in 4 minutes, so how long until 40 litres are in the tank of Nora"
+    docs, numbers, names = [], ["40", "5", "3", "2", "4", "7", "90"], ["Nora", "Omar", "Lena", "Ivan"]
+    for k in range(80):
+        t = item.split()
+        swap = {x: str(rng.choice(numbers)) for x in ("40", "5", "3", "2", "4")} if k % 2 else {}
+        swap |= {x: str(rng.choice(names)) for x in ("Nora", "Omar")} if k % 3 else {}
+        t = [swap.get(w, w) for w in t]
+        for _ in range(int(rng.integers(0, 4))):
+            t[int(rng.integers(0, len(t)))] = str(rng.choice([*numbers, *names, "water", "slowly"]))
+        docs.append((k, " ".join(["well", *t, "end"])))
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    held = 0
+    for k, t in docs:
+        n, found, slots, agreement = brute_match(item, t)
+        want = found >= 0.8 * n and agreement >= 0.8
+        assert (k in got) == want, (t, n, found, agreement)
+        if want:
+            held += 1
+            assert (got[k]["n_windows"], got[k]["n_found"]) == (n, found) and abs(got[k]["agreement"] - agreement) < 1e-9
+    assert 5 < held < 75
+
+
 def test_no_benchmark(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, none).count() == 0
@@ -241,6 +295,43 @@ def test_filters_hold_what_they_were_given(spark):
     assert all(table[s].all() for s in language._slots(grams))
 
 
+def brute_grams(t):
+    """Grams of 1 to 4 characters of a text's words, with a space before and after each."""
+    words_ = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    return [g for w in words_ for s in [f" {w} "] for n in language.SIZES for k in range(len(s) - n + 1) for g in [s[k : k + n]] if g.strip()]
+
+
+def test_filters_and_popcounts_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    taught = [(" ".join("".join(rng.choice(list(letters), rng.integers(1, 6))) for _ in range(30)), lang) for lang, letters in (("de", "abcüß"), ("en", "abcdef"), ("fr", "éèbcdg")) for _ in range(12)]
+    counts = {lang: collections.Counter(g for t, x in taught if x == lang for g in brute_grams(t)) for lang in ("de", "en", "fr")}
+    got = collections.Counter()
+    for r in language.gram_counts(spark.createDataFrame(taught, "text string, lang string").repartition(3)).collect():
+        got[r["lang"]] += r["n"]
+    assert got == {lang: c.total() for lang, c in counts.items()}
+    share = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in counts.items()}
+    most = collections.defaultdict(float)
+    for s in share.values():
+        for g, x in s.items():
+            most[g] = max(most[g], x)
+    has = {lang: {g for g, x in s.items() if x >= language.MIN_SHARE and x >= language.RIVAL * most[g]} for lang, s in share.items()}
+    f = language.fit(spark.createDataFrame(taught, "text string, lang string"))
+    assert f.langs == sorted(has)
+    asked = [t for t, _ in taught[::5]] + ["abc éé", "zz", "x" * 3000, "", "ü"]
+    names, scores = language.decide(f, pa.array(asked))
+    for t, name, score in zip(asked, names, scores, strict=True):
+        grams = brute_grams(t)
+        hits = np.array([sum(g in has[lang] for g in grams) for lang in f.langs], float)
+        if not grams:
+            assert name == "und" and score == 0
+        elif hits.sum() == 0:
+            assert name == f.fallback
+        else:
+            # No false positive is expected of so few grams; the correction takes off as many as there might be.
+            true = np.maximum(hits - len(grams) * f.false, 0) / (1 - f.false)
+            assert name == f.langs[int(true.argmax())] and abs(score - true.max() / true.sum()) < 1e-9
+
+
 def test_language_on_the_tables(spark):
     out = language.op3_language_id(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang"), "doc_id")
     right, n = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
