@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Grey weights of blue, green, red.
 GREY = (0.114, 0.587, 0.299)
 HASH_ROWS, HASH_COLS = 8, 8
-#: Role classes; any other is read as unknown.
+#: Role classes; any other is read as unknown.
 ROLES = ("villager", "outcast", "minion", "demon", "unknown")
 UNKNOWN = "unknown"
 
@@ -82,3 +84,20 @@ def unit(v: Column, least: float = 1e-9) -> Column:
     """`v` over its length; all zeros if that is under `least`."""
     n = F.sqrt(dot(v, v))
     return F.when(n < least, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.transform(v, lambda x: x / n))
+
+
+def exact_round(x: Column, digits: int) -> Column:
+    """The nearest decimal of so many digits to the exact binary value, half to even; Spark's own rounding goes by the shortest decimal."""
+
+    @F.arrow_udf(DoubleType())
+    def rounded(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else round(v, digits) for v in values.to_pylist()], pa.float64())
+
+    return rounded(x)
+
+
+def iso_time(seconds: Column) -> Column:
+    """Seconds since 1970 as ISO-8601 in UTC, whatever the session's zone: YYYY-MM-DDTHH:MM:SS+00:00."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    rest = F.floor(seconds).cast("long") - F.floor(seconds / 86400) * 86400
+    return F.format_string("%sT%02d:%02d:%02d+00:00", day.cast("string"), F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)

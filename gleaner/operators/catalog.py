@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.scalar import valid_role
+from gleaner.operators.sizes import small_or_not
 
 SCHEMA_VERSION = "0.2.0"
 #: File types of card art, and name parts of files that are none.
@@ -14,8 +15,8 @@ NOT_ART = ("edit", "license", "cc-", "wiki.png", "logo", "favicon", "ambox", "co
 
 
 def aliased(rows: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
-    """`rows` with `identity`: the alias table's (alias, canonical) name, or the name itself. The table is a small dimension."""
-    return rows.join(F.broadcast(aliases), F.col(name) == F.col("alias"), "left").withColumn("identity", F.coalesce("canonical", name)).drop("alias", "canonical")
+    """`rows` with `identity`: the alias table's (alias, canonical) name, or the name itself."""
+    return rows.join(small_or_not(aliases, 64), F.col(name) == F.col("alias"), "left").withColumn("identity", F.coalesce("canonical", name)).drop("alias", "canonical")
 
 
 def gallery_counts(entries: DataFrame, role: str, identity: str) -> DataFrame:
@@ -50,9 +51,45 @@ def manifest(entries: DataFrame, role: str, identity: str, file: str) -> DataFra
     return files.groupBy(role).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(identity, "files")))).alias("entries"))
 
 
-def manifest_summary(manifests: DataFrame, role: str) -> DataFrame:
-    """Per role: identities and files."""
-    return manifests.select(role, F.explode("entries").alias("k", "v")).groupBy(role).agg(F.count(F.lit(1)).alias("n_identities"), F.sum(F.size("v")).alias("n_files"))
+def manifest_summary(entries: DataFrame, role: str, identity: str, file: str) -> DataFrame:
+    """Per role: identities and files. Counts alone: the manifest's maps are made only where they are written."""
+    return entries.groupBy(role).agg(F.countDistinct(identity).alias("n_identities"), F.count(file).alias("n_files"))
+
+
+def skipped_union(*names: DataFrame) -> DataFrame:
+    """Distinct names of one-column tables, in order."""
+    out = names[0]
+    for other in names[1:]:
+        out = out.union(other)
+    return out.distinct().orderBy(out.columns[0])
+
+
+def write_manifest(manifests: DataFrame, skipped: DataFrame, path: str) -> None:
+    """One JSON document: roles with their entries, and the sorted names of skipped images. For a gallery, whose size a person can look through."""
+    roles = manifests.groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(*manifests.columns)))).alias("roles"))
+    names = skipped.distinct().groupBy().agg(F.sort_array(F.collect_list(skipped.columns[0])).alias("n")).scalar()
+    roles.select(F.to_json(F.struct("roles", names.alias("skipped_images"))).alias("value")).coalesce(1).write.text(path)
+
+
+def stem_lookup(wanted: DataFrame, prefix: str, files: DataFrame, path: str) -> DataFrame:
+    """(prefix, path) of each wanted prefix: the first path, in order, whose file stem starts with it; null if none does.
+
+    Stems are cut to the lengths that the prefixes have, so the match is a hash join.
+    """
+    lengths = wanted.select(F.length(prefix).alias("n")).distinct().groupBy().agg(F.sort_array(F.collect_list("n")).alias("all")).scalar()
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    cut = files.select(F.col(path).alias("_p"), stem.alias("_s"), lengths.alias("_all")).select("_p", "_s", F.explode("_all").alias("_n")).where(F.length("_s") >= F.col("_n"))
+    heads = cut.select("_p", F.left("_s", F.col("_n")).alias("_head"))
+    first = heads.groupBy("_head").agg(F.min("_p").alias("path"))
+    return wanted.select(prefix).join(first, F.col(prefix) == F.col("_head"), "left").select(prefix, "path")
+
+
+def zipped(boxes: DataFrame, identities: DataFrame, frame: str, slot: str) -> DataFrame:
+    """Boxes with the identities of the same frame and place in order; a frame that has not as many of both is an error."""
+    both = boxes.withColumn("_box", F.lit(True)).join(identities.withColumn("_name", F.lit(True)), [frame, slot], "full")
+    whole = F.col("_box").isNotNull() & F.col("_name").isNotNull()
+    odd = F.raise_error(F.concat(F.lit("boxes and identities differ in number in frame "), F.col(frame).cast("string")))
+    return both.where(F.when(whole, F.lit(True)).otherwise(odd.cast("boolean"))).drop("_box", "_name")
 
 
 def snapshots(frames: DataFrame, cards: DataFrame, frame: str) -> DataFrame:
@@ -84,9 +121,24 @@ def crop_file(stem: Column, index: Column, seconds: Column, slot: Column) -> Col
     return F.format_string("%s_%06d_t%07.1fs_s%02d.png", stem, index, seconds, slot)
 
 
-def write_snapshots(records: DataFrame, path: str) -> None:
-    """One JSON document a line."""
-    records.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+def write_snapshots(records: DataFrame, path: str, frame: str | None = None) -> None:
+    """One JSON document a line; with `frame`, a folder a frame, of one document each."""
+    value = F.to_json(F.struct("*")).alias("value")
+    if frame is None:
+        records.select(value).write.text(path)
+    else:
+        records.select(F.col(frame).alias("frame"), value).write.partitionBy("frame").text(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """One JSON document a row, with nulls: a crop manifest or a session's frames."""
+    rows.write.option("ignoreNullFields", False).json(path)
+
+
+def write_session(captures: DataFrame, counters: DataFrame, path: str) -> None:
+    """A recorded session: `frames`, a line a frame, and `session`, a line a session with its counters."""
+    write_lines(captures, f"{path}/frames")
+    write_lines(counters, f"{path}/session")
 
 
 def fused(readings: DataFrame, slot: str, identity: str, margin: str, seconds: str, decay: float) -> DataFrame:

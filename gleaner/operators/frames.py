@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.scalar import hamming, stride_for_fps, timestamp_of
+from gleaner.functions.scalar import stride_for_fps, timestamp_of, unit
 
 NEAR_BITS = 8
 BRIGHT, RATIO, RED = 160.0, 2.0, 10.0
+BINS = 512
 
 
 def strided(frames: DataFrame, media_fps: Column, target_fps: Column, index: str = "frame_index") -> DataFrame:
@@ -17,30 +21,41 @@ def strided(frames: DataFrame, media_fps: Column, target_fps: Column, index: str
     return frames.withColumn("stride", stride).where(F.col(index) % F.col("stride") == 0).withColumn("timestamp_s", timestamp_of(F.col(index), media_fps))
 
 
-def _fold_kept(rows: DataFrame, by: str, order: list[str], value: str, apart) -> DataFrame:
-    """Keep a row of a group if it is the first in order or `apart` from the last row kept.
+def _fold_kept(rows: DataFrame, by: str, order: list[str], value: str, apart: Callable[[object, object], bool]) -> DataFrame:
+    """`rows` with `kept`: whether a row of a group is the first in order or `apart` from the last row kept; so is one with a null.
 
-    The state is one value, but the walk is in order: it runs within a group, over its values only.
+    A group's rows come sorted, batch by batch, and the walk holds one value: memory does not grow with the group.
     """
-    entry = F.struct(*order, F.col(value).alias("v"))
-    lists = rows.groupBy(by).agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    start = F.struct(F.lit(None).cast(dict(rows.dtypes)[value]).alias("last"), F.array().cast("array<boolean>").alias("keep"))
 
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.coalesce(apart(x["v"], acc["last"]), F.lit(True))
-        return F.struct(F.when(kept, x["v"]).otherwise(acc["last"]).alias("last"), F.concat(acc["keep"], F.array(kept)).alias("keep"))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, group, last = False, None, None
+        for batch in batches:
+            flags = []
+            for key, v in zip(batch.column(by).to_pylist(), batch.column(value).to_pylist(), strict=True):
+                kept = not started or key != group or v is None or last is None or apart(v, last)
+                started, group = True, key
+                if kept:
+                    last = v
+                flags.append(kept)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*batch.schema.names, "kept"])
+
+    rows = rows.drop("kept")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + ", kept boolean"
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(walk, schema)
 
-    flags = F.aggregate("e", start, step, lambda acc: acc["keep"])
-    return lists.select(by, F.explode(F.arrays_zip(F.col("e"), flags.alias("keep"))).alias("r")).select(by, *[F.col(f"r.e.{c}").alias(c) for c in order], F.col("r.e.v").alias(value), F.col("r.keep").alias("kept"))
+
+def far(threshold: int) -> Callable[[int, int], bool]:
+    """Whether two 64-bit hashes differ in more than `threshold` bits."""
+    return lambda a, b: ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() > threshold
 
 
 def dedup_last_kept(rows: DataFrame, by: str, order: list[str], hash_col: str = "dhash", threshold: int = NEAR_BITS) -> DataFrame:
-    """(by, order..., hash, kept): kept if over `threshold` bits from the last kept hash of the group. `order` must be total."""
-    return _fold_kept(rows, by, order, hash_col, lambda v, last: hamming(v, last) > threshold)
+    """`rows` with `kept`: over `threshold` bits from the last kept hash of the group. `order` must be total. Pass slim rows: all columns are sorted."""
+    return _fold_kept(rows, by, order, hash_col, far(threshold))
 
 
 def thinned(rows: DataFrame, by: str, order: list[str], seconds: str, max_fps: float) -> DataFrame:
-    """(by, order..., seconds, kept): kept if at least 1 / max_fps after the last kept row of the group."""
+    """`rows` with `kept`: at least 1 / max_fps after the last kept row of the group."""
     return _fold_kept(rows, by, order, seconds, lambda v, last: v - last >= 1.0 / max_fps)
 
 
@@ -49,8 +64,16 @@ def select_frames(frames: DataFrame, by: str, order: list[str], threshold: int =
 
     Dedup comes first: a kept frame of another state still is what later ones are compared with.
     """
-    kept = dedup_last_kept(frames, by, order, "dhash", threshold).where("kept").drop("kept", "dhash")
-    return frames.join(kept, [by, *order], "left_semi").where(F.col("state") == state)
+    return dedup_last_kept(frames, by, order, "dhash", threshold).where(F.col("kept") & (F.col("state") == state)).drop("kept")
+
+
+def first_of(rows: DataFrame, by: str | None, order: list[str], most: int) -> DataFrame:
+    """The first `most` rows in order, of each group or, without `by`, of all; not above 0: all rows."""
+    if most <= 0:
+        return rows
+    if by is None:
+        return rows.orderBy(*order).limit(most)
+    return rows.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_i") <= most).drop("_i")
 
 
 def region_stats(pixels: DataFrame, by: str, w: Column, h: Column) -> DataFrame:
@@ -79,17 +102,9 @@ def hs_histogram(pixels: DataFrame, by: str) -> DataFrame:
     return counts.join(totals, by).select(by, "bin", (F.col("n") / F.col("total")).alias("share"))
 
 
-def histogram_correlation(crops: DataFrame, gallery: DataFrame, crop: str, entry: str, bins: int = 512) -> DataFrame:
-    """(crop, entry, score): Pearson correlation of sparse histograms over all bins, kept in 0 .. 1.
-
-    Both (key, bin, share). Only bins that both have are joined; the rest follows from sums. Pairs
-    without a common bin are not returned: their correlation is not positive. A flat histogram scores 0.
-    """
-    sums = lambda df, k, n: df.groupBy(k).agg(F.sum("share").alias(f"{n}s"), F.sum(F.col("share") * F.col("share")).alias(f"{n}q"))
-    a = crops.select(crop, "bin", F.col("share").alias("x"))
-    b = gallery.select(entry, "bin", F.col("share").alias("y"))
-    both = a.join(b, "bin").groupBy(crop, entry).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    both = both.join(sums(crops, crop, "a"), crop).join(sums(gallery, entry, "b"), entry)
-    cov = F.col("xy") - F.col("as") * F.col("bs") / bins
-    var = F.sqrt((F.col("aq") - F.col("as") * F.col("as") / bins) * (F.col("bq") - F.col("bs") * F.col("bs") / bins))
-    return both.select(crop, entry, F.least(F.greatest(F.coalesce(F.try_divide(cov, var), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("score"))
+def histogram_vectors(histograms: DataFrame, by: str, bins: int = BINS) -> DataFrame:
+    """histograms (by, bin, share) -> (by, vector): all bins, less their mean and of length 1, so that a dot product is a Pearson correlation. A flat one: zeros."""
+    filled = histograms.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m"))
+    dense = filled.select(by, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("x"))
+    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / bins
+    return dense.select(by, unit(F.transform("x", lambda v: v - mean)).alias("vector"))

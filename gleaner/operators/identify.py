@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.scalar import UNKNOWN
+from gleaner.functions.scalar import UNKNOWN, exact_round
 
 BOOST = 0.15
 TINT, KEEP = 0.7, 0.5
@@ -34,7 +34,7 @@ def combined(classical: DataFrame, embedding: DataFrame, key: str) -> DataFrame:
 
 def tint_discounted(identity: Column, role: Column, confidence: Column, tinted: Column) -> tuple[Column, Column, Column]:
     """(identity, role, confidence): a tinted reading's confidence times TINT, to four digits; unknown below KEEP."""
-    low = F.round(confidence * TINT, 4)
+    low = exact_round(confidence * TINT, 4)
     lost = tinted & (low < KEEP)
     return F.when(lost, UNKNOWN).otherwise(identity), F.when(lost, UNKNOWN).otherwise(role), F.when(tinted, low).otherwise(confidence)
 

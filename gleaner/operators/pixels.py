@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def hsv(bgr: np.ndarray) -> np.ndarray:
@@ -25,7 +26,7 @@ def hsv(bgr: np.ndarray) -> np.ndarray:
 
 
 def card_mask(image: np.ndarray) -> np.ndarray:
-    """Pixels of card colours outside of the fixed screen strips and corners."""
+    """Pixels of card colours outside of the fixed screen strips and corners (fixed values)."""
     h, s, v = np.moveaxis(hsv(image), -1, 0)
     colours = (
         ((h > 128) & (h < 175) & (s > 40) & (v > 65))
@@ -121,3 +122,132 @@ def thumbnail_cells(image: np.ndarray, rows: int = 8, cols: int = 9) -> np.ndarr
         return np.clip(np.minimum(edge[1:, None], pixel + 1) - np.maximum(edge[:-1, None], pixel), 0, 1) * k / n
 
     return shares(grey.shape[0], rows) @ grey @ shares(grey.shape[1], cols).T
+
+
+def _images(batch: pd.DataFrame, w: str, h: str, pixels: str) -> Iterator[np.ndarray | None]:
+    for bw, bh, raw in zip(batch[w], batch[h], batch[pixels], strict=True):
+        fits = raw is not None and bw * bh > 0 and len(raw) == bw * bh * 3
+        yield np.frombuffer(raw, np.uint8).reshape(int(bh), int(bw), 3) if fits else None
+
+
+def grey_image(image: np.ndarray) -> np.ndarray:
+    return np.rint(image.astype(np.float64) @ np.array([0.114, 0.587, 0.299]))
+
+
+def frame_stats(frames: DataFrame, frame: str) -> DataFrame:
+    """frames (frame, w, h, pixels) -> (frame, mean, center, ring, red): what the gate and the tint test look at; nulls where bytes do not fit."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, image in zip(batch[frame], _images(batch, "w", "h", "pixels"), strict=True):
+                if image is None:
+                    rows.append((key, None, None, None, None))
+                    continue
+                g = grey_image(image)
+                h, w = g.shape
+                box = np.zeros(g.shape, bool)
+                box[int(h * 0.3) : int(h * 0.7), int(w * 0.3) : int(w * 0.7)] = True
+                outer = np.zeros(g.shape, bool)
+                outer[int(h * 0.1) : int(h * 0.9), int(w * 0.1) : int(w * 0.9)] = True
+                x = image.astype(np.int32)
+                ring = g[outer & ~box]
+                rows.append((key, g.mean(), g[box].mean() if box.any() else None, max(ring.mean(), 1.0) if ring.size else 1.0, float((x[..., 2] - np.maximum(x[..., 0], x[..., 1])).mean())))
+            yield pd.DataFrame(rows, columns=[frame, "mean", "center", "ring", "red"])
+
+    return frames.select(frame, "w", "h", "pixels").mapInPandas(measure, f"{frame} {dict(frames.dtypes)[frame]}, mean double, center double, ring double, red double")
+
+
+def crops(frames: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
+    """boxes (frame, slot, x, y, w, h) with crop_w, crop_h and `crop`, the bytes; edges are rounded by themselves; an empty crop has none."""
+    met = boxes.join(frames.select(frame, F.col("w").alias("frame_w"), F.col("h").alias("frame_h"), "pixels"), frame)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for (_, r), image in zip(batch.iterrows(), _images(batch, "frame_w", "frame_h", "pixels"), strict=True):
+                if image is None:
+                    out.append((0, 0, None))
+                    continue
+                fh, fw, _ = image.shape
+                x0, x1 = (int(np.clip(np.rint(v * fw), 0, fw)) for v in (r["x"], r["x"] + r["w"]))
+                y0, y1 = (int(np.clip(np.rint(v * fh), 0, fh)) for v in (r["y"], r["y"] + r["h"]))
+                part = image[y0:y1, x0:x1]
+                out.append((part.shape[1], part.shape[0], part.tobytes()) if part.size else (0, 0, None))
+            cw, ch, raw = zip(*out, strict=True) if out else ((), (), ())
+            yield batch.drop(columns=["frame_w", "frame_h", "pixels"]).assign(crop_w=cw, crop_h=ch, crop=raw)
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in met.drop("frame_w", "frame_h", "pixels").dtypes)
+    return met.mapInPandas(cut, f"{kinds}, crop_w int, crop_h int, crop binary")
+
+
+def histogram_image(image: np.ndarray) -> np.ndarray:
+    """Shares of 32 x 16 hue-saturation bins among pixels with s > 25 and 30 < v < 250; zeros if there are none."""
+    h, s, v = np.moveaxis(hsv(image), -1, 0)
+    mask = (s > 25) & (v > 30) & (v < 250)
+    counts = np.bincount((h[mask] * 32 // 180) * 16 + s[mask] * 16 // 256, minlength=512).astype(np.float64)
+    return counts / max(counts.sum(), 1)
+
+
+def art_histograms(pictures: DataFrame, w: str, h: str, pixels: str) -> DataFrame:
+    """`pictures` with `vector` for their pixels: the art band's histogram, less its mean, of length 1 (zeros if flat), so that a dot product is a correlation."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vectors = []
+            for image in _images(batch, w, h, pixels):
+                if image is None:
+                    vectors.append([0.0] * 512)
+                    continue
+                rows, cols = image.shape[:2]
+                band = image[int(rows * 0.12) : int(rows * 0.62), int(cols * 0.08) : int(cols * 0.92)]
+                x = histogram_image(band if band.size else image)
+                x = x - x.mean()
+                norm = float(np.linalg.norm(x))
+                vectors.append((x / norm if norm > 1e-9 else np.zeros(512)).tolist())
+            yield batch.drop(columns=[pixels]).assign(vector=vectors)
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in pictures.drop(pixels).dtypes)
+    return pictures.mapInPandas(measure, f"{kinds}, vector array<double>")
+
+
+def reference_image(raw: bytes, w: int, h: int, channels: int) -> np.ndarray:
+    """A reference picture: alpha composed onto white, grey as three channels, the upper 80 % of the rows (one at least)."""
+    image = np.frombuffer(raw, np.uint8).reshape(h, w, channels).astype(np.float64)
+    if channels == 4:
+        alpha = image[..., 3:] / 255
+        image = image[..., :3] * alpha + 255 * (1 - alpha)
+    elif channels == 1:
+        image = np.repeat(image, 3, axis=-1)
+    return image[: max(1, int(h * 0.8))].astype(np.uint8)
+
+
+def references(pictures: DataFrame) -> DataFrame:
+    """pictures (..., w, h, n_channels, pixels) as references: the same columns less n_channels, three channels each."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [reference_image(raw, int(w), int(h), int(c)) for w, h, c, raw in zip(batch["w"], batch["h"], batch["n_channels"], batch["pixels"], strict=True)]
+            yield batch.drop(columns=["n_channels"]).assign(h=[x.shape[0] for x in found], pixels=[x.tobytes() for x in found])
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in pictures.drop("n_channels").dtypes)
+    return pictures.mapInPandas(load, kinds)
+
+
+#: Side, means and deviations of red, green and blue that image models are fed with.
+MODEL_SIDE, MODEL_MEAN, MODEL_STD = 224, (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def model_input(image: np.ndarray, side: int = MODEL_SIDE) -> np.ndarray:
+    """A blue-green-red picture as a 3 x side x side array: red-green-blue, bilinear, normalised."""
+
+    def weights(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1)
+        low = at.astype(int)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    x = image[..., ::-1].astype(np.float64)
+    (y0, y1, fy), (x0, x1, fx) = weights(x.shape[0]), weights(x.shape[1])
+    rows = x[y0] * (1 - fy)[:, None, None] + x[y1] * fy[:, None, None]
+    out = rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+    return ((out / 255 - np.array(MODEL_MEAN)) / np.array(MODEL_STD)).transpose(2, 0, 1).astype(np.float32)

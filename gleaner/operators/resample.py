@@ -40,6 +40,14 @@ def resampled(captures: DataFrame, session: str, order: str, seconds: str, fps:
     )
 
 
+def dup_counts(captures: DataFrame, session: str, order: str, seconds: str, fps: float) -> DataFrame:
+    """(session, dup, n): ticks that show a capture first, and again; from the runs' lengths, no tick is made."""
+    runs = tick_runs(captures, session, order, seconds, fps).where("first_tick <= last_tick")
+    sums = runs.groupBy(session).agg(F.count(F.lit(1)).alias("first"), F.sum(F.col("last_tick") - F.col("first_tick")).alias("again"))
+    pair = lambda dup, n: F.struct(F.lit(dup).alias("dup"), F.col(n).alias("n"))
+    return sums.select(session, F.inline(F.array(pair(False, "first"), pair(True, "again")))).where("n > 0")
+
+
 def dropped(captures: DataFrame, session: str, order: str, seconds: str, fps: float) -> DataFrame:
     """(session, order) of captures that no tick shows."""
     return tick_runs(captures, session, order, seconds, fps).where("first_tick > last_tick").select(session, order)

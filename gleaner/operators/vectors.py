@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.scalar import UNKNOWN, dot, gradient_hash, hamming
+from gleaner.operators.sizes import BROADCAST_BYTES
 
 MARGIN = 0.12
-#: Prototypes are broadcast up to this many; each vector is compared with all of them.
-BROADCAST_PROTOTYPES = 100_000
+#: Beyond BROADCAST_BYTES of references: rows that meet one block of them in a task.
+ROWS_A_TASK = 1 << 17
 
 
 def prototypes(vectors: DataFrame, keys: list[str], vector: str = "embedding", least: float = 1e-9) -> DataFrame:
@@ -21,35 +26,108 @@ def prototypes(vectors: DataFrame, keys: list[str], vector: str = "embedding", l
     return rows.select(*keys, F.transform("mean", lambda x: x / F.col("norm")).alias("proto"))
 
 
-def _packed(protos: DataFrame, key: str) -> Column:
-    """All prototypes as one array, as a scalar subquery: a bounded dimension, checked."""
-    n = protos.count()
-    if n > BROADCAST_PROTOTYPES:
-        raise ValueError(f"{n} prototypes exceed the bound of {BROADCAST_PROTOTYPES}")
-    return protos.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("identity"), "proto"))).alias("all")).scalar()
+def _matrix(values: pa.Array) -> np.ndarray:
+    """Rows of equal length as a matrix of doubles; a null row is zeros, hashes are one column."""
+    if not pa.types.is_list(values.type):
+        return values.to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
+    ends = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(values), int(ends.max()) if len(ends) else 0))
+    out[ends > 0] = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int((ends > 0).sum()), -1)
+    return out
+
+
+def _scores(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Dot products; of hashes the negative Hamming distance."""
+    if x.dtype == np.int64:
+        return -np.bitwise_count(x.view(np.uint64) ^ refs.view(np.uint64).T).astype(np.float64)
+    return x @ refs.T if x.shape[1] == refs.shape[1] else np.zeros((len(x), len(refs)))
+
 
+def _top(scores: np.ndarray, names: list[str], digits: int | None) -> tuple[list, ...]:
+    """(best name, score, second name, score) of each row; names are in order, and a tie goes to the last."""
+    scores = scores if digits is None else np.round(scores, digits)
+    back = scores[:, ::-1]
+    first = back.argmax(axis=1) if len(names) else np.zeros(len(scores), int)
+    rows, last = np.arange(len(scores)), len(names) - 1
+    k1 = last - first
+    one = scores[rows, k1].tolist() if len(names) else [None] * len(scores)
+    if len(names) < 2:
+        return [names[k] for k in k1] if names else [None] * len(scores), one, [None] * len(scores), [None] * len(scores)
+    rest = back.copy()
+    rest[rows, first] = -np.inf
+    k2 = last - rest.argmax(axis=1)
+    return [names[k] for k in k1], one, [names[k] for k in k2], scores[rows, k2].tolist()
 
-def nearest(vectors: DataFrame, protos: DataFrame, key: str = "label", vector: str = "embedding", margin: float = MARGIN) -> DataFrame:
-    """Each row of `vectors` with (best, top1, top2, margin, identity, confidence).
+
+_FOUND = "best string, top1 double, second string, top2 double"
+
+
+def two_best(rows: DataFrame, by: list[str], value: str, refs: DataFrame, ref: str, ref_value: str, digits: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(by..., best, top1, second, top2): of each row the two references with the highest scores, and these; a tie goes to the later name.
+
+    Values are vectors (score: dot product) or 64-bit hashes (score: negative Hamming distance).
+    `by` must tell rows apart. The references go to every task while their size is within `limit`,
+    and this is a map over the rows; beyond, blocks of them meet runs of rows, and a row's blocks are
+    brought together by `by`. No references: nulls.
+    """
+    refs = refs.select(F.col(ref).cast("string").alias("k"), F.col(ref_value).alias("v"))
+    n, size = refs.agg(F.count(F.lit(1)), F.sum(F.size("v") * 8 + 8) if dict(refs.dtypes)["v"].startswith("array") else F.count(F.lit(1)) * 16).first()
+    slim = rows.select(*by, F.col(value).alias("_v"))
+    kinds = ", ".join(f"`{c}` {k}" for c, k in slim.drop("_v").dtypes)
+
+    def found(batch: pa.RecordBatch | pa.Table, names: list[str], known: np.ndarray) -> pa.RecordBatch:
+        values = batch.column("_v")
+        x = _matrix(values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values)
+        best, one, second, two = _top(_scores(x, known), names, digits)
+        columns = [batch.column(c) for c in by] + [pa.array(best, pa.string()), pa.array(one, pa.float64()), pa.array(second, pa.string()), pa.array(two, pa.float64())]
+        return (pa.Table if isinstance(batch, pa.Table) else pa.RecordBatch).from_arrays(columns, names=[*by, "best", "top1", "second", "top2"])
+
+    def packed(table: pa.Table) -> tuple[list[str], np.ndarray]:
+        table = table.sort_by("k")
+        return table.column("k").to_pylist(), _matrix(table.column("v").combine_chunks())
+
+    if (size or 0) <= limit:
+        held = rows.sparkSession.sparkContext.broadcast(packed(refs.toArrow()))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield found(batch, *held.value)
+
+        return slim.mapInArrow(each, f"{kinds}, {_FOUND}")
+    blocks = -(-size // max(limit, 1))
+    runs = -(-rows.count() // ROWS_A_TASK)
+    left = slim.withColumn("_run", F.pmod(F.xxhash64(*by), F.lit(runs))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = refs.withColumn("_block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
+    parts = left.groupBy("_block", "_run").cogroup(right.groupBy("_block", "_run")).applyInArrow(lambda a, b: found(a, *packed(b)), f"{kinds}, {_FOUND}")
+    pair = lambda score, name: F.struct(F.col(score).alias("s"), F.col(name).alias("k"))
+    both = parts.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list(F.array(pair("top1", "best"), pair("top2", "second")))), asc=False).alias("t"))
+    at = lambda k, f: F.get("t", F.lit(k))[f]
+    return both.select(*by, at(0, "k").alias("best"), at(0, "s").alias("top1"), at(1, "k").alias("second"), at(1, "s").alias("top2"))
+
+
+def nearest(vectors: DataFrame, protos: DataFrame, by: list[str], key: str = "label", vector: str = "embedding", margin: float = MARGIN, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(by..., best, top1, top2, margin, identity, confidence) of each row of `vectors`; `by` tells rows apart.
 
     margin: best less second-best cosine, 0 with fewer than two prototypes or for a zero vector;
     identity: the best prototype's key as text, or `unknown` below `margin`; confidence: the margin
-    in 0 .. 1 to four digits, kept on abstention. It is a map over the vectors: no shuffle.
+    in 0 .. 1 to four digits, kept on abstention.
     """
-    scored = F.transform(F.col("_all"), lambda p: F.struct(dot(F.col(vector), p["proto"]).alias("c"), p["identity"].cast("string").alias("k")))
-    ranked = vectors.withColumn("_all", _packed(protos, key)).withColumn("_top", F.slice(F.sort_array(scored, asc=False), 1, 2)).drop("_all")
-    top1, top2 = F.get("_top", F.lit(0)), F.get("_top", F.lit(1))
-    blank = dot(F.col(vector), F.col(vector)) < 1e-18
-    gap = F.when(blank | top2.isNull(), 0.0).otherwise(top1["c"] - top2["c"])
-    out = ranked.select(*vectors.columns, top1["k"].alias("best"), top1["c"].alias("top1"), top2["c"].alias("top2"), gap.alias("margin"))
+    out = two_best(vectors, by, vector, protos, key, "proto", limit=limit)
+    # A zero vector has the same cosine with all.
+    gap = F.coalesce(F.col("top1") - F.col("top2"), F.lit(0.0))
     sure = F.col("margin") >= margin
+    out = out.select(*by, "best", "top1", "top2", gap.alias("margin"))
     return out.withColumn("identity", F.when(sure, F.col("best")).otherwise(UNKNOWN)).withColumn("confidence", F.round(F.least(F.greatest(F.col("margin"), F.lit(0.0)), F.lit(1.0)), 4))
 
 
 def off_diagonal(protos: DataFrame, key: str = "label") -> DataFrame:
-    """Mean, median, 95th percentile, largest and smallest cosine of two different prototypes, each pair both ways."""
-    each = protos.withColumn("_all", _packed(protos, key)).select(F.col(key).cast("string").alias("i"), "proto", F.explode("_all").alias("o"))
-    cosines = each.where(F.col("i") != F.col("o.identity").cast("string")).select(dot(F.col("proto"), F.col("o.proto")).alias("c"))
+    """Mean, median, 95th percentile, largest and smallest cosine of two different prototypes, each pair both ways.
+
+    By dimension: cosines are sums of products of cells that share one, so the pairs of a prototype are no single task's.
+    """
+    cells = protos.select(F.col(key).alias("i"), F.posexplode("proto").alias("dim", "x"))
+    other = cells.select(F.col("i").alias("j"), "dim", F.col("x").alias("y"))
+    cosines = cells.join(other, "dim").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
     return cosines.agg(F.avg("c").alias("mean"), F.median("c").alias("median"), F.percentile("c", 0.95).alias("p95"), F.max("c").alias("max"), F.min("c").alias("min"))
 
 
@@ -58,14 +136,26 @@ def vector_hash(vector: Column) -> Column:
     return gradient_hash(vector, 8, 7)
 
 
-def ratio_matches(rows: DataFrame, refs: DataFrame, key: str, hash_col: str, ref_key: str, ref_hash: str, ratio: float = 0.75) -> DataFrame:
-    """(key, d1, d2, good): the two smallest Hamming distances to `refs` (a bounded set), and whether the first is under `ratio` of the second."""
-    packed = refs.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col(ref_key).alias("k"), F.col(ref_hash).alias("h")))).alias("all")).scalar()
-    top = F.slice(F.sort_array(F.transform(F.col("_all"), lambda r: hamming(F.col(hash_col), r["h"]))), 1, 2)
-    found = rows.withColumn("_all", packed).select(key, top.alias("d")).select(key, F.get("d", F.lit(0)).alias("d1"), F.get("d", F.lit(1)).alias("d2"))
+def ratio_matches(rows: DataFrame, refs: DataFrame, by: list[str], hash_col: str, ref: str, ref_hash: str, ratio: float = 0.75, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(by..., best, d1, d2, good): the two smallest Hamming distances to `refs`, and whether the first is under `ratio` of the second. `by` tells rows apart."""
+    found = two_best(rows, by, hash_col, refs, ref, ref_hash, limit=limit)
+    found = found.select(*by, "best", (-F.col("top1")).cast("int").alias("d1"), (-F.col("top2")).cast("int").alias("d2"))
     return found.withColumn("good", F.coalesce(F.col("d1") < ratio * F.col("d2"), F.lit(False)))
 
 
+def match_counts(pairs: DataFrame, crop: str, entry: str, descriptors: DataFrame, hash_col: str, references: DataFrame, ref_hash: str, ratio: float = 0.75) -> DataFrame:
+    """`pairs` (crop, entry) with `matches`: how many of the crop's descriptors are distinctively near to one of the entry's.
+
+    descriptors (crop, hash), references (entry, hash). The two nearest are of the same entry; a
+    picture has a few hundred descriptors, which travel as one array.
+    """
+    packed = references.groupBy(entry).agg(F.collect_list(ref_hash).alias("_r"))
+    met = pairs.select(crop, entry).join(descriptors.select(crop, F.col(hash_col).alias("_h")), crop).join(packed, entry)
+    two = F.slice(F.sort_array(F.transform("_r", lambda r: hamming(F.col("_h"), r))), 1, 2)
+    good = met.select(crop, entry, two.alias("d")).groupBy(crop, entry).agg(F.count_if(F.get("d", F.lit(0)) < ratio * F.get("d", F.lit(1))).alias("matches"))
+    return pairs.join(good, [crop, entry], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+
+
 def best_two(scored: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
     """The two rows of each group with the highest scores; ties by `tie`; with `rank` 1 and 2."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), tie)

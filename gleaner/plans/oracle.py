@@ -64,6 +64,8 @@ nested AS (SELECT frame, count(*) AS n, string_agg(role || ':' || identity, ','
 f AS (SELECT o_orderkey AS frame, CASE o_orderstatus WHEN 'O' THEN 'board' WHEN 'F' THEN 'modal' ELSE 'menu' END AS state FROM orders),
 snap AS (SELECT f.frame, state, CASE WHEN state = 'board' THEN coalesce(n, 0) ELSE 0 END::INT AS n, CASE WHEN state = 'board' THEN coalesce(cards, '') ELSE '' END AS cards, CASE WHEN state = 'board' THEN coalesce(named, '') ELSE '' END AS named FROM f LEFT JOIN nested USING (frame))"""
 
+_BLOBS = "blobs AS (SELECT s_suppkey AS frame, 96 + s_suppkey % 7 * 8 AS x, 72 + s_suppkey % 5 * 4 AS y, 36 + s_suppkey % 4 * 2 AS w, 48 + s_suppkey % 3 * 4 AS h FROM supplier)"
+
 ORACLES = {
     "proto_mean": f"WITH {_PROTO} SELECT label, dim::INT AS dim, round(p, 6) AS x FROM proto",
     "margin_nn": f"WITH {_NAMED} SELECT vec_id, identity, confidence FROM found",
@@ -72,7 +74,7 @@ ORACLES = {
       SELECT round(avg(c), 6) AS mean, round(median(c), 6) AS median, round(quantile_cont(c, 0.95), 6) AS p95, round(max(c), 6) AS max, round(min(c), 6) AS min FROM c""",
     "top1_accuracy": f"WITH {_NAMED} SELECT round(avg((best = own::VARCHAR)::INT::DOUBLE), 6) AS accuracy, round(avg(margin), 6) AS mean_margin FROM found",
     "parity_max_abs_diff": """WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), u AS (SELECT x, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS y FROM c)
-      SELECT max(abs(x - y)) < 1e-4 AS same, count(*) AS n FROM u""",
+      SELECT round(max(abs(x - y)), 9) AS max_diff, max(abs(x - y)) < 1e-4 AS same, count(*) AS n FROM u""",
     "dhash_grid": f"WITH {_HASH} SELECT vec_id, label, dhash FROM hashes",
     "hamming_neighbours": f"WITH {_HASH}, p AS (SELECT vec_id, dhash, lag(dhash) OVER (PARTITION BY label ORDER BY vec_id) AS was FROM hashes) SELECT vec_id, bit_count(xor(dhash, was))::INT AS bits FROM p WHERE was IS NOT NULL",
     "dedup_last_kept": f"WITH RECURSIVE {_FOLD} SELECT label, vec_id, kept FROM w",
@@ -118,20 +120,22 @@ ORACLES = {
       SELECT frame, round(mean, 6) AS mean, round(center, 6) AS center, round(ring, 6) AS ring, CASE WHEN mean >= 160 THEN 'menu' WHEN coalesce(center / ring >= 2, FALSE) THEN 'modal' ELSE 'board' END AS state FROM s""",
     "red_shift": f"WITH {_PIXELS} SELECT frame, round(avg(r - greatest(g, b)), 6) AS red_shift, avg(r - greatest(g, b)) >= 10 AS tinted FROM pixels GROUP BY frame",
     "hs_histogram": f"WITH {_PIXELS}, {_hist('hist', 'frame')} SELECT k AS frame, bin, round(share, 6) AS share FROM hist",
-    "hist_corr_top2": f"""WITH {_PIXELS}, {_hist('ch', 'frame % 40')}, {_hist('gh', 'shot', 'shot <= 5')},
+    "hist_corr_top2": f"""WITH {_PIXELS}, {_hist('ch', 'frame')}, {_hist('gh', 'shot')},
       a AS (SELECT k, sum(share) AS s, sum(share * share) AS q FROM ch GROUP BY k), b AS (SELECT k, sum(share) AS s, sum(share * share) AS q FROM gh GROUP BY k),
-      xy AS (SELECT ch.k AS crop, gh.k AS shot, sum(ch.share * gh.share) AS xy FROM ch JOIN gh USING (bin) GROUP BY ALL),
-      sc AS (SELECT crop, shot, round(least(greatest(coalesce((xy - a.s * b.s / 512) / nullif(sqrt((a.q - a.s * a.s / 512) * (b.q - b.s * b.s / 512)), 0), 0), 0), 1), 9) AS score FROM xy JOIN a ON a.k = crop JOIN b ON b.k = shot),
-      r AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY score DESC, shot) AS n FROM sc),
-      p AS (SELECT crop, max(score) FILTER (WHERE n = 1) AS s1, max(score) FILTER (WHERE n = 2) AS s2, max(shot) FILTER (WHERE n = 1) AS i1, max(shot) FILTER (WHERE n = 2) AS i2 FROM r WHERE n <= 2 GROUP BY crop),
-      t AS (SELECT *, coalesce(s1 - s2 < 0.05 AND crop % 11 > crop % 7 AND crop % 11 >= 4, FALSE) AS take FROM p)
-      SELECT crop, CASE WHEN s1 < 0.4 THEN 'unknown' WHEN take THEN i2::VARCHAR ELSE i1::VARCHAR END AS identity, round(CASE WHEN s1 >= 0.4 AND take THEN s2 ELSE s1 END, 4) AS score FROM t""",
+      xy AS (SELECT ch.k AS frame, gh.k AS shot, sum(ch.share * gh.share) AS xy FROM ch JOIN gh USING (bin) GROUP BY ALL),
+      sc AS (SELECT a.k AS frame, b.k AS shot, round(coalesce((coalesce(xy, 0) - a.s * b.s / 512) / nullif(sqrt((a.q - a.s * a.s / 512) * (b.q - b.s * b.s / 512)), 0), 0), 9) AS score FROM a CROSS JOIN b LEFT JOIN xy ON a.k = xy.frame AND b.k = xy.shot),
+      r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, shot::VARCHAR DESC) AS n FROM sc),
+      m AS (SELECT frame, shot, count(*) AS n FROM pixels GROUP BY ALL),
+      p AS (SELECT frame, max(least(greatest(score, 0), 1)) FILTER (WHERE n = 1) AS s1, max(least(greatest(score, 0), 1)) FILTER (WHERE n = 2) AS s2, max(shot) FILTER (WHERE n = 1) AS i1, max(shot) FILTER (WHERE n = 2) AS i2 FROM r WHERE n <= 2 GROUP BY frame),
+      t AS (SELECT p.*, coalesce(s1 - s2 < 0.05 AND coalesce(m2.n, 0) > coalesce(m1.n, 0) AND coalesce(m2.n, 0) >= 4, FALSE) AS take FROM p LEFT JOIN m m1 ON m1.frame = p.frame AND m1.shot = i1 LEFT JOIN m m2 ON m2.frame = p.frame AND m2.shot = i2),
+      f AS (SELECT DISTINCT frame FROM pixels)
+      SELECT f.frame, CASE WHEN coalesce(s1, 0) < 0.4 THEN 'unknown' WHEN take THEN i2::VARCHAR ELSE i1::VARCHAR END AS identity, round(CASE WHEN coalesce(s1, 0) >= 0.4 AND take THEN s2 ELSE coalesce(s1, 0) END, 4) AS score FROM f LEFT JOIN t USING (frame)""",
     "ensemble_combine": f"""WITH {_VERDICTS}, j AS (SELECT coalesce(c.doc_id, e.doc_id) AS doc_id, coalesce(ci, 'unknown') AS ci, coalesce(cc, 0) AS cc, coalesce(ei, 'unknown') AS ei, coalesce(ec, 0) AS ec FROM classical c FULL JOIN embedding e ON c.doc_id = e.doc_id),
       s AS (SELECT *, CASE WHEN ci = 'unknown' AND ei = 'unknown' THEN 'both_unknown' WHEN ci = ei THEN 'agree' WHEN ci = 'unknown' THEN 'embedding_only' WHEN ei = 'unknown' THEN 'classical_only' ELSE 'disagree_abstain' END AS source FROM j)
       SELECT doc_id, CASE WHEN source IN ('agree', 'classical_only') THEN ci WHEN source = 'embedding_only' THEN ei ELSE 'unknown' END AS identity,
         round(CASE source WHEN 'agree' THEN least(1.0, greatest(cc, ec) + 0.15::DOUBLE) WHEN 'classical_only' THEN cc WHEN 'embedding_only' THEN ec ELSE 0 END, 4) AS confidence, source FROM s""",
-    "tint_discount": f"""WITH {_VERDICTS}, d AS (SELECT doc_id, ci, doc_id % 2 = 0 AS t, cc, round(cc * 0.7::DOUBLE, 4) AS low FROM classical)
-      SELECT doc_id, CASE WHEN t AND low < 0.5 THEN 'unknown' ELSE ci END AS identity, 'unknown' AS role, CASE WHEN t THEN low ELSE cc END AS confidence FROM d""",
+    "tint_discount": f"""WITH {_VERDICTS}, d AS (SELECT doc_id, ci, (['villager', 'outcast', 'minion', 'demon', 'unknown', 'unknown'])[doc_id % 6 + 1] AS role, doc_id % 2 = 0 AS t, cc, round(cc * 0.7::DOUBLE, 4) AS low FROM classical)
+      SELECT doc_id, CASE WHEN t AND low < 0.5 THEN 'unknown' ELSE ci END AS identity, CASE WHEN t AND low < 0.5 THEN 'unknown' ELSE role END AS role, CASE WHEN t THEN low ELSE cc END AS confidence FROM d""",
     "mining_rollup": f"""WITH {_PAIRED} SELECT source, grouping(source) = 1 AS "grand", count(DISTINCT doc_id) AS frames, count(*) AS crops, count(*) FILTER (WHERE ci = ei) AS agreements, count(*) FILTER (WHERE ci = ei AND ci = 'unknown') AS both_unknown,
       round(100.0::DOUBLE * count(*) FILTER (WHERE ci = ei) / count(*), 4) AS agree_pct FROM paired GROUP BY ROLLUP (source)""",
     "head_to_head": f"""WITH {_PAIRED} SELECT count(*) AS n, count(*) FILTER (WHERE ci <> 'unknown') AS classical_identified, count(*) FILTER (WHERE ci = 'unknown') AS classical_unknown, count(*) FILTER (WHERE ei <> 'unknown') AS embedding_identified,
@@ -149,4 +153,13 @@ ORACLES = {
     "snapshot_nest": f"WITH RECURSIVE {_SNAPSHOTS} SELECT frame, state AS frame_state, n AS n_cards, cards, '0.2.0' AS schema_version FROM snap",
     "summary_lines": f"WITH RECURSIVE {_SNAPSHOTS} SELECT frame, printf('%-35s  state=%-7s  cards=%d', 'frame' || frame, state, n) || CASE WHEN n > 0 THEN '  ' || named ELSE '' END AS line FROM snap",
     "crop_names": "SELECT event_id, printf('u%d_%06d_t%07.1fs_s%02d.png', user_id, event_id, floor(value), event_id % 12) AS name FROM events",
+    "iso_time": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS at FROM events",
+    "zip_identities": """WITH b AS (SELECT l_orderkey, l_linenumber, max(0.04::DOUBLE + (l_quantity % 10) / 100.0::DOUBLE) AS w, max(l_returnflag) AS identity FROM lineitem GROUP BY ALL)
+      SELECT identity, count(*) AS n, round(sum(w), 4) AS w FROM b GROUP BY identity""",
+    "frame_limit": f"WITH {_CAPTURES} SELECT user_id, event_id FROM captures QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seconds, event_id) <= 20",
+    "skipped_union": "SELECT p_brand AS name FROM part UNION SELECT p_type FROM part",
+    "stem_lookup": """WITH f AS (SELECT lower(c_mktsegment) || '_' || c_nationkey || '_' AS prefix, 'dir/' || lower(c_mktsegment) || '_' || c_nationkey || '_' || c_custkey || '.png' AS path FROM customer)
+      SELECT prefix, min(path) AS path FROM f GROUP BY prefix""",
+    "localize_blobs": f"WITH {_BLOBS} SELECT frame, 0 AS slot, round(x / 320.0::DOUBLE, 6) AS x, round(y / 180.0::DOUBLE, 6) AS y, round(w / 320.0::DOUBLE, 6) AS w, round(h / 180.0::DOUBLE, 6) AS h FROM blobs",
+    "pipeline_records": f"WITH {_BLOBS} SELECT frame, 'board' AS frame_state, 1 AS n_cards, CASE frame % 3 WHEN 0 THEN 'Moss' WHEN 1 THEN 'Iris' ELSE 'Ember' END AS identity, CASE frame % 3 WHEN 0 THEN 'villager' WHEN 1 THEN 'minion' ELSE 'demon' END AS role, 1.0::DOUBLE AS confidence FROM blobs",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scalar
 from gleaner.operators import boxes, catalog, frames, identify, resample, vectors
+from gleaner.plans import pipeline
 from gleaner.sources import tables as T
 
 #: Ticks and thinning of the event sessions: one in six hours.
@@ -20,7 +21,7 @@ def proto_mean(spark: SparkSession, d: str) -> DataFrame:
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "embeddings")
-    return vectors.nearest(e, vectors.prototypes(e, ["label"]))
+    return vectors.nearest(e, vectors.prototypes(e, ["label"]), ["vec_id", "label"])
 
 
 def margin_nn(spark: SparkSession, d: str) -> DataFrame:
@@ -41,10 +42,10 @@ def top1_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parity_max_abs_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Float prototypes' cells against double ones."""
+    """Float vectors' cells against the unit vectors in double: the largest difference, and whether it is small enough."""
     e = T.table(spark, d, "embeddings")
     x = e.select(F.explode(F.zip_with("embedding", scalar.unit(F.col("embedding")), lambda a, b: F.abs(a.cast("double") - b))).alias("diff"))
-    return x.agg((F.max("diff") < 1e-4).alias("same"), F.count(F.lit(1)).alias("n"))
+    return x.agg(F.round(F.max("diff"), 9).alias("max_diff"), (F.max("diff") < 1e-4).alias("same"), F.count(F.lit(1)).alias("n"))
 
 
 def dhash_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,7 @@ def orb_ratio_count(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "embeddings")
     refs = vectors.prototypes(e, ["label"]).select(F.col("label").alias("ref"), vectors.vector_hash(F.col("proto")).alias("ref_hash"))
     rows = T.hashes(spark, d)
-    found = vectors.ratio_matches(rows, refs, "vec_id", "dhash", "ref", "ref_hash", 0.95)
+    found = vectors.ratio_matches(rows, refs, ["vec_id"], "dhash", "ref", "ref_hash", 0.95)
     return found.groupBy("d1").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"))
 
 
@@ -93,7 +94,7 @@ def asof_resample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cfr_dup_flags(spark: SparkSession, d: str) -> DataFrame:
-    return resample.resampled(T.captures(spark, d), "user_id", "event_id", "seconds", FPS).groupBy("user_id", "dup").agg(F.count(F.lit(1)).alias("n"))
+    return resample.dup_counts(T.captures(spark, d), "user_id", "event_id", "seconds", FPS)
 
 
 def cfr_dropped(spark: SparkSession, d: str) -> DataFrame:
@@ -175,16 +176,16 @@ def hs_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hist_corr_top2(spark: SparkSession, d: str) -> DataFrame:
+    """Frames against shots; the pixels that a frame has in a shot stand in for keypoint matches."""
     p = T.pixels(spark, d).withColumn("v", F.col("val"))
-    crops = frames.hs_histogram(p.withColumn("crop", F.col("frame") % 40), "crop")
-    refs = frames.hs_histogram(p.where("shot <= 5"), "shot")
-    scored = frames.histogram_correlation(crops, refs, "crop", "shot").withColumn("score", F.round("score", 9))
-    top = vectors.best_two(scored, ["crop"], "score", "shot")
-    pair = top.groupBy("crop").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"), F.max(F.when(F.col("rank") == 1, F.col("shot"))).alias("i1"), F.max(F.when(F.col("rank") == 2, F.col("shot"))).alias("i2")
-    )
-    identity, score = identify.correlated(F.col("s1"), F.col("s2"), F.col("i1").cast("string"), F.col("i2").cast("string"), F.col("crop") % 7, F.col("crop") % 11)
-    return pair.select("crop", identity.alias("identity"), score.alias("score"))
+    crops = p.select("frame").distinct().join(frames.histogram_vectors(frames.hs_histogram(p, "frame"), "frame"), "frame", "left")
+    top = vectors.two_best(crops, ["frame"], "vector", frames.histogram_vectors(frames.hs_histogram(p, "shot"), "shot"), "shot", "vector", digits=9)
+    clamp = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    matches = p.groupBy("frame", F.col("shot").cast("string").alias("shot")).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda name, n: matches.select("frame", F.col("shot").alias(name), F.col("n").alias(n))
+    both = top.join(side("best", "n1"), ["frame", "best"], "left").join(side("second", "n2"), ["frame", "second"], "left")
+    identity, score = identify.correlated(clamp("top1"), clamp("top2"), F.col("best"), F.col("second"), F.coalesce("n1", F.lit(0)), F.coalesce("n2", F.lit(0)))
+    return both.select("frame", identity.alias("identity"), score.alias("score"))
 
 
 def ensemble_combine(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +195,8 @@ def ensemble_combine(spark: SparkSession, d: str) -> DataFrame:
 
 def tint_discount(spark: SparkSession, d: str) -> DataFrame:
     c, _ = T.verdicts(spark, d)
-    identity, role, confidence = identify.tint_discounted(F.col("identity"), scalar.valid_role(F.col("source")), F.col("confidence"), F.col("doc_id") % 2 == 0)
+    role = F.get(F.array(*map(F.lit, (*scalar.ROLES, "dealer"))), (F.col("doc_id") % 6).cast("int"))
+    identity, role, confidence = identify.tint_discounted(F.col("identity"), scalar.valid_role(role), F.col("confidence"), F.col("doc_id") % 2 == 0)
     return c.select("doc_id", identity.alias("identity"), role.alias("role"), confidence.alias("confidence"))
 
 
@@ -242,7 +244,7 @@ def title_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_summary(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.manifest_summary(catalog.manifest(T.gallery(spark, d), "role", "identity", "file"), "role")
+    return catalog.manifest_summary(T.gallery(spark, d), "role", "identity", "file")
 
 
 def filename_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -275,12 +277,53 @@ def crop_names(spark: SparkSession, d: str) -> DataFrame:
     return T.captures(spark, d).select("event_id", catalog.crop_file(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_id"), F.floor("value").cast("double"), (F.col("event_id") % 12).cast("int")).alias("name"))
 
 
+def iso_time(spark: SparkSession, d: str) -> DataFrame:
+    return T.captures(spark, d).select("event_id", scalar.iso_time(F.col("seconds")).alias("at"))
+
+
+def zip_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as boxes and as names of the same order and line."""
+    b = T.boxes(spark, d).withColumn("slot", F.expr("box_id div 1000000000000"))
+    names = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("slot"), F.col("l_returnflag").alias("identity"))
+    one = b.groupBy("frame", "slot").agg(F.max("w").alias("w"))
+    return catalog.zipped(one, names.groupBy("frame", "slot").agg(F.max("identity").alias("identity")), "frame", "slot").groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("w"))
+
+
+def frame_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 captures of each session: the limit is the operator."""
+    return frames.first_of(T.captures(spark, d), "user_id", ["seconds", "event_id"], 20).select("user_id", "event_id")
+
+
+def skipped_union(spark: SparkSession, d: str) -> DataFrame:
+    part = T.table(spark, d, "part")
+    return catalog.skipped_union(part.select(F.col("p_brand").alias("name")), part.select(F.col("p_type").alias("name")), part.select(F.col("p_brand").alias("name")))
+
+
+def stem_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's segment and nation as a file; each nation's first file by a prefix of its name."""
+    files = T.table(spark, d, "customer").select(F.concat(F.lit("dir/"), F.lower("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string"), F.lit("_"), F.col("c_custkey").cast("string"), F.lit(".png")).alias("path"))
+    wanted = T.table(spark, d, "customer").select(F.concat(F.lower("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string"), F.lit("_")).alias("prefix")).distinct()
+    return catalog.stem_lookup(wanted, "prefix", files, "path")
+
+
+def localize_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """A coloured card on a grey frame a supplier, found by colours, morphology, components and the box filters."""
+    return pipeline.localized(T.blob_frames(spark, d), "frame").select("frame", "slot", *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")])
+
+
+def pipeline_records(spark: SparkSession, d: str) -> DataFrame:
+    """The same frames through all steps: gate, localizer, crops, the classical identifier on coloured references, assembly."""
+    out = pipeline.run(T.blob_frames(spark, d), "frame", pipeline.classical_identifier(T.colour_gallery(spark, d)))
+    card = F.get("cards", F.lit(0))
+    return out.select("frame", "frame_state", F.size("cards").alias("n_cards"), card["identity"].alias("identity"), card["role_class"].alias("role"), card["confidence"].alias("confidence"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         proto_mean, margin_nn, margin_abstain_stats, interproto_stats, top1_accuracy, parity_max_abs_diff, dhash_grid, hamming_neighbours, dedup_last_kept, select_board_frames, orb_ratio_count, stride_sample, media_fps,
         asof_resample, cfr_dup_flags, cfr_dropped, session_counters, thin_max_fps, segment_islands, capture_fps, wall_align, json_readings, temporal_fusion, box_area_aspect, hud_antijoin, iou_nms, iou_semijoin, crop_pixels,
         overlay_pixels, gate_case, red_shift, hs_histogram, hist_corr_top2, ensemble_combine, tint_discount, mining_rollup, head_to_head, gallery_counts, alias_resolve, slugify_urls, art_filter, uncached_pages, title_batches,
-        manifest_summary, filename_parse, snapshot_nest, summary_lines, crop_names,
+        manifest_summary, filename_parse, snapshot_nest, summary_lines, crop_names, iso_time, zip_identities, frame_limit, skipped_union, stem_lookup, localize_blobs, pipeline_records,
     )
 }

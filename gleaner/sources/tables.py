@@ -5,7 +5,7 @@ There is no video among the tables; each view says which columns stand in for wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.resample import seconds_of
@@ -58,3 +58,33 @@ def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as references: region is the role, nation the identity."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("role"), F.col("n_name").alias("identity"), F.col("s_name").alias("file"))
+
+
+#: Blue, green and red of the cards that `blob_frames` draws, by supplier modulo their number, with identity and role.
+CARDS = (("00C800", "Moss", "villager"), ("C80064", "Iris", "minion"), ("0000C8", "Ember", "demon"))
+BLOB_W, BLOB_H = 320, 180
+
+
+def _card(supplier: Column) -> tuple[Column, Column, Column, Column]:
+    """(x, y, w, h) of a supplier's card in pixels: free of the fixed zones, and large enough."""
+    n = supplier.cast("int")
+    return 96 + n % 7 * 8, 72 + n % 5 * 4, 36 + n % 4 * 2, 48 + n % 3 * 4
+
+
+def blob_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame a supplier: grey, with one filled card; its bytes are put together by Spark."""
+    n = F.col("s_suppkey")
+    x, y, w, h = _card(n)
+    colour = F.get(F.array(*[F.lit(c) for c, _, _ in CARDS]), (n % len(CARDS)).cast("int"))
+    plain = lambda k: F.repeat(F.lit("646464"), k)
+    card = F.concat(plain(x), F.repeat(colour, w), plain(BLOB_W - x - w))
+    picture = F.concat(F.repeat(plain(F.lit(BLOB_W)), y), F.repeat(card, h), F.repeat(plain(F.lit(BLOB_W)), BLOB_H - y - h))
+    return table(spark, sf_dir, "supplier").select(n.cast("long").alias("frame"), F.lit(BLOB_W).alias("w"), F.lit(BLOB_H).alias("h"), F.unhex(picture).alias("pixels"))
+
+
+def colour_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References for `blob_frames`: for each card colour that a supplier has, a plain picture."""
+    k = (F.col("s_suppkey") % len(CARDS)).cast("int")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("entry")).distinct()
+    of = lambda at: F.get(F.array(*[F.lit(c[at]) for c in CARDS]), F.col("entry"))
+    return rows.select("entry", of(1).alias("identity"), of(2).alias("role"), F.lit(20).alias("w"), F.lit(20).alias("h"), F.unhex(F.repeat(of(0), 400)).alias("pixels"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gleaner.operators.frames import NEAR_BITS
+from gleaner.operators.frames import NEAR_BITS, far
 
 
 def kept_stream(rows: DataFrame, by: str, order: list[str], value: str, apart: Callable[[object, object], bool]) -> DataFrame:
@@ -37,13 +37,9 @@ def kept_stream(rows: DataFrame, by: str, order: list[str], value: str, apart: C
     return rows.groupBy(by).applyInPandasWithState(step, schema, f"last {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
 
 
-def _far(threshold: int) -> Callable[[object, object], bool]:
-    return lambda a, b: ((int(a) ^ int(b)) & 0xFFFFFFFFFFFFFFFF).bit_count() > threshold
-
-
 def select_stream(frames: DataFrame, by: str, order: list[str], threshold: int = NEAR_BITS, state: str = "board") -> DataFrame:
     """Frames (by, order..., dhash, state) that are over `threshold` bits from the last kept one of any state, and in `state`."""
-    return kept_stream(frames, by, order, "dhash", _far(threshold)).where(F.col("state") == state)
+    return kept_stream(frames, by, order, "dhash", far(threshold)).where(F.col("state") == state)
 
 
 def thinned_stream(rows: DataFrame, by: str, order: list[str], seconds: str, max_fps: float) -> DataFrame:

@@ -113,7 +113,7 @@ def test_prototype_edge_cases(spark):
     v = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [-1.0, 0.0]), (3, "b", [0.0, 2.0])], "id int, label string, embedding array<double>")
     protos = vectors.prototypes(v, ["label"])
     assert [r["label"] for r in protos.collect()] == ["b"]
-    assert {r["identity"] for r in vectors.nearest(v, protos).collect()} == {"unknown"}
+    assert {r["identity"] for r in vectors.nearest(v, protos, ["id"]).collect()} == {"unknown"}
 
 
 def test_resampler_counts(spark):
