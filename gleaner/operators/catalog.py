@@ -66,7 +66,9 @@ def skipped_union(*names: DataFrame) -> DataFrame:
 
 def write_manifest(manifests: DataFrame, skipped: DataFrame, path: str) -> None:
     """One JSON document: roles with their entries, and the sorted names of skipped images. For a gallery, whose size a person can look through."""
-    roles = manifests.groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(*manifests.columns)))).alias("roles"))
+    role = manifests.columns[0]
+    in_order = lambda a, b: F.when(a[role] < b[role], -1).when(a[role] > b[role], 1).otherwise(0)
+    roles = manifests.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(*manifests.columns)), in_order)).alias("roles"))
     names = skipped.distinct().groupBy().agg(F.sort_array(F.collect_list(skipped.columns[0])).alias("n")).scalar()
     roles.select(F.to_json(F.struct("roles", names.alias("skipped_images"))).alias("value")).coalesce(1).write.text(path)
 
