@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.scalar import stride_for_fps, timestamp_of, unit
+from gleaner.functions.scalar import stride_for_fps, timestamp_of
 
 NEAR_BITS = 8
 BRIGHT, RATIO, RED = 160.0, 2.0, 10.0
@@ -104,7 +104,7 @@ def hs_histogram(pixels: DataFrame, by: str) -> DataFrame:
 
 def histogram_vectors(histograms: DataFrame, by: str, bins: int = BINS) -> DataFrame:
     """histograms (by, bin, share) -> (by, vector): all bins, less their mean and of length 1, so that a dot product is a Pearson correlation. A flat one: zeros."""
-    filled = histograms.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m"))
-    dense = filled.select(by, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("x"))
-    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / bins
-    return dense.select(by, unit(F.transform("x", lambda v: v - mean)).alias("vector"))
+    share = F.col("share")
+    filled = histograms.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m"), (F.sum(share) / bins).alias("mean"), F.sqrt(F.sum(share * share) - F.sum(share) * F.sum(share) / bins).alias("norm"))
+    value = lambda k: (F.coalesce(F.try_element_at("m", k), F.lit(0.0)) - F.col("mean")) / F.col("norm")
+    return filled.select(by, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.when(F.col("norm") > 1e-9, value(k)).otherwise(0.0)).alias("vector"))
