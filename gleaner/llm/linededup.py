@@ -69,7 +69,9 @@ def _toggled(ids: Column, part: int, parts: int) -> Column:
 def _lines(docs: DataFrame, ranks: DataFrame, slots: int) -> DataFrame:
     """(doc_id, line, text_hash, chars, ids) of every line that has a word. Lines are coded within their document's row, and only then set apart."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.length(x).alias("chars"), _ids(x, F.col("_ranks"), slots).alias("ids")))
-    rows = docs.withColumn("_ranks", ranks.scalar()).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines).alias("line", "x"))
+    # Beside an explode, an expression is computed once a line: the text's hash comes before it.
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", ranks.scalar().alias("_ranks"))
+    rows = hashed.select("doc_id", "text_hash", F.posexplode(lines).alias("line", "x"))
     return rows.where(F.size("x.ids") > 0).select("doc_id", "line", "text_hash", "x.chars", "x.ids")
 
 
@@ -118,7 +120,8 @@ def _owners(met: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     by_class = met.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
     known = classes.select("c", "n", "bits0", "bits1").join(by_class, "c").join(sets, "c")
     wide = F.when(F.col("n") >= LONG_LINE, F.array(*[_toggled(F.col("ids"), k, WIDE) for k in range(WIDE)]))
-    placed = known.select("c", "n", "bits0", "bits1", wide.alias("wide"), F.col("w.word").alias("words"), F.posexplode("w").alias("k", "x"))
+    known = known.select("c", "n", "bits0", "bits1", wide.alias("wide"), F.col("w.word").alias("words"), "w")
+    placed = known.select("c", "n", "bits0", "bits1", "wide", "words", F.posexplode("w").alias("k", "x"))
     postings = stored(placed.select("x.word", "c", "n", "bits0", "bits1", "wide", "x.at", F.slice("words", F.lit(1), F.col("k")).alias("earlier")))
     far = sum((F.bit_count(F.get("a.wide", F.lit(k)).bitwiseXOR(F.get("b.wide", F.lit(k)))) for k in range(WIDE)), F.lit(0))
     near = F.coalesce((NUM + DEN) * far <= (DEN - NUM) * (F.col("a.n") + F.col("b.n")), F.lit(True))
