@@ -178,10 +178,11 @@ def test_sinks(spark, tmp_path, shots, pictures):
 
 def test_settings(tmp_path):
     env = tmp_path / "env"
-    env.write_text("# c\nDBCV_IDENTIFIER='classical'\nDBCV_CONFIDENCE_THRESHOLD=0.3\nOTHER=1\n")
+    env.write_text("# c\nGLEANER_IDENTIFIER='classical'\nGLEANER_CONFIDENCE_THRESHOLD=0.3\nOTHER=1\n")
     assert config.load(str(env), {}) == config.Settings("frames", 0.3, "classical")
-    assert config.load(str(env), {"DBCV_IDENTIFIER": "Ensemble"}).identifier == "ensemble"
-    for bad in ({"DBCV_IDENTIFIER": "x"}, {"DBCV_CONFIDENCE_THRESHOLD": "2"}):
+    assert config.load(str(env), {"GLEANER_IDENTIFIER": "Ensemble"}).identifier == "ensemble"
+    assert config.load(None, {"X_IDENTIFIER": "classical"}, "X_").identifier == "classical"
+    for bad in ({"GLEANER_IDENTIFIER": "x"}, {"GLEANER_CONFIDENCE_THRESHOLD": "2"}):
         with pytest.raises(ValueError):
             config.load(None, bad)
 
