@@ -64,7 +64,7 @@ nested AS (SELECT frame, count(*) AS n, string_agg(role || ':' || identity, ','
 f AS (SELECT o_orderkey AS frame, CASE o_orderstatus WHEN 'O' THEN 'board' WHEN 'F' THEN 'modal' ELSE 'menu' END AS state FROM orders),
 snap AS (SELECT f.frame, state, CASE WHEN state = 'board' THEN coalesce(n, 0) ELSE 0 END::INT AS n, CASE WHEN state = 'board' THEN coalesce(cards, '') ELSE '' END AS cards, CASE WHEN state = 'board' THEN coalesce(named, '') ELSE '' END AS named FROM f LEFT JOIN nested USING (frame))"""
 
-_BLOBS = "blobs AS (SELECT s_suppkey AS frame, 96 + s_suppkey % 7 * 8 AS x, 72 + s_suppkey % 5 * 4 AS y, 36 + s_suppkey % 4 * 2 AS w, 48 + s_suppkey % 3 * 4 AS h FROM supplier)"
+_BLOBS = "blobs AS (SELECT s_suppkey AS frame, 48 + s_suppkey % 7 * 4 AS x, 36 + s_suppkey % 5 * 2 AS y, 18 + s_suppkey % 4 AS w, 24 + s_suppkey % 3 * 2 AS h FROM supplier)"
 
 ORACLES = {
     "proto_mean": f"WITH {_PROTO} SELECT label, dim::INT AS dim, round(p, 6) AS x FROM proto",
@@ -160,6 +160,6 @@ ORACLES = {
     "skipped_union": "SELECT p_brand AS name FROM part UNION SELECT p_type FROM part",
     "stem_lookup": """WITH f AS (SELECT lower(c_mktsegment) || '_' || c_nationkey || '_' AS prefix, 'dir/' || lower(c_mktsegment) || '_' || c_nationkey || '_' || c_custkey || '.png' AS path FROM customer)
       SELECT prefix, min(path) AS path FROM f GROUP BY prefix""",
-    "localize_blobs": f"WITH {_BLOBS} SELECT frame, 0 AS slot, round(x / 320.0::DOUBLE, 6) AS x, round(y / 180.0::DOUBLE, 6) AS y, round(w / 320.0::DOUBLE, 6) AS w, round(h / 180.0::DOUBLE, 6) AS h FROM blobs",
+    "localize_blobs": f"WITH {_BLOBS} SELECT frame, 0 AS slot, round(x / 160.0::DOUBLE, 6) AS x, round(y / 90.0::DOUBLE, 6) AS y, round(w / 160.0::DOUBLE, 6) AS w, round(h / 90.0::DOUBLE, 6) AS h FROM blobs",
     "pipeline_records": f"WITH {_BLOBS} SELECT frame, 'board' AS frame_state, 1 AS n_cards, CASE frame % 3 WHEN 0 THEN 'Moss' WHEN 1 THEN 'Iris' ELSE 'Ember' END AS identity, CASE frame % 3 WHEN 0 THEN 'villager' WHEN 1 THEN 'minion' ELSE 'demon' END AS role, 1.0::DOUBLE AS confidence FROM blobs",
 }

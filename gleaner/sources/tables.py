@@ -62,13 +62,13 @@ def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Blue, green and red of the cards that `blob_frames` draws, by supplier modulo their number, with identity and role.
 CARDS = (("00C800", "Moss", "villager"), ("C80064", "Iris", "minion"), ("0000C8", "Ember", "demon"))
-BLOB_W, BLOB_H = 320, 180
+BLOB_W, BLOB_H = 160, 90
 
 
 def _card(supplier: Column) -> tuple[Column, Column, Column, Column]:
     """(x, y, w, h) of a supplier's card in pixels: free of the fixed zones, and large enough."""
     n = supplier.cast("int")
-    return 96 + n % 7 * 8, 72 + n % 5 * 4, 36 + n % 4 * 2, 48 + n % 3 * 4
+    return 48 + n % 7 * 4, 36 + n % 5 * 2, 18 + n % 4, 24 + n % 3 * 2
 
 
 def blob_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,9 @@ def blob_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = lambda k: F.repeat(F.lit("646464"), k)
     card = F.concat(plain(x), F.repeat(colour, w), plain(BLOB_W - x - w))
     picture = F.concat(F.repeat(plain(F.lit(BLOB_W)), y), F.repeat(card, h), F.repeat(plain(F.lit(BLOB_W)), BLOB_H - y - h))
-    return table(spark, sf_dir, "supplier").select(n.cast("long").alias("frame"), F.lit(BLOB_W).alias("w"), F.lit(BLOB_H).alias("h"), F.unhex(picture).alias("pixels"))
+    # A small table makes large pictures: it is dealt to all cores first.
+    dealt = table(spark, sf_dir, "supplier").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    return dealt.select(n.cast("long").alias("frame"), F.lit(BLOB_W).alias("w"), F.lit(BLOB_H).alias("h"), F.unhex(picture).alias("pixels"))
 
 
 def colour_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
