@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import bytebpe, chat, decontaminate, language, licenses, linededup, mixing, quality, repair, sharding, simhash, toxicity
+from gleaner.llm import bytebpe, chat, crosstok, decontaminate, language, licenses, linededup, mixing, quality, repair, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_licenses": licenses.op9_licenses,
     "op10_quality": quality.op10_quality,
+    "op11_crosstok": crosstok.op11_crosstok,
     "op12_repair": repair.op12_repair,
     "op13_byte_bpe": bytebpe.op13_byte_bpe,
 }
