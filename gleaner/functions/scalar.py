@@ -51,10 +51,6 @@ def gradient_hash(cells: Column, rows: int = HASH_ROWS, cols: int = HASH_COLS) -
     return pack_bits(F.transform(at, lambda i: F.get(cells, left(i) + 1) > F.get(cells, left(i))))
 
 
-def grey(blue: Column, green: Column, red: Column) -> Column:
-    return F.round(GREY[0] * blue + GREY[1] * green + GREY[2] * red)
-
-
 def pixel_edge(relative: Column, size: Column, most: Column) -> Column:
     """A relative edge in pixels, rounded half to even and kept in 0 .. most."""
     return F.least(F.greatest(F.rint(relative * size).cast("int"), F.lit(0)), most)
@@ -64,8 +60,13 @@ def valid_role(role: Column) -> Column:
     return F.when(role.isin(*ROLES), role).otherwise(UNKNOWN)
 
 
+#: Characters that count as white space at the ends of a title.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def slugify(text: Column) -> Column:
-    return F.regexp_replace(F.replace(F.trim(text), F.lit(" "), F.lit("_")), "[^A-Za-z0-9._-]", "_")
+    """White space at the ends goes, blanks become `_`, and so does what is no ASCII letter, digit, dot, `_` or `-`."""
+    return F.regexp_replace(F.replace(F.trim(text, F.lit(WHITE_SPACE)), F.lit(" "), F.lit("_")), "[^A-Za-z0-9._-]", "_")
 
 
 def frame_name(stem: Column) -> tuple[Column, Column, Column]:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.scalar import stride_for_fps, timestamp_of
+from gleaner.operators.orbit import GROUP_ROWS, Apart, last_kept
 
 NEAR_BITS = 8
 BRIGHT, RATIO, RED = 160.0, 2.0, 10.0
@@ -21,42 +20,24 @@ def strided(frames: DataFrame, media_fps: Column, target_fps: Column, index: str
     return frames.withColumn("stride", stride).where(F.col(index) % F.col("stride") == 0).withColumn("timestamp_s", timestamp_of(F.col(index), media_fps))
 
 
-def _fold_kept(rows: DataFrame, by: str, order: list[str], value: str, apart: Callable[[object, object], bool]) -> DataFrame:
-    """`rows` with `kept`: whether a row of a group is the first in order or `apart` from the last row kept; so is one with a null.
-
-    A group's rows come sorted, batch by batch, and the walk holds one value: memory does not grow with the group.
-    """
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started, group, last = False, None, None
-        for batch in batches:
-            flags = []
-            for key, v in zip(batch.column(by).to_pylist(), batch.column(value).to_pylist(), strict=True):
-                kept = not started or key != group or v is None or last is None or apart(v, last)
-                started, group = True, key
-                if kept:
-                    last = v
-                flags.append(kept)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*batch.schema.names, "kept"])
-
-    rows = rows.drop("kept")
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + ", kept boolean"
-    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(walk, schema)
+def far(threshold: int) -> Apart:
+    """Whether 64-bit hashes differ from one in more than `threshold` bits."""
+    return lambda a, b: np.bitwise_count(np.bitwise_xor(np.asarray(a, np.int64), np.int64(b)).view(np.uint64)) > threshold
 
 
-def far(threshold: int) -> Callable[[int, int], bool]:
-    """Whether two 64-bit hashes differ in more than `threshold` bits."""
-    return lambda a, b: ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() > threshold
+def later(seconds: float) -> Apart:
+    """Whether times are at least `seconds` after one."""
+    return lambda a, b: a - b >= seconds
 
 
-def dedup_last_kept(rows: DataFrame, by: str, order: list[str], hash_col: str = "dhash", threshold: int = NEAR_BITS) -> DataFrame:
-    """`rows` with `kept`: over `threshold` bits from the last kept hash of the group. `order` must be total. Pass slim rows: all columns are sorted."""
-    return _fold_kept(rows, by, order, hash_col, far(threshold))
+def dedup_last_kept(rows: DataFrame, by: str, order: list[str], hash_col: str = "dhash", threshold: int = NEAR_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """`rows` with `kept`: over `threshold` bits from the last kept hash of the group, see `orbit.last_kept`. `order` must be total. Pass slim rows: all columns are sorted."""
+    return last_kept(rows, by, order, hash_col, far(threshold), group_rows)
 
 
-def thinned(rows: DataFrame, by: str, order: list[str], seconds: str, max_fps: float) -> DataFrame:
+def thinned(rows: DataFrame, by: str, order: list[str], seconds: str, max_fps: float, group_rows: int = GROUP_ROWS) -> DataFrame:
     """`rows` with `kept`: at least 1 / max_fps after the last kept row of the group."""
-    return _fold_kept(rows, by, order, seconds, lambda v, last: v - last >= 1.0 / max_fps)
+    return last_kept(rows, by, order, seconds, later(1.0 / max_fps), group_rows)
 
 
 def select_frames(frames: DataFrame, by: str, order: list[str], threshold: int = NEAR_BITS, state: str = "board") -> DataFrame:

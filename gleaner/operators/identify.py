@@ -13,23 +13,23 @@ LEAST_CORRELATION, CLOSE, LEAST_MATCHES = 0.40, 0.05, 4
 
 
 def combined(classical: DataFrame, embedding: DataFrame, key: str) -> DataFrame:
-    """Two verdicts (key, identity, confidence) a key, either of which may be missing -> (key, identity, confidence, source).
+    """Two verdicts (key, identity, role, confidence) a key, either of which may be missing -> (key, identity, role, confidence, source).
 
-    Both unknown: unknown at 0. The same identity: the higher confidence plus BOOST, at most 1.
-    Different ones: unknown at 0. One known: that one, unchanged.
+    Both unknown: unknown at 0. The same identity: the classical role, the higher confidence plus
+    BOOST, at most 1. Different ones: unknown at 0. One known: that one, unchanged. A null role is unknown.
     """
-    c = classical.select(F.col(key).alias("_c"), F.col("identity").alias("ci"), F.col("confidence").alias("cc"))
-    e = embedding.select(F.col(key).alias("_e"), F.col("identity").alias("ei"), F.col("confidence").alias("ec"))
-    both = c.join(e, F.col("_c") == F.col("_e"), "full").select(F.coalesce("_c", "_e").alias(key), *[F.coalesce(i, F.lit(UNKNOWN)).alias(i) for i in ("ci", "ei")], *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("cc", "ec")])
+    side = lambda df, x: df.select(F.col(key).alias(f"_{x}"), F.col("identity").alias(f"{x}i"), F.col("role").alias(f"{x}r"), F.col("confidence").alias(f"{x}c"))
+    filled = [F.coalesce(x, F.lit(UNKNOWN)).alias(x) for x in ("ci", "ei", "cr", "er")] + [F.coalesce(x, F.lit(0.0)).alias(x) for x in ("cc", "ec")]
+    both = side(classical, "c").join(side(embedding, "e"), F.col("_c") == F.col("_e"), "full").select(F.coalesce("_c", "_e").alias(key), *filled)
     no_c, no_e, same = F.col("ci") == UNKNOWN, F.col("ei") == UNKNOWN, F.col("ci") == F.col("ei")
     source = F.when(no_c & no_e, "both_unknown").when(same, "agree").when(no_c, "embedding_only").when(no_e, "classical_only").otherwise("disagree_abstain")
     out = both.withColumn("source", source)
     src = F.col("source")
-    identity = F.when(src.isin("agree", "classical_only"), F.col("ci")).when(src == "embedding_only", F.col("ei")).otherwise(UNKNOWN)
+    taken = lambda c, e: F.when(src.isin("agree", "classical_only"), F.col(c)).when(src == "embedding_only", F.col(e)).otherwise(UNKNOWN)
     confidence = (
         F.when(src == "agree", F.round(F.least(F.lit(1.0), F.greatest("cc", "ec") + BOOST), 4)).when(src == "classical_only", F.col("cc")).when(src == "embedding_only", F.col("ec")).otherwise(0.0)
     )
-    return out.select(key, identity.alias("identity"), confidence.alias("confidence"), "source")
+    return out.select(key, taken("ci", "ei").alias("identity"), taken("cr", "er").alias("role"), confidence.alias("confidence"), "source")
 
 
 def tint_discounted(identity: Column, role: Column, confidence: Column, tinted: Column) -> tuple[Column, Column, Column]:

@@ -189,8 +189,8 @@ def histogram_image(image: np.ndarray) -> np.ndarray:
     return counts / max(counts.sum(), 1)
 
 
-def art_histograms(pictures: DataFrame, w: str, h: str, pixels: str) -> DataFrame:
-    """`pictures` with `vector` for their pixels: the art band's histogram, less its mean, of length 1 (zeros if flat), so that a dot product is a correlation."""
+def art_histograms(pictures: DataFrame, w: str, h: str, pixels: str, band: bool = True) -> DataFrame:
+    """`pictures` with `vector` for their pixels: the histogram of the art band, or of all of them, less its mean, of length 1 (zeros if flat), so that a dot product is a correlation."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,8 +200,8 @@ def art_histograms(pictures: DataFrame, w: str, h: str, pixels: str) -> DataFram
                     vectors.append([0.0] * 512)
                     continue
                 rows, cols = image.shape[:2]
-                band = image[int(rows * 0.12) : int(rows * 0.62), int(cols * 0.08) : int(cols * 0.92)]
-                x = histogram_image(band if band.size else image)
+                art = image[int(rows * 0.12) : int(rows * 0.62), int(cols * 0.08) : int(cols * 0.92)] if band else image
+                x = histogram_image(art if art.size else image)
                 x = x - x.mean()
                 norm = float(np.linalg.norm(x))
                 vectors.append((x / norm if norm > 1e-9 else np.zeros(512)).tolist())

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.scalar import UNKNOWN, dot, gradient_hash, hamming
@@ -43,49 +43,47 @@ def _scores(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return x @ refs.T if x.shape[1] == refs.shape[1] else np.zeros((len(x), len(refs)))
 
 
-def _top(scores: np.ndarray, names: list[str], digits: int | None) -> tuple[list, ...]:
-    """(best name, score, second name, score) of each row; names are in order, and a tie goes to the last."""
-    scores = scores if digits is None else np.round(scores, digits)
-    back = scores[:, ::-1]
-    first = back.argmax(axis=1) if len(names) else np.zeros(len(scores), int)
-    rows, last = np.arange(len(scores)), len(names) - 1
-    k1 = last - first
-    one = scores[rows, k1].tolist() if len(names) else [None] * len(scores)
-    if len(names) < 2:
-        return [names[k] for k in k1] if names else [None] * len(scores), one, [None] * len(scores), [None] * len(scores)
-    rest = back.copy()
-    rest[rows, first] = -np.inf
-    k2 = last - rest.argmax(axis=1)
-    return [names[k] for k in k1], one, [names[k] for k in k2], scores[rows, k2].tolist()
-
-
-_FOUND = "best string, top1 double, second string, top2 double"
+def _top(scores: np.ndarray, names: pa.Array, digits: int | None) -> list[pa.Array]:
+    """(best name, score, second name, score) of each row; names are in order, and a tie goes to the first."""
+    if not len(names):
+        return [pa.nulls(len(scores), t) for t in (names.type, pa.float64()) * 2]
+    scores = (scores if digits is None else np.round(scores, digits)).copy()
+    rows = np.arange(len(scores))
+    out: list[pa.Array] = []
+    for _ in range(2):
+        k = scores.argmax(axis=1)
+        top = scores[rows, k]
+        out += [names.take(pa.array(k, mask=np.isneginf(top))), pa.array(top, mask=np.isneginf(top))]
+        scores[rows, k] = -np.inf
+    return out
 
 
 def two_best(rows: DataFrame, by: list[str], value: str, refs: DataFrame, ref: str, ref_value: str, digits: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(by..., best, top1, second, top2): of each row the two references with the highest scores, and these; a tie goes to the later name.
+    """(by..., best, top1, second, top2): of each row the two references with the highest scores, as text, and these; a tie goes to the lower reference, by its own type's order.
 
     Values are vectors (score: dot product) or 64-bit hashes (score: negative Hamming distance).
     `by` must tell rows apart. The references go to every task while their size is within `limit`,
     and this is a map over the rows; beyond, blocks of them meet runs of rows, and a row's blocks are
     brought together by `by`. No references: nulls.
     """
-    refs = refs.select(F.col(ref).cast("string").alias("k"), F.col(ref_value).alias("v"))
+    refs = refs.select(F.col(ref).alias("k"), F.col(ref_value).alias("v"))
     n, size = refs.agg(F.count(F.lit(1)), F.sum(F.size("v") * 8 + 8) if dict(refs.dtypes)["v"].startswith("array") else F.count(F.lit(1)) * 16).first()
     slim = rows.select(*by, F.col(value).alias("_v"))
-    kinds = ", ".join(f"`{c}` {k}" for c, k in slim.drop("_v").dtypes)
+    name = dict(refs.dtypes)["k"]
+    kinds = ", ".join(f"`{c}` {k}" for c, k in slim.drop("_v").dtypes) + f", best {name}, top1 double, second {name}, top2 double"
 
-    def found(batch: pa.RecordBatch | pa.Table, names: list[str], known: np.ndarray) -> pa.RecordBatch:
+    def found(batch: pa.RecordBatch | pa.Table, names: pa.Array, known: np.ndarray) -> pa.RecordBatch:
         values = batch.column("_v")
         x = _matrix(values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values)
-        best, one, second, two = _top(_scores(x, known), names, digits)
-        columns = [batch.column(c) for c in by] + [pa.array(best, pa.string()), pa.array(one, pa.float64()), pa.array(second, pa.string()), pa.array(two, pa.float64())]
+        columns = [batch.column(c) for c in by] + _top(_scores(x, known), names, digits)
         return (pa.Table if isinstance(batch, pa.Table) else pa.RecordBatch).from_arrays(columns, names=[*by, "best", "top1", "second", "top2"])
 
-    def packed(table: pa.Table) -> tuple[list[str], np.ndarray]:
+    def packed(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
         table = table.sort_by("k")
-        return table.column("k").to_pylist(), _matrix(table.column("v").combine_chunks())
+        names = table.column("k").combine_chunks()
+        return names.chunk(0) if isinstance(names, pa.ChunkedArray) and names.num_chunks else names, _matrix(table.column("v").combine_chunks())
 
+    as_text = lambda df: df.select(*by, F.col("best").cast("string").alias("best"), "top1", F.col("second").cast("string").alias("second"), "top2")
     if (size or 0) <= limit:
         held = rows.sparkSession.sparkContext.broadcast(packed(refs.toArrow()))
 
@@ -93,16 +91,16 @@ def two_best(rows: DataFrame, by: list[str], value: str, refs: DataFrame, ref: s
             for batch in batches:
                 yield found(batch, *held.value)
 
-        return slim.mapInArrow(each, f"{kinds}, {_FOUND}")
+        return as_text(slim.mapInArrow(each, kinds))
     blocks = -(-size // max(limit, 1))
     runs = -(-rows.count() // ROWS_A_TASK)
     left = slim.withColumn("_run", F.pmod(F.xxhash64(*by), F.lit(runs))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = refs.withColumn("_block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
-    parts = left.groupBy("_block", "_run").cogroup(right.groupBy("_block", "_run")).applyInArrow(lambda a, b: found(a, *packed(b)), f"{kinds}, {_FOUND}")
-    pair = lambda score, name: F.struct(F.col(score).alias("s"), F.col(name).alias("k"))
-    both = parts.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list(F.array(pair("top1", "best"), pair("top2", "second")))), asc=False).alias("t"))
+    parts = left.groupBy("_block", "_run").cogroup(right.groupBy("_block", "_run")).applyInArrow(lambda a, b: found(a, *packed(b)), kinds)
+    pair = lambda score, name: F.struct((-F.col(score)).alias("s"), F.col(name).alias("k"))
+    both = parts.groupBy(*by).agg(F.sort_array(F.filter(F.flatten(F.collect_list(F.array(pair("top1", "best"), pair("top2", "second")))), lambda x: x["s"].isNotNull())).alias("t"))
     at = lambda k, f: F.get("t", F.lit(k))[f]
-    return both.select(*by, at(0, "k").alias("best"), at(0, "s").alias("top1"), at(1, "k").alias("second"), at(1, "s").alias("top2"))
+    return as_text(both.select(*by, at(0, "k").alias("best"), (-at(0, "s")).alias("top1"), at(1, "k").alias("second"), (-at(1, "s")).alias("top2")))
 
 
 def nearest(vectors: DataFrame, protos: DataFrame, by: list[str], key: str = "label", vector: str = "embedding", margin: float = MARGIN, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -154,9 +152,3 @@ def match_counts(pairs: DataFrame, crop: str, entry: str, descriptors: DataFrame
     two = F.slice(F.sort_array(F.transform("_r", lambda r: hamming(F.col("_h"), r))), 1, 2)
     good = met.select(crop, entry, two.alias("d")).groupBy(crop, entry).agg(F.count_if(F.get("d", F.lit(0)) < ratio * F.get("d", F.lit(1))).alias("matches"))
     return pairs.join(good, [crop, entry], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
-
-
-def best_two(scored: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
-    """The two rows of each group with the highest scores; ties by `tie`; with `rank` 1 and 2."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), tie)
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 2")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from gleaner.functions.scalar import WHITE_SPACE
 from gleaner.operators.boxes import ZONES
 from gleaner.operators.catalog import ART_TYPES, NOT_ART
 
+#: What is trimmed from both ends of a title, as SQL: white space of any kind.
+_BLANKS = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
+
 _PROTO = """
 cells AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
 means AS (SELECT label, dim, avg(x) AS m FROM cells GROUP BY label, dim),
@@ -13,7 +17,7 @@ proto AS (SELECT label, dim, m / norm AS p FROM means JOIN norms USING (label) W
 _NAMED = f"""{_PROTO},
 vcells AS (SELECT vec_id, label AS own, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
 cosines AS (SELECT vec_id, own, label::VARCHAR AS k, sum(x * p) AS c FROM vcells JOIN proto USING (dim) GROUP BY vec_id, own, label),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, k DESC) AS r FROM cosines),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) AS r FROM cosines),
 named AS (SELECT vec_id, any_value(own) AS own, max(k) FILTER (WHERE r = 1) AS best, max(c) FILTER (WHERE r = 1) - max(c) FILTER (WHERE r = 2) AS margin FROM ranked WHERE r <= 2 GROUP BY vec_id),
 found AS (SELECT *, CASE WHEN margin >= 0.12 THEN best ELSE 'unknown' END AS identity, round(least(greatest(margin, 0), 1), 4) AS confidence FROM named)"""
 _HASH = "hashes AS (SELECT vec_id, label, list_sum(list_transform(range(56), lambda i: CASE WHEN embedding[(i // 7) * 8 + i % 7 + 2] > embedding[(i // 7) * 8 + i % 7 + 1] THEN 1::BIGINT << (55 - i) ELSE 0::BIGINT END))::BIGINT AS dhash FROM embeddings)"
@@ -54,8 +58,8 @@ def _hist(name: str, key: str, where: str = "TRUE") -> str:
 {name} AS (SELECT k, bin, n / sum(n) OVER (PARTITION BY k) AS share FROM {name}c)"""
 
 
-_VERDICTS = """classical AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE lang END AS ci, (n_chars % 100) / 100.0::DOUBLE AS cc, source FROM documents),
-embedding AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'unknown' WHEN quality = 0 OR doc_id % 5 = 0 THEN 'en' ELSE 'fr' END AS ei, (doc_id % 90) / 100.0::DOUBLE AS ec FROM labels)"""
+_VERDICTS = """classical AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE lang END AS ci, (n_chars % 100) / 100.0::DOUBLE AS cc, source, (['villager', 'minion'])[doc_id % 2 + 1] AS cr FROM documents),
+embedding AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'unknown' WHEN quality = 0 OR doc_id % 5 = 0 THEN 'en' ELSE 'fr' END AS ei, (doc_id % 90) / 100.0::DOUBLE AS ec, (['demon', 'outcast', NULL])[doc_id % 3 + 1] AS er FROM labels)"""
 _PAIRED = f"{_VERDICTS}, paired AS (SELECT doc_id, source, ci, ei FROM classical JOIN embedding USING (doc_id))"
 _GALLERY = "gallery AS (SELECT r_name AS role, n_name AS identity, s_name AS file, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 _SNAPSHOTS = f"""{_BOXES}, {_nms("boxes")},
@@ -124,16 +128,17 @@ ORACLES = {
       a AS (SELECT k, sum(share) AS s, sum(share * share) AS q FROM ch GROUP BY k), b AS (SELECT k, sum(share) AS s, sum(share * share) AS q FROM gh GROUP BY k),
       xy AS (SELECT ch.k AS frame, gh.k AS shot, sum(ch.share * gh.share) AS xy FROM ch JOIN gh USING (bin) GROUP BY ALL),
       sc AS (SELECT a.k AS frame, b.k AS shot, round(coalesce((coalesce(xy, 0) - a.s * b.s / 512) / nullif(sqrt((a.q - a.s * a.s / 512) * (b.q - b.s * b.s / 512)), 0), 0), 9) AS score FROM a CROSS JOIN b LEFT JOIN xy ON a.k = xy.frame AND b.k = xy.shot),
-      r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, shot::VARCHAR DESC) AS n FROM sc),
+      r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, shot) AS n FROM sc),
       m AS (SELECT frame, shot, count(*) AS n FROM pixels GROUP BY ALL),
       p AS (SELECT frame, max(least(greatest(score, 0), 1)) FILTER (WHERE n = 1) AS s1, max(least(greatest(score, 0), 1)) FILTER (WHERE n = 2) AS s2, max(shot) FILTER (WHERE n = 1) AS i1, max(shot) FILTER (WHERE n = 2) AS i2 FROM r WHERE n <= 2 GROUP BY frame),
       t AS (SELECT p.*, coalesce(s1 - s2 < 0.05 AND coalesce(m2.n, 0) > coalesce(m1.n, 0) AND coalesce(m2.n, 0) >= 4, FALSE) AS take FROM p LEFT JOIN m m1 ON m1.frame = p.frame AND m1.shot = i1 LEFT JOIN m m2 ON m2.frame = p.frame AND m2.shot = i2),
       f AS (SELECT DISTINCT frame FROM pixels)
       SELECT f.frame, CASE WHEN coalesce(s1, 0) < 0.4 THEN 'unknown' WHEN take THEN i2::VARCHAR ELSE i1::VARCHAR END AS identity, round(CASE WHEN coalesce(s1, 0) >= 0.4 AND take THEN s2 ELSE coalesce(s1, 0) END, 4) AS score FROM f LEFT JOIN t USING (frame)""",
-    "ensemble_combine": f"""WITH {_VERDICTS}, j AS (SELECT coalesce(c.doc_id, e.doc_id) AS doc_id, coalesce(ci, 'unknown') AS ci, coalesce(cc, 0) AS cc, coalesce(ei, 'unknown') AS ei, coalesce(ec, 0) AS ec FROM classical c FULL JOIN embedding e ON c.doc_id = e.doc_id),
+    "ensemble_combine": f"""WITH {_VERDICTS}, j AS (SELECT coalesce(c.doc_id, e.doc_id) AS doc_id, coalesce(ci, 'unknown') AS ci, coalesce(cc, 0) AS cc, coalesce(ei, 'unknown') AS ei, coalesce(ec, 0) AS ec, cr, er FROM classical c FULL JOIN embedding e ON c.doc_id = e.doc_id),
       s AS (SELECT *, CASE WHEN ci = 'unknown' AND ei = 'unknown' THEN 'both_unknown' WHEN ci = ei THEN 'agree' WHEN ci = 'unknown' THEN 'embedding_only' WHEN ei = 'unknown' THEN 'classical_only' ELSE 'disagree_abstain' END AS source FROM j)
       SELECT doc_id, CASE WHEN source IN ('agree', 'classical_only') THEN ci WHEN source = 'embedding_only' THEN ei ELSE 'unknown' END AS identity,
-        round(CASE source WHEN 'agree' THEN least(1.0, greatest(cc, ec) + 0.15::DOUBLE) WHEN 'classical_only' THEN cc WHEN 'embedding_only' THEN ec ELSE 0 END, 4) AS confidence, source FROM s""",
+        round(CASE source WHEN 'agree' THEN least(1.0, greatest(cc, ec) + 0.15::DOUBLE) WHEN 'classical_only' THEN cc WHEN 'embedding_only' THEN ec ELSE 0 END, 4) AS confidence,
+        coalesce(CASE WHEN source IN ('agree', 'classical_only') THEN cr WHEN source = 'embedding_only' THEN er END, 'unknown') AS role, source FROM s""",
     "tint_discount": f"""WITH {_VERDICTS}, d AS (SELECT doc_id, ci, (['villager', 'outcast', 'minion', 'demon', 'unknown', 'unknown'])[doc_id % 6 + 1] AS role, doc_id % 2 = 0 AS t, cc, round(cc * 0.7::DOUBLE, 4) AS low FROM classical)
       SELECT doc_id, CASE WHEN t AND low < 0.5 THEN 'unknown' ELSE ci END AS identity, CASE WHEN t AND low < 0.5 THEN 'unknown' ELSE role END AS role, CASE WHEN t THEN low ELSE cc END AS confidence FROM d""",
     "mining_rollup": f"""WITH {_PAIRED} SELECT source, grouping(source) = 1 AS "grand", count(DISTINCT doc_id) AS frames, count(*) AS crops, count(*) FILTER (WHERE ci = ei) AS agreements, count(*) FILTER (WHERE ci = ei AND ci = 'unknown') AS both_unknown,
@@ -142,7 +147,7 @@ ORACLES = {
       count(*) FILTER (WHERE ei = 'unknown') AS embedding_unknown, count(*) FILTER (WHERE ci = ei) AS agree, count(*) FILTER (WHERE ci <> ei) AS disagree FROM paired""",
     "gallery_counts": f"WITH {_GALLERY} SELECT role, count(*) AS n_references, count(DISTINCT identity) AS n_identities, string_agg(DISTINCT identity, ',' ORDER BY identity) AS names FROM gallery GROUP BY role",
     "alias_resolve": f"WITH {_GALLERY} SELECT CASE WHEN n_nationkey % 5 = 4 THEN 'NATION_' || (n_nationkey - 1) ELSE identity END AS identity, count(*) AS n FROM gallery GROUP BY 1",
-    "slugify_urls": "SELECT page_id, regexp_replace(replace(trim(url), ' ', '_'), '[^A-Za-z0-9._-]', '_', 'g') AS slug FROM pages",
+    "slugify_urls": f"SELECT page_id, regexp_replace(replace(trim(url, {_BLANKS}), ' ', '_'), '[^A-Za-z0-9._-]', '_', 'g') AS slug FROM pages",
     "art_filter": "WITH f AS (SELECT p_partkey, lower(replace(p_name, ' ', '_') || '_' || (['logo.PNG', 'card.webp', 'icon.png', 'cc-by.jpg', 'portrait.JPEG', 'notes.txt'])[p_partkey % 6 + 1]) AS n FROM part) SELECT p_partkey, ("
     + " OR ".join(f"ends_with(n, '{t}')" for t in ART_TYPES) + ") AND NOT (" + " OR ".join(f"contains(n, '{h}')" for h in NOT_ART) + ") AS is_art FROM f",
     "uncached_pages": "SELECT page_id AS title FROM pages WHERE page_id % 3 <> 0",

@@ -47,12 +47,14 @@ def _named(crops: DataFrame, verdicts: DataFrame, frame: str) -> DataFrame:
 
 
 def classical_identifier(gallery: DataFrame, frame: str = "frame", descriptors: DataFrame | None = None, reference_descriptors: DataFrame | None = None) -> Identifier:
-    """By correlation of hue-saturation histograms with the gallery's pictures (entry, identity, role, w, h, pixels).
+    """By correlation of the hue-saturation histogram of a crop's art band with those of the gallery's pictures (entry, identity, role, w, h, pixels).
+
+    The pictures are whole references, as `pixels.references` loads them. Of equal ones the lower entry is best.
 
     Of two close ones the second is taken if it has more keypoint matches: descriptors (frame, slot,
     hash) against reference_descriptors (entry, hash), if given.
     """
-    entries = pixels.art_histograms(gallery.select("entry", "w", "h", "pixels"), "w", "h", "pixels").select(F.col("entry").cast("string").alias("entry"), "vector")
+    entries = pixels.art_histograms(gallery.select("entry", "w", "h", "pixels"), "w", "h", "pixels", band=False).select("entry", "vector")
     names = gallery.select(F.col("entry").cast("string").alias("best"), "identity", "role")
 
     def named(crops: DataFrame) -> DataFrame:
@@ -93,9 +95,7 @@ def ensemble_identifier(classical: Identifier, embedding: Identifier, frame: str
     def named(crops: DataFrame) -> DataFrame:
         key = F.struct(frame, "slot").alias("key")
         c, e = (f(crops).select(key, "identity", "role", "confidence") for f in (classical, embedding))
-        out = identify.combined(c, e, "key")
-        roles = c.select("key", "identity", "role").unionByName(e.select("key", "identity", "role")).groupBy("key", "identity").agg(F.min("role").alias("role"))
-        out = out.join(roles, ["key", "identity"], "left").select(F.col(f"key.{frame}").alias(frame), F.col("key.slot").alias("slot"), "identity", "role", "confidence")
+        out = identify.combined(c, e, "key").select(F.col(f"key.{frame}").alias(frame), F.col("key.slot").alias("slot"), "identity", "role", "confidence")
         return _named(crops, out, frame)
 
     return named

@@ -190,7 +190,7 @@ def hist_corr_top2(spark: SparkSession, d: str) -> DataFrame:
 
 def ensemble_combine(spark: SparkSession, d: str) -> DataFrame:
     out = identify.combined(*T.verdicts(spark, d), "doc_id")
-    return out.select("doc_id", "identity", F.round("confidence", 4).alias("confidence"), "source")
+    return out.select("doc_id", "identity", "role", F.round("confidence", 4).alias("confidence"), "source")
 
 
 def tint_discount(spark: SparkSession, d: str) -> DataFrame:

@@ -47,9 +47,10 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents and labels as two identifiers' verdicts on an item."""
     doc = F.col("doc_id")
-    classical = table(spark, sf_dir, "documents").select("doc_id", F.when(doc % 7 == 0, "unknown").otherwise(F.col("lang")).alias("identity"), (F.col("n_chars") % 100 / 100.0).alias("confidence"), "source")
+    classical = table(spark, sf_dir, "documents").select("doc_id", F.when(doc % 7 == 0, "unknown").otherwise(F.col("lang")).alias("identity"), (F.col("n_chars") % 100 / 100.0).alias("confidence"), "source", F.when(doc % 2 == 0, "villager").otherwise("minion").alias("role"))
     embedding = table(spark, sf_dir, "labels").select(
-        "doc_id", F.when(F.col("toxic") == 1, "unknown").when((F.col("quality") == 0) | (doc % 5 == 0), "en").otherwise("fr").alias("identity"), (doc % 90 / 100.0).alias("confidence")
+        "doc_id", F.when(F.col("toxic") == 1, "unknown").when((F.col("quality") == 0) | (doc % 5 == 0), "en").otherwise("fr").alias("identity"), (doc % 90 / 100.0).alias("confidence"),
+        F.when(doc % 3 == 0, "demon").when(doc % 3 == 1, "outcast").alias("role"),
     )
     return classical, embedding
 

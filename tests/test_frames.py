@@ -95,14 +95,30 @@ def test_gate(spark):
 
 
 def test_ensemble(spark):
-    c = [(1, "A", 0.60), (2, "B", 0.95), (3, "unknown", 0.0), (4, "A", 0.55), (5, "P", 0.47), (6, "unknown", 0.1)]
-    e = [(1, "A", 0.30), (2, "B", 0.90), (3, "B", 0.22), (4, "unknown", 0.0), (5, "H", 0.20), (7, "Z", 0.3)]
-    out = {r["k"]: (r["identity"], r["confidence"], r["source"]) for r in identify.combined(*[spark.createDataFrame(x, "k int, identity string, confidence double") for x in (c, e)], "k").collect()}
+    c = [(1, "Moss", "villager", 0.40), (2, "Fern", "minion", 0.91), (3, "unknown", "unknown", 0.0), (4, "Moss", "villager", 0.52), (5, "Iris", "minion", 0.43), (6, "unknown", "unknown", 0.1), (8, "Ash", None, 0.5)]
+    e = [(1, "Moss", "demon", 0.35), (2, "Fern", "demon", 0.97), (3, "Fern", "outcast", 0.31), (4, "unknown", "unknown", 0.0), (5, "Ember", "demon", 0.22), (7, "Lark", "villager", 0.4)]
+    kind = "k int, identity string, role string, confidence double"
+    out = {r["k"]: (r["identity"], r["role"], r["confidence"], r["source"]) for r in identify.combined(*[spark.createDataFrame(x, kind) for x in (c, e)], "k").collect()}
     assert out == {
-        1: ("A", 0.75, "agree"), 2: ("B", 1.0, "agree"), 3: ("B", 0.22, "embedding_only"), 4: ("A", 0.55, "classical_only"), 5: ("unknown", 0.0, "disagree_abstain"), 6: ("unknown", 0.0, "both_unknown"), 7: ("Z", 0.3, "embedding_only"),
+        1: ("Moss", "villager", 0.55, "agree"), 2: ("Fern", "minion", 1.0, "agree"), 3: ("Fern", "outcast", 0.31, "embedding_only"), 4: ("Moss", "villager", 0.52, "classical_only"),
+        5: ("unknown", "unknown", 0.0, "disagree_abstain"), 6: ("unknown", "unknown", 0.0, "both_unknown"), 7: ("Lark", "villager", 0.4, "embedding_only"), 8: ("Ash", "unknown", 0.5, "classical_only"),
     }
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_equal_scores_go_to_the_lower_reference(spark, limit):
+    """By number, not by text: 9 comes before 10."""
+    refs = spark.createDataFrame([(k, [1.0, 0.0] if k in (9, 10, 30) else [0.0, 1.0]) for k in (30, 10, 9, 2)], "entry int, v array<double>")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, v array<double>")
+    got = {r.id: (r.best, r.second) for r in vectors.two_best(rows, ["id"], "v", refs, "entry", "v", limit=limit).collect()}
+    assert got == {1: ("9", "10"), 2: ("2", "9")}
+
+
+def test_slugs(spark):
+    slug = lambda t: one(spark, scalar.slugify(F.lit(t)))
+    assert [slug("\tA b\n"), slug("\u2003x y\xa0"), slug("a\tb c"), slug("é.png"), slug("")] == ["A_b", "x_y", "a_b_c", "_.png", ""]
+
+
 @pytest.mark.parametrize(("conf", "tinted", "want"), [(0.80, True, ("A", "demon", 0.56)), (0.55, True, ("unknown", "unknown", 0.385)), (0.9, True, ("A", "demon", 0.63)), (0.2, False, ("A", "demon", 0.2))])
 def test_tint(spark, conf, tinted, want):
     i, r, c = identify.tint_discounted(F.lit("A"), F.lit("demon"), F.lit(conf), F.lit(tinted))

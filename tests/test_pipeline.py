@@ -94,11 +94,24 @@ def test_close_matches_go_by_keypoints(spark, pictures):
     crops = spark.createDataFrame([(1, 0, 20, 20, bytearray(np.full((20, 20, 3), GREEN, np.uint8).tobytes())), (1, 1, 8, 8, bytearray(bytes(192))), (1, 2, 0, 0, None)], "frame int, slot int, crop_w int, crop_h int, crop binary")
     twin = pictures.where("entry = 'g'").unionByName(pictures.where("entry = 'g'").withColumn("entry", F.lit("a")).withColumn("identity", F.lit("Fern")))
     near = spark.createDataFrame([(1, 0, k << 20) for k in range(6)], "frame int, slot int, hash long")
-    far = spark.createDataFrame([("a", k << 20) for k in range(6)] + [("a", -1), ("g", -1), ("g", -2)], "entry string, hash long")
+    far = spark.createDataFrame([("g", k << 20) for k in range(6)] + [("g", -1), ("a", -1), ("a", -2)], "entry string, hash long")
     plain = {r["slot"]: r["identity"] for r in pipeline.classical_identifier(twin)(crops).collect()}
-    assert plain == {0: "Moss", 1: "unknown", 2: "unknown"}
+    assert plain == {0: "Fern", 1: "unknown", 2: "unknown"}
     keyed = {r["slot"]: r["identity"] for r in pipeline.classical_identifier(twin, "frame", near, far)(crops).collect()}
-    assert keyed == {0: "Fern", 1: "unknown", 2: "unknown"}
+    assert keyed == {0: "Moss", 1: "unknown", 2: "unknown"}
+
+
+def test_gallery_pictures_are_measured_whole(spark):
+    """Only the crop is cut to its art band: a reference that is mostly of the crop's colour wins over one that is so in its band."""
+    moss, ember = (0, 200, 0), (0, 0, 200)
+    pictures = []
+    for entry, (inside, outside) in enumerate([(moss, ember), (ember, moss)]):
+        x = np.full((100, 100, 3), outside, np.uint8)
+        x[12:62, 8:92] = inside
+        pictures.append((entry, f"id{entry}", "minion", 100, 100, x.tobytes()))
+    gallery = spark.createDataFrame(pictures, "entry int, identity string, role string, w int, h int, pixels binary")
+    crops = spark.createDataFrame([(1, 0, 50, 50, np.full((50, 50, 3), moss, np.uint8).tobytes())], "frame int, slot int, crop_w int, crop_h int, crop binary")
+    assert pipeline.classical_identifier(gallery)(crops).first().identity == "id1"
 
 
 def test_boxes_and_identities_must_pair(spark):
@@ -119,7 +132,7 @@ def test_two_best_by_broadcast_and_by_blocks(spark, limit, monkeypatch):
     got = {r["id"]: r for r in vectors.two_best(rows, ["id"], "v", names, "name", "v", limit=limit).collect()}
     assert len(got) == 51 and got[99]["top1"] == 0
     for k, v in enumerate(x):
-        want = sorted(((float(v @ r), f"n{j:02}") for j, r in [*enumerate(refs), (99, refs[0])]), key=lambda p: (round(p[0], 12), p[1]), reverse=True)[:2]
+        want = sorted(((float(v @ r), f"n{j:02}") for j, r in [*enumerate(refs), (99, refs[0])]), key=lambda p: (-round(p[0], 12), p[1]))[:2]
         assert (got[k]["best"], got[k]["second"]) == (want[0][1], want[1][1]) and abs(got[k]["top1"] - want[0][0]) < 1e-12
     hashes = spark.createDataFrame([(k, int(h)) for k, h in enumerate(rng.integers(-(1 << 62), 1 << 62, 30))], "id int, h long")
     known = spark.createDataFrame([(k, int(h)) for k, h in enumerate(rng.integers(-(1 << 62), 1 << 62, 9))], "ref int, h long")
