@@ -17,8 +17,8 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache, partial
 from itertools import chain
 from typing import NamedTuple
 
@@ -40,19 +40,28 @@ _SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+#: Chunks of a turn of a worker's memory: each holds more than a chunk of one tokenizer.
+CHUNKS = 1 << 17
+
+
 class Chunk(NamedTuple):
-    """Of one chunk, arrays as bytes of 32-bit integers: ids; tokens of each group; overlapping pairs, by place in the chunk; ids of those that end together."""
+    """Of one chunk, as bytes of 32-bit integers: its numbers of A tokens, B tokens and groups; id pairs that end together, as a * (size of B) + b. `text`: its groups."""
+
+    counts: bytes
+    links: bytes
+    text: str
+
 
+class Whole(NamedTuple):
+    """Of one chunk, as bytes of 32-bit integers: numbers as above; ids; tokens of each group; overlapping pairs, by place in the chunk."""
+
+    counts: bytes
     a: bytes
     b: bytes
     a_sizes: bytes
     b_sizes: bytes
     left: bytes
     right: bytes
-    links: bytes
-    text: str
-    n_a: int
-    n_b: int
 
 
 def coalesced(starts: np.ndarray, ends: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -102,7 +111,8 @@ class Aligner:
         lengths = lambda table: np.array([len(t) for t in table], np.int64)
         self._a_lengths, self._b_lengths = lengths(self.a_bytes), lengths(self.b_bytes)
         self.base = len(self.b_bytes)
-        self._memo = Memo(self._learn)
+        self._a_sizes, self._b_sizes = self._a_lengths.tolist(), self._b_lengths.tolist()
+        self._memo = [Memo(partial(self._learn, whole=w), CHUNKS) for w in (False, True)]
 
     def pair_bound(self) -> int:
         """How many pairs of ids can end together at all: the shorter one's bytes end the longer's."""
@@ -110,19 +120,35 @@ class Aligner:
         suffixes = lambda long, short, k0: sum(n * short[t[k:]] for t, n in long.items() for k in range(k0, len(t)))
         return suffixes(a, b, 0) + suffixes(b, a, 1)
 
-    def _learn(self, chunks: list[str]) -> list[Chunk | None]:
+    def _encoded(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids by A, by B, and whether both have the chunk's bytes."""
         found_a = [e.ids for e in self._a.encode_batch_fast(chunks, add_special_tokens=False)]
         # Each chunk starts with a space, which B adds by itself; it adds none to nothing.
-        found_b = [ids if c != " " else [self._space] for c, ids in zip(chunks, self._b.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
-        join = lambda table, ids: b"".join(map(table.__getitem__, ids))
-        right = [join(self.a_bytes, a) == join(self.b_bytes, b) == c.encode() for c, a, b in zip(chunks, found_a, found_b, strict=True)]
-        known = iter(self._aligned([a for a, ok in zip(found_a, right, strict=True) if ok], [b for b, ok in zip(found_b, right, strict=True) if ok]))
+        found_b = self._b.encode([c[1:] for c in chunks], num_threads=1)
+        if " " in chunks:
+            found_b[chunks.index(" ")] = [self._space]
+        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        data = [c.encode() for c in chunks]
+        ends = lambda lengths: np.cumsum(np.fromiter(lengths, np.int64))
+        each = lambda found, lengths: ends(lengths[i] for ids in found for i in ids)[ends(map(len, found)) - 1]
+        whole = b"".join(data)
+        if all(found_a) and all(found_b) and whole == b"".join(map(a_of, chain.from_iterable(found_a))) == b"".join(map(b_of, chain.from_iterable(found_b))):
+            cuts = ends(map(len, data))
+            if (each(found_a, self._a_sizes) == cuts).all() and (each(found_b, self._b_sizes) == cuts).all():
+                return found_a, found_b, [True] * len(chunks)
+        return found_a, found_b, [b"".join(map(a_of, a)) == b"".join(map(b_of, b)) == d for a, b, d in zip(found_a, found_b, data, strict=True)]
+
+    def _learn(self, chunks: list[str], whole: bool) -> list[Chunk | Whole | None]:
+        found_a, found_b, right = self._encoded(chunks)
+        if all(right):
+            return self._aligned(found_a, found_b, whole)
+        known = iter(self._aligned([a for a, ok in zip(found_a, right, strict=True) if ok], [b for b, ok in zip(found_b, right, strict=True) if ok], whole))
         return [next(known) if ok else None for ok in right]
 
-    def _aligned(self, each_a: list[list[int]], each_b: list[list[int]]) -> list[Chunk]:
+    def _aligned(self, each_a: list[list[int]], each_b: list[list[int]], whole: bool) -> list[Chunk | Whole]:
         """Chunks laid end to end on one line of bytes: no group crosses their ends."""
         flat = lambda each: np.fromiter(chain.from_iterable(each), np.int64)
-        sizes = lambda each: np.array([len(x) for x in each], np.int64)
+        sizes = lambda each: np.fromiter(map(len, each), np.int64)
         a, b, n_a, n_b = flat(each_a), flat(each_b), sizes(each_a), sizes(each_b)
         if not len(a):
             return []
@@ -133,14 +159,14 @@ class Aligner:
         n_groups = np.diff(np.append(groups[: len(a)][np.cumsum(n_a) - n_a], len(a_sizes)))
         left, right = overlaps(a_starts, a_ends, b_starts, b_ends)
         chunk_of = np.repeat(np.arange(len(n_a)), n_a)[left]
-        n_pairs = np.bincount(chunk_of, minlength=len(n_a))
+        counts = _cut(np.stack((n_a, n_b, n_groups), axis=1).ravel(), np.full(len(n_a), 3))
+        if whole:
+            n_pairs = np.bincount(chunk_of, minlength=len(n_a))
+            lefts, rights = _cut(left - (np.cumsum(n_a) - n_a)[chunk_of], n_pairs), _cut(right - (np.cumsum(n_b) - n_b)[chunk_of], n_pairs)
+            return list(map(Whole, counts, _cut(a, n_a), _cut(b, n_b), _cut(a_sizes, n_groups), _cut(b_sizes, n_groups), lefts, rights))
         meet = a_ends[left] == b_ends[right]
-        links = a[left[meet]] * self.base + b[right[meet]]
-        n_links = np.bincount(chunk_of[meet], minlength=len(n_a))
-        texts = self._texts(a, b, a_sizes, b_sizes, n_groups)
-        lefts, rights = _cut(left - (np.cumsum(n_a) - n_a)[chunk_of], n_pairs), _cut(right - (np.cumsum(n_b) - n_b)[chunk_of], n_pairs)
-        parts = zip(_cut(a, n_a), _cut(b, n_b), _cut(a_sizes, n_groups), _cut(b_sizes, n_groups), lefts, rights, _cut(links, n_links), texts, n_a.tolist(), n_b.tolist(), strict=True)
-        return [Chunk(*p) for p in parts]
+        links = _cut(a[left[meet]] * self.base + b[right[meet]], np.bincount(chunk_of[meet], minlength=len(n_a)))
+        return list(map(Chunk, counts, links, self._texts(a, b, a_sizes, b_sizes, n_groups)))
 
     @staticmethod
     def _texts(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, n_groups: np.ndarray) -> list[str]:
@@ -154,15 +180,15 @@ class Aligner:
         ends = np.cumsum(n_groups).tolist()
         return [";".join(out[e - n : e]) for e, n in zip(ends, n_groups.tolist(), strict=True)]
 
-    def align(self, texts: list[str]) -> list[list[Chunk] | None]:
-        """The chunks of each text; None if it has no tokens."""
-        cut = [([" " + t] if self._whole else chunks_of(" " + t)) if t else [] for t in texts]
-        known = self._memo.of(cut)
-        out = []
-        for chunks in cut:
-            found = [known[c] for c in chunks]
-            out.append(found if found and None not in found else None)
-        return out
+    def align(self, texts: list[str], whole: bool = False) -> list[list[Chunk] | list[Whole]]:
+        """The chunks of each text; none if it has no tokens. `whole`: with ids, sizes and overlaps instead of links and text."""
+        cut = []
+        for t in texts:
+            chunks = [t] if t and self._whole else chunks_of(t) if t else []
+            cut.append([" " + chunks[0], *chunks[1:]] if chunks else [])
+        known = self._memo[whole].of(cut).__getitem__
+        found = [list(map(known, chunks)) for chunks in cut]
+        return [[] if None in chunks else chunks for chunks in found]
 
 
 @lru_cache(maxsize=4)
@@ -171,7 +197,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def _mapped(docs: DataFrame, kinds: str, row: Callable[[list[Chunk]], tuple], a_path: str, b_path: str) -> DataFrame:
+def _mapped(docs: DataFrame, kinds: str, row: Callable[[list], tuple], whole: bool, a_path: str, b_path: str) -> DataFrame:
     """(doc_id, ...) of `row(chunks)` for each text."""
     names = [c.split()[0] for c in kinds.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[c.split()[1]] for c in kinds.split(", ")]
@@ -180,21 +206,20 @@ def _mapped(docs: DataFrame, kinds: str, row: Callable[[list[Chunk]], tuple], a_
         own = aligner(a_path, b_path)
         for batch in batches:
             for first, texts in slices_of(batch.column("data")):
-                columns = zip(*[row(chunks or []) for chunks in own.align(texts)], strict=True)
+                columns = zip(*map(row, own.align(texts, whole)), strict=True)
                 arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), *arrays], names=["doc_id", *names])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("data")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {kinds}")
 
 
-def _joined(parts: list[bytes]) -> np.ndarray:
+def _joined(parts: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.int32)
 
 
-def _shifted(parts: list[bytes], counts: list[int]) -> np.ndarray:
+def _shifted(parts: Sequence[bytes], counts: np.ndarray) -> np.ndarray:
     """Places within chunks as places within the text."""
-    before = np.cumsum(counts) - counts if counts else np.zeros(0, np.int64)
-    return (_joined(parts) + np.repeat(before, [len(p) // 4 for p in parts])).astype(np.int32)
+    return (_joined(parts) + np.repeat(np.cumsum(counts) - counts, [len(p) // 4 for p in parts])).astype(np.int32)
 
 
 def alignments(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> DataFrame:
@@ -210,22 +235,23 @@ def alignments(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> D
     are not looked at.
     """
 
-    def row(chunks: list[Chunk]) -> tuple:
-        n_a, n_b = [c.n_a for c in chunks], [c.n_b for c in chunks]
-        sides = [_joined([c[k] for c in chunks]) for k in range(4)]
-        return *sides, _shifted([c.left for c in chunks], n_a), _shifted([c.right for c in chunks], n_b)
+    def row(chunks: list[Whole]) -> tuple:
+        fields = list(zip(*chunks, strict=True)) or [()] * 7
+        counts = _joined(fields[0]).reshape(-1, 3)
+        return *map(_joined, fields[1:5]), _shifted(fields[5], counts[:, 0]), _shifted(fields[6], counts[:, 1])
 
-    return _mapped(docs, ", ".join(f"{c} array<int>" for c in ("a_ids", "b_ids", "a_sizes", "b_sizes", "a_at", "b_at")), row, a_path, b_path)
+    return _mapped(docs, ", ".join(f"{c} array<int>" for c in ("a_ids", "b_ids", "a_sizes", "b_sizes", "a_at", "b_at")), row, True, a_path, b_path)
 
 
 def _linked(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups_sha256, links): `links` are id pairs that end together, as a * (size of B) + b."""
 
     def row(chunks: list[Chunk]) -> tuple:
-        digest = hashlib.sha256(";".join([c.text for c in chunks]).encode()).hexdigest() if chunks else ""
-        return sum(c.n_a for c in chunks), sum(c.n_b for c in chunks), sum(len(c.a_sizes) for c in chunks) // 4, digest, _joined([c.links for c in chunks])
+        counts, links, texts = zip(*chunks, strict=True) if chunks else ((), (), ())
+        digest = hashlib.sha256(";".join(texts).encode()).hexdigest() if chunks else ""
+        return *_joined(counts).reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist(), digest, _joined(links)
 
-    return _mapped(docs, "n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>", row, a_path, b_path)
+    return _mapped(docs, "n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>", row, False, a_path, b_path)
 
 
 def digests(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> DataFrame:

@@ -46,8 +46,8 @@ def slices_of(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 class Memo:
     """What `learn` finds for chunks; each is asked once while it is remembered. What was not asked for since the last turnover is forgotten."""
 
-    def __init__(self, learn: Callable[[list[str]], Iterable[object]]) -> None:
-        self._learn, self._known, self._older = learn, {}, {}
+    def __init__(self, learn: Callable[[list[str]], Iterable[object]], size: int | None = None) -> None:
+        self._learn, self._size, self._known, self._older = learn, size, {}, {}
 
     def of(self, texts: Iterable[list[str]]) -> dict[str, object]:
         """A dictionary that holds every chunk of `texts`."""
@@ -57,6 +57,6 @@ class Memo:
         known.update((c, self._older[c]) for c in again)
         new = list(new - again)
         known.update(zip(new, self._learn(new) if new else (), strict=True))
-        if len(known) > MEMO:
+        if len(known) > (self._size or MEMO):
             self._known, self._older = {}, {c: v for c, v in known.items() if len(c) <= MEMO_CHARS}
         return known
