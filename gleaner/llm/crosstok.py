@@ -41,7 +41,9 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 #: Chunks of a turn of a worker's memory: each holds more than a chunk of one tokenizer.
-CHUNKS = 1 << 17
+CHUNKS = 3 << 16
+#: Rows of links that are summed together.
+ROWS = 256
 
 
 class Chunk(NamedTuple):
@@ -111,7 +113,8 @@ class Aligner:
         lengths = lambda table: np.array([len(t) for t in table], np.int64)
         self._a_lengths, self._b_lengths = lengths(self.a_bytes), lengths(self.b_bytes)
         self.base = len(self.b_bytes)
-        self._a_sizes, self._b_sizes = self._a_lengths.tolist(), self._b_lengths.tolist()
+        #: Each id with what may follow it: within a side, after A's side, after a group, after a chunk.
+        self._decimal = [f"{i}{end}" for i in range(max(len(self.a_bytes), self.base)) for end in ",|;\n"]
         self._memo = [Memo(partial(self._learn, whole=w), CHUNKS) for w in (False, True)]
 
     def pair_bound(self) -> int:
@@ -120,39 +123,34 @@ class Aligner:
         suffixes = lambda long, short, k0: sum(n * short[t[k:]] for t, n in long.items() for k in range(k0, len(t)))
         return suffixes(a, b, 0) + suffixes(b, a, 1)
 
-    def _encoded(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids by A, by B, and whether both have the chunk's bytes."""
+    def _learn(self, chunks: list[str], whole: bool) -> list[Chunk | Whole | None]:
         found_a = [e.ids for e in self._a.encode_batch_fast(chunks, add_special_tokens=False)]
         # Each chunk starts with a space, which B adds by itself; it adds none to nothing.
         found_b = self._b.encode([c[1:] for c in chunks], num_threads=1)
         if " " in chunks:
             found_b[chunks.index(" ")] = [self._space]
-        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         data = [c.encode() for c in chunks]
-        ends = lambda lengths: np.cumsum(np.fromiter(lengths, np.int64))
-        each = lambda found, lengths: ends(lengths[i] for ids in found for i in ids)[ends(map(len, found)) - 1]
-        whole = b"".join(data)
-        if all(found_a) and all(found_b) and whole == b"".join(map(a_of, chain.from_iterable(found_a))) == b"".join(map(b_of, chain.from_iterable(found_b))):
-            cuts = ends(map(len, data))
-            if (each(found_a, self._a_sizes) == cuts).all() and (each(found_b, self._b_sizes) == cuts).all():
-                return found_a, found_b, [True] * len(chunks)
-        return found_a, found_b, [b"".join(map(a_of, a)) == b"".join(map(b_of, b)) == d for a, b, d in zip(found_a, found_b, data, strict=True)]
-
-    def _learn(self, chunks: list[str], whole: bool) -> list[Chunk | Whole | None]:
-        found_a, found_b, right = self._encoded(chunks)
-        if all(right):
-            return self._aligned(found_a, found_b, whole)
-        known = iter(self._aligned([a for a, ok in zip(found_a, right, strict=True) if ok], [b for b, ok in zip(found_b, right, strict=True) if ok], whole))
+        if (found := self._aligned(found_a, found_b, data, whole)) is not None:
+            return found
+        bytes_of = lambda table, ids: b"".join(map(table.__getitem__, ids))
+        right = [bytes_of(self.a_bytes, a) == bytes_of(self.b_bytes, b) == d for a, b, d in zip(found_a, found_b, data, strict=True)]
+        kept = lambda each: [x for x, ok in zip(each, right, strict=True) if ok]
+        known = iter(self._aligned(kept(found_a), kept(found_b), kept(data), whole))
         return [next(known) if ok else None for ok in right]
 
-    def _aligned(self, each_a: list[list[int]], each_b: list[list[int]], whole: bool) -> list[Chunk | Whole]:
-        """Chunks laid end to end on one line of bytes: no group crosses their ends."""
-        flat = lambda each: np.fromiter(chain.from_iterable(each), np.int64)
-        sizes = lambda each: np.fromiter(map(len, each), np.int64)
-        a, b, n_a, n_b = flat(each_a), flat(each_b), sizes(each_a), sizes(each_b)
-        if not len(a):
+    def _aligned(self, each_a: list[list[int]], each_b: list[list[int]], data: list[bytes], whole: bool) -> list[Chunk | Whole] | None:
+        """Chunks laid end to end on one line of bytes: no group crosses their ends. None if the tokens of one have other bytes than `data`."""
+        if not data:
             return []
-        a_ends, b_ends = np.cumsum(self._a_lengths[a]), np.cumsum(self._b_lengths[b])
+        flat = lambda each: list(chain.from_iterable(each))
+        sizes = lambda each: np.fromiter(map(len, each), np.int64, len(each))
+        a_list, b_list, n_a, n_b, n_bytes = flat(each_a), flat(each_b), sizes(each_a), sizes(each_b), sizes(data)
+        a, b = np.array(a_list, np.int64), np.array(b_list, np.int64)
+        if not n_a.all() or not n_b.all() or not b"".join(data) == b"".join(map(self.a_bytes.__getitem__, a_list)) == b"".join(map(self.b_bytes.__getitem__, b_list)):
+            return None
+        a_ends, b_ends, cuts = np.cumsum(self._a_lengths[a]), np.cumsum(self._b_lengths[b]), np.cumsum(n_bytes)
+        if (a_ends[np.cumsum(n_a) - 1] != cuts).any() or (b_ends[np.cumsum(n_b) - 1] != cuts).any():
+            return None
         a_starts, b_starts = a_ends - self._a_lengths[a], b_ends - self._b_lengths[b]
         groups = coalesced(np.concatenate((a_starts, b_starts)), np.concatenate((a_ends, b_ends)), np.repeat([0, 1], [len(a), len(b)]))
         a_sizes, b_sizes = np.bincount(groups[: len(a)]), np.bincount(groups[len(a) :])
@@ -168,17 +166,17 @@ class Aligner:
         links = _cut(a[left[meet]] * self.base + b[right[meet]], np.bincount(chunk_of[meet], minlength=len(n_a)))
         return list(map(Chunk, counts, links, self._texts(a, b, a_sizes, b_sizes, n_groups)))
 
-    @staticmethod
-    def _texts(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, n_groups: np.ndarray) -> list[str]:
-        """`a1,a2|b1;a3|b2,b3` of each chunk."""
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        i = j = 0
-        out = []
-        for x, y in zip(a_sizes.tolist(), b_sizes.tolist(), strict=True):
-            out.append(f"{a_text[i] if x == 1 else ','.join(a_text[i : i + x])}|{b_text[j] if y == 1 else ','.join(b_text[j : j + y])}")
-            i, j = i + x, j + y
-        ends = np.cumsum(n_groups).tolist()
-        return [";".join(out[e - n : e]) for e, n in zip(ends, n_groups.tolist(), strict=True)]
+    def _texts(self, a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, n_groups: np.ndarray) -> list[str]:
+        """`a1,a2|b1;a3|b2,b3` of each chunk: ids with what follows them, in their places, joined once for all chunks."""
+        a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+        words = np.empty(len(a) + len(b), np.int64)
+        places_a = np.arange(len(a)) + np.repeat(b_ends - b_sizes, a_sizes)
+        places_b = np.arange(len(b)) + np.repeat(a_ends, b_sizes)
+        words[places_a], words[places_b] = 4 * a, 4 * b
+        words[places_a[a_ends - 1]] += 1
+        words[places_b[b_ends - 1]] += 2
+        words[places_b[b_ends[np.cumsum(n_groups) - 1] - 1]] += 1
+        return "".join(map(self._decimal.__getitem__, words.tolist())).split("\n")[:-1]
 
     def align(self, texts: list[str], whole: bool = False) -> list[list[Chunk] | list[Whole]]:
         """The chunks of each text; none if it has no tokens. `whole`: with ids, sizes and overlaps instead of links and text."""
@@ -278,9 +276,9 @@ def digests(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, best = table.value
-        for batch in batches:
+        for batch in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             links = batch.column("links")
-            sizes = np.diff(links.offsets.to_numpy())
+            sizes = links.value_lengths().to_numpy()
             at = np.searchsorted(known, links.flatten().to_numpy(zero_copy_only=False))
             row_of = np.repeat(np.arange(len(sizes)), sizes)
             sums = np.zeros(len(sizes), np.int64)
