@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-9
+#: Ticks of one array.
+RUN = 1 << 15
 
 
 def seconds_of(ts: Column) -> Column:
@@ -34,8 +36,15 @@ def tick_runs(captures: DataFrame, session: str, order: str, seconds: str, fps:
 
 def resampled(captures: DataFrame, session: str, order: str, seconds: str, fps: float) -> DataFrame:
     """(session, tick, t_ideal, order, dup): one row a tick; `dup` if the same capture was shown by the tick before."""
-    runs = tick_runs(captures, session, order, seconds, fps).where("first_tick <= last_tick")
-    return runs.select(session, order, "_epoch", "first_tick", F.explode(F.sequence("first_tick", "last_tick")).alias("tick")).select(
+    return ticks_of(tick_runs(captures, session, order, seconds, fps), session, order, fps)
+
+
+def ticks_of(runs: DataFrame, session: str, order: str, fps: float) -> DataFrame:
+    """Runs (session, order, _epoch, first_tick, last_tick) as rows, one a tick. A run is dealt in pieces of RUN ticks: a gap of a year is no long array."""
+    pieces = F.sequence(F.floor(F.col("first_tick") / RUN), F.floor(F.col("last_tick") / RUN))
+    cut = runs.where("first_tick <= last_tick").select(session, order, "_epoch", "first_tick", "last_tick", F.explode(pieces).alias("_piece"))
+    inside = F.sequence(F.greatest("first_tick", F.col("_piece") * RUN), F.least("last_tick", F.col("_piece") * RUN + RUN - 1))
+    return cut.select(session, order, "_epoch", "first_tick", F.explode(inside).alias("tick")).select(
         session, "tick", (F.col("_epoch") + F.col("tick") / fps).alias("t_ideal"), order, (F.col("tick") > F.col("first_tick")).alias("dup")
     )
 

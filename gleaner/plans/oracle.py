@@ -70,6 +70,27 @@ snap AS (SELECT f.frame, state, CASE WHEN state = 'board' THEN coalesce(n, 0) EL
 
 _BLOBS = "blobs AS (SELECT s_suppkey AS frame, 48 + s_suppkey % 7 * 4 AS x, 36 + s_suppkey % 5 * 2 AS y, 18 + s_suppkey % 4 AS w, 24 + s_suppkey % 3 * 2 AS h FROM supplier)"
 
+#: Weights at each read by a self-join, then the latch read by read.
+_FUSION = """
+e AS (SELECT user_id, event_id AS frame, epoch_us(ts) / 1e6 AS seconds, CASE event_type WHEN 'error' THEN 'modal' WHEN 'signup' THEN 'menu' ELSE 'board' END AS state, (props ->> '$.k')::INT AS k FROM events),
+g AS (SELECT *, floor(seconds / 864000.0)::BIGINT AS "window" FROM e),
+spans AS (SELECT user_id, "window", count(*) FILTER (state = 'board') AS fused_from, min(frame) AS first_frame, max(frame) AS last_frame FROM g GROUP BY ALL),
+r AS (SELECT user_id, "window", k % 3 AS slot, frame, seconds, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN NULL ELSE 'id' || (user_id + k % 3 + (k % 5 = 0)::INT) % 7 END AS id, (frame * 37 % 100) / 100.0::DOUBLE AS m,
+        row_number() OVER (PARTITION BY user_id, "window", k % 3 ORDER BY seconds, frame) AS i FROM g WHERE state = 'board'),
+wt AS (SELECT a.user_id, a."window", a.slot, a.i, b.id, sum(b.m * exp(-1e-6 * (a.seconds - b.seconds))) AS w FROM r a JOIN r b ON a.user_id = b.user_id AND a."window" = b."window" AND a.slot = b.slot AND b.i <= a.i WHERE b.id IS NOT NULL AND b.m > 0 GROUP BY ALL),
+tops AS (SELECT user_id, "window", slot, i, id AS top, w AS top_w FROM wt QUALIFY row_number() OVER (PARTITION BY user_id, "window", slot, i ORDER BY w DESC, id) = 1),
+x AS (SELECT r.*, top, top_w, r.id IS NOT NULL AND r.m >= 0.3 AS sure FROM r LEFT JOIN tops USING (user_id, "window", slot, i)),
+latch AS (SELECT user_id, "window", slot, i, CASE WHEN top_w >= 0.9 THEN top END AS held, NULL::VARCHAR AS contrary, 0 AS run FROM x WHERE i = 1
+  UNION ALL SELECT x.user_id, x."window", x.slot, x.i,
+    CASE WHEN held IS NULL THEN CASE WHEN top_w >= 0.9 THEN top END WHEN sure AND id <> held AND id = contrary AND run + 1 >= 2 THEN id ELSE held END,
+    CASE WHEN held IS NULL OR NOT sure THEN contrary WHEN id = held OR (id = contrary AND run + 1 >= 2) THEN NULL ELSE id END,
+    CASE WHEN held IS NULL OR NOT sure THEN run WHEN id = held OR (id = contrary AND run + 1 >= 2) THEN 0 WHEN id = contrary THEN run + 1 ELSE 1 END
+  FROM latch l JOIN x ON x.user_id = l.user_id AND x."window" = l."window" AND x.slot = l.slot AND x.i = l.i + 1),
+ends AS (SELECT x.*, held FROM x JOIN latch USING (user_id, "window", slot, i) QUALIFY row_number() OVER (PARTITION BY user_id, "window", slot ORDER BY i DESC) = 1),
+cards AS (SELECT n.user_id, n."window", n.slot, coalesce(n.held, n.top, 'unknown') AS identity, n.held IS NOT NULL AS revealed, n.frame AS last_seen_frame,
+  coalesce(max(wt.w) FILTER (wt.id = coalesce(n.held, n.top)), 0) AS own, coalesce(max(wt.w) FILTER (wt.id <> coalesce(n.held, n.top)), 0) AS other
+  FROM ends n LEFT JOIN wt USING (user_id, "window", slot, i) GROUP BY ALL)"""
+
 ORACLES = {
     "proto_mean": f"WITH {_PROTO} SELECT label, dim::INT AS dim, round(p, 6) AS x FROM proto",
     "margin_nn": f"WITH {_NAMED} SELECT vec_id, identity, confidence FROM found",
@@ -109,6 +130,8 @@ ORACLES = {
     "temporal_fusion": f"""WITH {_CAPTURES}, m AS (SELECT *, max(seconds) OVER (PARTITION BY user_id) AS now FROM captures), g AS (SELECT user_id, event_type, sum(value * exp(-1e-6 * (now - seconds))) AS weight FROM m GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, event_type DESC) AS k FROM g)
       SELECT user_id, max(event_type) FILTER (WHERE k = 1) AS event_type, round(max(weight) FILTER (WHERE k = 1), 4) AS weight, round(max(weight) FILTER (WHERE k = 1) - coalesce(max(weight) FILTER (WHERE k = 2), 0), 4) AS lead FROM r GROUP BY user_id""",
+    "fused_windows": f"""WITH RECURSIVE {_FUSION} SELECT c.user_id, c."window", c.slot, c.identity, round(greatest(c.own - c.other, 0), 4) AS confidence, round(c.own, 4) AS support, c.revealed, c.last_seen_frame,
+      (SELECT count(*) FROM g WHERE g.user_id = c.user_id AND g."window" = c."window" AND g.frame > c.last_seen_frame) AS staleness_frames, fused_from, first_frame, last_frame FROM cards c JOIN spans USING (user_id, "window")""",
     "box_area_aspect": f"""WITH {_BOXES}, p AS (SELECT frame, w * 1280 AS pw, h * 720 AS ph FROM boxes) SELECT frame, count(*) AS n FROM p
       WHERE pw * ph BETWEEN 0.0015::DOUBLE * 1280 * 720 AND 0.09::DOUBLE * 1280 * 720 AND coalesce(pw / nullif(ph, 0), 0) BETWEEN 0.38::DOUBLE AND 1.4::DOUBLE GROUP BY frame""",
     "hud_antijoin": f"WITH {_BOXES} SELECT frame, count(*) AS n, min(box_id) AS first_box FROM boxes WHERE NOT ({_COVERED}) GROUP BY frame",

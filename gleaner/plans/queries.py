@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import scalar
-from gleaner.operators import boxes, catalog, frames, identify, resample, vectors
+from gleaner.operators import boxes, catalog, frames, fusion, identify, resample, vectors
 from gleaner.plans import pipeline
 from gleaner.sources import tables as T
 
@@ -133,6 +133,15 @@ def temporal_fusion(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "event_type", F.round("weight", 4).alias("weight"), F.round("lead", 4).alias("lead"))
 
 
+#: Windows of ten days; votes fade to a half in about eight.
+FUSION_WINDOW, FUSION_RULES = 864000.0, fusion.Rules(decay=1e-6, support=0.9, confident=0.3, flips=2)
+
+
+def fused_windows(spark: SparkSession, d: str) -> DataFrame:
+    out = fusion.fused(*T.board_reads(spark, d), "user_id", FUSION_WINDOW, FUSION_RULES)
+    return out.select("user_id", "window", "slot", "identity", *[F.round(c, 4).alias(c) for c in ("confidence", "support")], "revealed", "last_seen_frame", "staleness_frames", "fused_from", "first_frame", "last_frame")
+
+
 def box_area_aspect(spark: SparkSession, d: str) -> DataFrame:
     return boxes.shaped(T.boxes(spark, d), F.lit(T.FRAME_W), F.lit(T.FRAME_H)).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
 
@@ -322,7 +331,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         proto_mean, margin_nn, margin_abstain_stats, interproto_stats, top1_accuracy, parity_max_abs_diff, dhash_grid, hamming_neighbours, dedup_last_kept, select_board_frames, orb_ratio_count, stride_sample, media_fps,
-        asof_resample, cfr_dup_flags, cfr_dropped, session_counters, thin_max_fps, segment_islands, capture_fps, wall_align, json_readings, temporal_fusion, box_area_aspect, hud_antijoin, iou_nms, iou_semijoin, crop_pixels,
+        asof_resample, cfr_dup_flags, cfr_dropped, session_counters, thin_max_fps, segment_islands, capture_fps, wall_align, json_readings, temporal_fusion, fused_windows, box_area_aspect, hud_antijoin, iou_nms, iou_semijoin, crop_pixels,
         overlay_pixels, gate_case, red_shift, hs_histogram, hist_corr_top2, ensemble_combine, tint_discount, mining_rollup, head_to_head, gallery_counts, alias_resolve, slugify_urls, art_filter, uncached_pages, title_batches,
         manifest_summary, filename_parse, snapshot_nest, summary_lines, crop_names, iso_time, zip_identities, frame_limit, skipped_union, stem_lookup, localize_blobs, pipeline_records,
     )

@@ -23,6 +23,17 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", seconds_of(F.col("ts")).alias("seconds"))
 
 
+def board_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as frames of a user's game, errors as modals and sign-ups as menus; and the reads of one of three slots a frame: now and then another identity, now and then none."""
+    k = F.from_json("props", "k int")["k"]
+    state = F.when(F.col("event_type") == "error", "modal").when(F.col("event_type") == "signup", "menu").otherwise("board")
+    events = captures(spark, sf_dir).select("user_id", F.col("event_id").alias("frame"), "seconds", state.alias("state"), k.alias("k"))
+    slot = F.col("k") % 3
+    identity = F.when(F.col("k") % 11 == 0, "unknown").when(F.col("k") % 13 == 0, "face_down").otherwise(F.concat(F.lit("id"), ((F.col("user_id") + slot + (F.col("k") % 5 == 0).cast("int")) % 7).cast("string")))
+    reads = events.select("user_id", "frame", slot.alias("slot"), identity.alias("identity"), (F.col("frame") * 37 % 100 / 100.0).alias("margin"))
+    return events.drop("k"), reads
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as 8 x 8 thumbnails with a 56-bit gradient hash: the label is the video."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", vector_hash(F.col("embedding")).alias("dhash"))

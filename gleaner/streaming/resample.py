@@ -1,43 +1,43 @@
-"""Captures on a fixed-rate clock, as a stream: a tick is out once the capture after it has come."""
+"""Captures on a fixed-rate clock, as a stream: a tick is out once the capture after it has come, the last ones when the session ends."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gleaner.operators.resample import EPS
+from gleaner.operators.resample import EPS, ticks_of
+from gleaner.streaming.ordered import IDLE, LATE, folded
 
-_CHUNK = 10_000
 
+class _Runs:
+    """State: the session's first time, the latest capture's time and name."""
 
-def resampled_stream(captures: DataFrame, session: str, order: str, seconds: str, fps: float) -> DataFrame:
-    """(session, tick, t_ideal, order, dup) as `resample.resampled` gives, but for the ticks of a session's latest capture, which still waits for the next.
+    def __init__(self, fps: float) -> None:
+        self._fps = fps
 
-    State is a session's first time and its latest capture. A capture of a later batch that is not
-    after the latest one comes too late and is left out.
+    def step(self, state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        seconds, name = row
+        if state is None:
+            return (seconds, seconds, name), []
+        epoch, last, shown = state
+        first, end = math.ceil((last - epoch) * self._fps - EPS), math.ceil((seconds - epoch) * self._fps - EPS)
+        return (epoch, seconds, name), [(epoch, first, end - 1, shown)] if first < end else []
+
+    def end(self, state: tuple | None) -> list[tuple]:
+        if state is None:
+            return []
+        epoch, last, shown = state
+        first, final = math.ceil((last - epoch) * self._fps - EPS), math.floor((last - epoch) * self._fps + EPS)
+        return [(epoch, first, final, shown)] if first <= final else []
+
+
+def resampled_stream(captures: DataFrame, session: str, order: str, seconds: str, fps: float, late: float = LATE, idle: float = IDLE) -> DataFrame:
+    """(session, tick, t_ideal, order, dup) as `resample.resampled` gives, the last capture's ticks with it.
+
+    A session ends when the watermark (`late` seconds behind the newest capture of all) is `idle`
+    seconds past its newest capture; nothing is held of it then. Captures later than `late` are
+    dropped, and counted in the query's progress.
     """
-    kinds = dict(captures.dtypes)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        epoch, last, name = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values([seconds, order], kind="stable")
-        for t, i in zip(rows[seconds].tolist(), rows[order].tolist(), strict=True):
-            if epoch is None:
-                epoch, last, name = t, t, i
-                continue
-            if (t, i) <= (last, name):
-                continue
-            first, end = math.ceil((last - epoch) * fps - EPS), math.ceil((t - epoch) * fps - EPS)
-            for at in range(first, end, _CHUNK):
-                ticks = pd.Series(range(at, min(at + _CHUNK, end)))
-                yield pd.DataFrame({session: key[0], "tick": ticks, "t_ideal": epoch + ticks / fps, order: name, "dup": ticks > first})
-            last, name = t, i
-        state.update((epoch, last, name))
-
-    slim = captures.select(session, order, seconds)
-    schema = f"`{session}` {kinds[session]}, tick long, t_ideal double, `{order}` {kinds[order]}, dup boolean"
-    return slim.groupBy(session).applyInPandasWithState(step, schema, f"epoch double, last double, name {kinds[order]}", "append", GroupStateTimeout.NoTimeout)
+    runs = folded(captures, [session], [seconds, order], _Runs(fps), f"_epoch double, first_tick long, last_tick long, `{order}` {dict(captures.dtypes)[order]}", late, idle)
+    return ticks_of(runs, session, order, fps)

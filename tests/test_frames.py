@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from gleaner.functions import scalar
 from gleaner.operators import boxes, catalog, frames, identify, pixels, resample, vectors
 from gleaner.plans import pipeline
-from gleaner.streaming import select
 
 
 def one(spark, column):
@@ -54,19 +53,6 @@ def test_menu_frames_anchor(spark):
     assert sorted(r["i"] for r in out) == [0, 3]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = np.random.default_rng(5)
-    rows = [(int(k % 3), k, int(rng.integers(0, 1 << 16)), "board" if k % 4 else "menu") for k in range(200)]
-    schema = "video int, i int, dhash long, state string"
-    df = spark.createDataFrame(rows, schema)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = select.select_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "video", ["i"], 4)
-    q = stream.writeStream.format("memory").queryName("kept_frames").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r["video"], r["i"]) for r in spark.sql("SELECT * FROM kept_frames").collect()}
-    assert got == {(r["video"], r["i"]) for r in frames.select_frames(df, "video", ["i"], 4).collect()}
-
-
 @pytest.mark.parametrize(("box", "keep"), [
     ((0.05, 0.05, 0.10, 0.10), False), ((0.90, 0.10, 0.08, 0.12), False), ((0.16, 0.58, 0.05, 0.12), False), ((0.79, 0.20, 0.05, 0.15), False), ((0.845, 0.05, 0.05, 0.10), False),
     ((0.30, 0.30, 0.12, 0.16), True), ((0.65, 0.25, 0.12, 0.16), True), ((0.46, 0.06, 0.12, 0.20), True), ((0.46, 0.25, 0.10, 0.15), True),

@@ -1,7 +1,6 @@
-"""The composed frame pipeline, its parts, sources and sinks, and streams in several batches."""
+"""The composed frame pipeline, its parts, sources and sinks."""
 
 import json
-import math
 import struct
 import warnings
 import zlib
@@ -14,8 +13,6 @@ from gleaner.functions import scalar
 from gleaner.operators import catalog, frames, pixels, resample, vectors
 from gleaner.plans import config, pipeline
 from gleaner.sources import images
-from gleaner.streaming import resample as streamed
-from gleaner.streaming import select
 
 GREEN, PURPLE, RED = (0, 200, 0), (200, 0, 100), (0, 0, 200)
 
@@ -238,30 +235,3 @@ def test_model_input():
 
 def test_reference_of_one_row():
     assert pixels.reference_image(bytes([7, 9]), 2, 1, 1).tolist() == [[[7, 7, 7], [9, 9, 9]]]
-
-
-def run_stream(spark, stream, name, tmp_path):
-    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    return spark.sql(f"SELECT * FROM {name}").collect()
-
-
-def test_streams_in_several_batches(spark, tmp_path):
-    rng = np.random.default_rng(5)
-    rows, t = [], 0.0
-    for k in range(300):
-        t += float(rng.choice([0.01, 0.1, 0.9]))
-        rows.append((int(k % 3), k, t, int(rng.integers(0, 1 << 16)), "board" if k % 4 else "menu"))
-    schema = "video int, i int, t double, dhash long, state string"
-    for part in range(5):
-        spark.createDataFrame(rows[part * 60 : part * 60 + 60], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    df = spark.createDataFrame(rows, schema)
-    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r["video"], r["i"]) for r in run_stream(spark, select.select_stream(source(), "video", ["i"], 4), "kept_in_batches", tmp_path)}
-    assert got == {(r["video"], r["i"]) for r in frames.select_frames(df, "video", ["i"], 4).collect()}
-    ticks = run_stream(spark, streamed.resampled_stream(source(), "video", "i", "t", 4.0), "ticks_in_batches", tmp_path)
-    last = {r["video"]: r["i"] for r in df.groupBy("video").agg(F.max("i").alias("i")).collect()}
-    key = lambda r: (r["video"], r["tick"], r["i"], r["dup"], round(r["t_ideal"], 9))
-    want = [key(r) for r in resample.resampled(df, "video", "i", "t", 4.0).collect() if r["i"] != last[r["video"]]]
-    assert sorted(map(key, ticks)) == sorted(want) and len(want) > 100
-    assert not math.isnan(want[0][4])
