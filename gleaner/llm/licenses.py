@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine of headers and license files to templates, then inheritance by path.
 
-Texts are cut into segments (lines, and sentences within them); a license file is also one segment
-as a whole. A segment that can reach the threshold is compared with each template: term counts times
+Texts are cut into segments: lines, sentences within them, and paragraphs, so that a notice which is
+wrapped over the lines of a comment is met whole. A license file is also one segment as a whole. A segment that can reach the threshold is compared with each template: term counts times
 inverse document frequencies, which are counted over all documents for the templates' terms; any
 other term weighs as one that no document has. A document has the license of its best segment, if
 the cosine reaches the threshold.
@@ -57,6 +57,19 @@ TEMPLATES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, either version 2.1 of the License"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -80,6 +93,8 @@ THRESHOLD = 0.6
 #: For rounding: scores have six places.
 MARGIN = 1e-5
 SEGMENT_ENDS = r"[.!?][ \t\r]+|\n"
+#: A line without anything but marks of comments: paragraphs of several lines are compared whole, with marks and line ends between their terms.
+PARAGRAPH_ENDS = r"\n[ \t\r*#/;%-]*\n"
 TERM_ENDS = "[^a-z0-9]+"
 
 
@@ -168,7 +183,8 @@ def _candidates(docs: DataFrame, squares: list[dict[str, float]], threshold: flo
     needed = _needed(squares, max(threshold - MARGIN, 0.0) ** 2)
     asked = docs.where(F.arrays_overlap(terms(F.col("text")), needed))
     whole = F.when(F.coalesce("is_license_file", F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
-    segments = asked.select("doc_id", "path", F.explode(F.concat(F.split(F.col("text"), SEGMENT_ENDS), whole)).alias("segment"))
+    paragraphs = F.filter(F.split(F.col("text"), PARAGRAPH_ENDS), lambda x: F.contains(x, F.lit("\n")))
+    segments = asked.select("doc_id", "path", F.explode(F.concat(F.split(F.col("text"), SEGMENT_ENDS), paragraphs, whole)).alias("segment"))
     return can_reach(segments, squares, threshold).distinct()
 
 
@@ -230,7 +246,9 @@ unk AS (SELECT ln(((SELECT count(*) FROM d) + 1)::DOUBLE) + 1 AS u),
 tv AS (SELECT template, license, term, n * idf AS x FROM tt JOIN idf USING (term)),
 tn AS (SELECT template, sqrt(sum(x * x)) AS norm FROM tv GROUP BY template),
 cand AS (SELECT DISTINCT doc_id, dir, name, segment FROM (
-  SELECT doc_id, dir, name, unnest(string_split_regex(text, '[.!?][ \\t\\r]+|\\n')) AS segment FROM d UNION ALL SELECT doc_id, dir, name, text FROM d WHERE is_file)),
+  SELECT doc_id, dir, name, unnest(string_split_regex(text, '[.!?][ \\t\\r]+|\\n')) AS segment FROM d
+  UNION ALL SELECT doc_id, dir, name, unnest(list_filter(string_split_regex(text, '{PARAGRAPH_ENDS}'), lambda x: contains(x, chr(10)))) FROM d
+  UNION ALL SELECT doc_id, dir, name, text FROM d WHERE is_file)),
 seg AS (SELECT DISTINCT segment FROM cand),
 sc AS (SELECT segment, term, count(*) AS n FROM (SELECT segment, unnest(list_filter(string_split_regex(lower(segment), '{TERM_ENDS}'), lambda x: x <> '')) AS term FROM seg) GROUP BY ALL),
 sv AS (SELECT segment, term, n * coalesce(idf, (SELECT u FROM unk)) AS y FROM sc LEFT JOIN idf USING (term)),
