@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import bytescan
-from gleaner.llm.common import read_table, small_or_not, stored
+from gleaner.llm.common import as_row, columns_of, read_table, small_or_not, stored
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -172,6 +172,27 @@ def _agreement(slots: DataFrame, this: str, other: str) -> DataFrame:
     return slots.groupBy(*run, this, other).agg(F.count(F.lit(1)).alias("n")).groupBy(*run, this).agg(F.max("n").alias("n")).groupBy("mode", "id", "k", "item_id").agg(F.sum("n").alias(f"by_{this}"))
 
 
+def _covered(found: DataFrame, asked: DataFrame, sizes: DataFrame, modes: Column, coverage: float) -> DataFrame:
+    """(mode, id, k, item_id, n_found, n_windows) of documents that hold `coverage` of an item's windows; no places, no repeats.
+
+    An item of n windows that is covered has one of any n - ceil(coverage * n) + 1 of them in the
+    document. Those that the fewest items have are the keys of the join: windows that many items
+    share bring no pair together. The pairs are then counted over all windows.
+    """
+    seen = stored(found.select("id", "k", "kind", "h").distinct())
+    own = asked.select("item_id", "own").distinct()
+    spread = own.groupBy("own").agg(F.count(F.lit(1)).alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "own"))
+    keys = own.join(spread, "own").withColumn("rank", rank).join(sizes, "item_id").where(F.col("rank") <= F.col("n_windows") - F.ceil(coverage * F.col("n_windows")) + 1)
+    keys = asked.select("item_id", "own", "h").distinct().join(keys.select("item_id", "own"), ["item_id", "own"], "left_semi").select("item_id", "h").distinct()
+    some = stored(seen.select("id", "k", "h").distinct().join(small_or_not(keys, 40), "h").select("id", "k", "item_id").distinct())
+    kinds = asked.select("item_id", "own", "h", "item_kind").distinct()
+    here = seen.withColumnsRenamed({"id": "_id", "k": "_k", "h": "_h"})
+    met = some.join(small_or_not(kinds, 60), "item_id").join(here, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")))
+    counted = met.withColumn("mode", F.explode(modes)).groupBy("mode", "id", "k", "item_id").agg(F.countDistinct("own").alias("n_found"))
+    return counted.join(small_or_not(sizes, 40), "item_id").where(F.col("n_found") >= coverage * F.col("n_windows")).select("mode", "id", "k", "item_id", "n_found", "n_windows")
+
+
 def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """One row (id, k, item_id, n_windows, n_found, n_slots, agreement) for each document and benchmark item that it holds.
 
@@ -185,6 +206,7 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, consi
     asked = _windows_of(items.where("item_id is not null").select(F.col("item_id").alias("id"), F.lit(0).cast("long").alias("k"), "text")).select(
         F.col("id").alias("item_id"), "own", "h", F.col("kind").alias("item_kind"), F.col("pos").alias("item_pos"), F.col("template").alias("item_template"), F.col("literal").alias("item_literal")
     )
+    asked = stored(asked)
     table = np.zeros(TABLE_BITS, bool)
     table[asked.select(F.expr(f"cast(pmod(h, {TABLE_BITS}L) as int)").alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
     sizes = asked.groupBy("item_id").agg(F.countDistinct("own").alias("n_windows"))
@@ -192,20 +214,23 @@ def matches(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, consi
     found = stored(docs.mapInArrow(_held(held), f"id {dict(docs.dtypes)['id']}, k long, own long, h long, kind long, pos long, template array<long>, literal array<long>"))
     # Names that open sentences are optional: an item is held if it is without them (mode 0) or with them (mode 1).
     modes = F.when((F.col("item_kind") == 1) | (F.col("kind") == 1), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    met = found.drop("own").join(small_or_not(asked, 200), "h").withColumn("mode", F.explode(modes))
+    pairs = stored(_covered(found, asked, sizes, modes, coverage))
+    # Places are looked at for pairs that pass only.
+    asked_pairs = pairs.select("mode", "id", "k", "item_id").join(small_or_not(asked, 200), "item_id")
+    here = found.drop("own").withColumnsRenamed({"id": "_id", "k": "_k", "h": "_h"})
+    met = asked_pairs.join(here, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h"))).where(F.array_contains(modes, F.col("mode")))
     # Two windows that meet by several kinds of hash are one hit, by the first kind.
     first = F.min(F.struct((F.col("item_kind") + F.col("kind")).alias("kinds"), "own", "item_template", "item_literal", "template", "literal")).alias("_hit")
     hits = met.groupBy("mode", "id", "k", "item_id", "pos", "item_pos").agg(first).select("mode", "id", "k", "item_id", "pos", "item_pos", "_hit.*")
-    pairs = hits.groupBy("mode", "id", "k", "item_id").agg(F.countDistinct("own").alias("n_found")).join(small_or_not(sizes, 40), "item_id").where(F.col("n_found") >= coverage * F.col("n_windows"))
     slots = hits.select(
         "mode", "id", "k", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.inline(F.expr("filter(arrays_zip(item_template, item_literal, template, literal), x -> x.item_template between 1 and 3 and x.template = x.item_template)")),
     ).select("mode", "id", "k", "item_id", "shift", F.col("item_literal").alias("item_value"), F.col("literal").alias("value"))
     total = slots.groupBy("mode", "id", "k", "item_id").agg(F.count(F.lit(1)).alias("n_slots"))
     agreed = total.join(_agreement(slots, "item_value", "value"), ["mode", "id", "k", "item_id"]).join(_agreement(slots, "value", "item_value"), ["mode", "id", "k", "item_id"])
-    agreed = agreed.select("mode", "k", "item_id", "n_slots", F.col("id").alias("_id"), (F.least("by_item_value", "by_value") / F.col("n_slots")).alias("agreement"))
-    both = pairs.join(agreed, pairs["id"].eqNullSafe(agreed["_id"]) & (pairs["k"] == agreed["k"]) & (pairs["item_id"] == agreed["item_id"]) & (pairs["mode"] == agreed["mode"]), "left")
-    out = both.select(pairs["mode"], "id", pairs["k"], pairs["item_id"], "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
+    agreed = agreed.select(*[F.col(c).alias(f"_{c}") for c in ("mode", "id", "k", "item_id")], "n_slots", (F.least("by_item_value", "by_value") / F.col("n_slots")).alias("agreement"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")) & (F.col("item_id") == F.col("_item_id")) & (F.col("mode") == F.col("_mode"))
+    out = pairs.join(agreed, same, "left").select("mode", "id", "k", "item_id", "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
     shown = ["n_windows", "n_found", "n_slots", "agreement"]
     best = F.max_by(F.struct(*shown), F.struct("n_found", "agreement", -F.col("mode"))).alias("_best")
     return out.where(F.col("agreement") >= consistency).groupBy("id", "k", "item_id").agg(best).select("id", "k", "item_id", "_best.*")
@@ -221,9 +246,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item; rows that repeat stay repeated."""
+    """The rows of `docs` that hold no benchmark item, with their own columns; rows that repeat stay repeated."""
     bad = matches(_keyed(docs), items).select(F.col("id").alias("_id"), F.col("k").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_bad"]), "left_anti")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), as_row(docs))
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_bad")), "left_anti").select(*columns_of("row", docs.columns))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
