@@ -47,3 +47,13 @@ def small_or_not(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
 def words_of(text: Column) -> Column:
     """The whitespace-delimited words of a text; null: none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns of `docs` as one struct `row`: no name of theirs can then clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def columns_of(row: str, names: list[str]) -> list[Column]:
+    """The columns that `as_row` took."""
+    return [F.col(row)[c].alias(c) for c in names]

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import read_table, small_or_not, stored, words_of
+from gleaner.llm.common import as_row, read_table, small_or_not, stored, words_of
 
 #: Rarity is told by the slot of a word's hash, one byte each: a power of two, about a quarter of the vocabulary or more.
 SLOTS = 1 << 16
@@ -177,9 +177,11 @@ def similar_lines(docs: DataFrame, slots: int = SLOTS, block_words: int = BLOCK_
 def deduplicated_lines(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """`docs` (doc_id, text, ...) with `text` less its removed lines; lines without a word stay. Rows with a null id stay as they are."""
     gone = similar_lines(docs, slots).where("removed").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line").alias("_gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left")
-    return out.select(*[(F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c]) for c in docs.columns])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), as_row(docs))
+    out = rows.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    text = F.col("row")["text"]
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    return out.select(*[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import read_table, small_or_not, stored, words_of
+from gleaner.llm.common import as_row, columns_of, read_table, small_or_not, stored, words_of
 
 SEED = "mix-1"
 MAX_EPOCHS = 2
@@ -114,12 +114,12 @@ def mixture(docs: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EPOCH
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` in the mixture, each as often as it has copies; columns of `docs`."""
+    """The rows of `docs` in the mixture, each as often as it has copies; columns of `docs`, whatever their names."""
     chosen = mixture(docs, **options).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "copies")
-    same = docs["doc_id"].eqNullSafe(chosen["_id"]) & (F.coalesce(docs["lang"], F.lit("")) == chosen["_lang"]) & (F.coalesce(docs["source"], F.lit("")) == chosen["_source"])
-    worded = F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    out = docs.where(worded).join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"), as_row(docs))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source"))
+    out = rows.where("worded").join(chosen, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*columns_of("row", docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACE_RUN, read_table, small_or_not, words_of
+from gleaner.llm.common import as_row, columns_of, SPACE_RUN, read_table, small_or_not, words_of
 
 #: The weights, four bytes a slot, go with each row.
 SLOTS = 1 << 16
@@ -79,10 +79,10 @@ def judgement(text: str, weights: str, slots: int, threshold: float) -> str:
 
 
 def _weighted(docs: DataFrame, trusted: DataFrame, slots: int) -> DataFrame:
-    """`docs` with the slot weights in `_weights`."""
+    """(row, text, weights) of `docs`: its columns as one, and the slot weights."""
     ids = small_or_not(trusted.select("doc_id").where("doc_id is not null").distinct(), 40).withColumn("_good", F.lit(True))
     weights = slot_weights(slot_counts(docs.select("doc_id", "text").join(ids, "doc_id", "left"), F.col("_good"), slots), slots)
-    return docs.withColumn("_weights", weights.scalar())
+    return docs.select(as_row(docs), "text", weights.scalar().alias("weights"))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
@@ -96,15 +96,15 @@ def quality(docs: DataFrame, trusted: DataFrame, slots: int = SLOTS, threshold:
     the same threshold holds. Repeated rows are judged alike and all returned. Columns of `docs`
     whose names clash with the result's are replaced.
     """
-    docs = docs.drop(*MEASURES, "_weights", "_j")
-    judged = _weighted(docs, trusted, slots).select(*docs.columns, F.expr(judgement("text", "_weights", slots, threshold)).alias("_j"))
-    return judged.select(*docs.columns, *[F.col("_j")[m].alias(m) for m in MEASURES])
+    docs = docs.drop(*MEASURES)
+    judged = _weighted(docs, trusted, slots).select("row", F.expr(judgement("text", "weights", slots, threshold)).alias("j"))
+    return judged.select(*columns_of("row", docs.columns), *[F.col("j")[m].alias(m) for m in MEASURES])
 
 
 def kept_rows(docs: DataFrame, trusted: DataFrame, slots: int = SLOTS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that `quality` keeps, with their own columns."""
-    verdict = F.expr(f"filter(array({judgement('text', '_weights', slots, threshold)}), j -> j.kept)")
-    return _weighted(docs, trusted, slots).select(*docs.columns, F.explode(verdict).alias("_j")).drop("_j")
+    verdict = F.expr(f"filter(array({judgement('text', 'weights', slots, threshold)}), j -> j.kept)")
+    return _weighted(docs, trusted, slots).select("row", F.explode(verdict)).select(*columns_of("row", docs.columns))
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

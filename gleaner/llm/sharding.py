@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import read_table, shared_folder, small_or_not, stored
+from gleaner.llm.common import columns_of, read_table, shared_folder, small_or_not, stored
 
 SEED = 20240517
 N_SHARDS = 16
@@ -85,9 +85,10 @@ def external_shuffle(
         .sortWithinPartitions("_bucket")
         .select("_bucket", F.posexplode(F.shuffle("_all", seed)).alias("_pos", "_x"))
     )
-    placed = dealt.join(small_or_not(stored(before), 32), "_bucket").select(*[F.col("_x._row")[c].alias(c) for c in df.columns], (F.col("_before") + F.col("_pos")).alias("_g"))
+    placed = dealt.join(small_or_not(stored(before), 32), "_bucket").select(F.col("_x._row").alias("_row"), (F.col("_before") + F.col("_pos")).alias("_g"))
     shard = F.expr(f"cast(_g * {n_shards} div {max(n, 1)} as int)")
-    return placed.withColumn("shard", shard).withColumn("slot", F.expr(f"_g - (shard * {n}L + {n_shards - 1}) div {n_shards}")).drop("_g")
+    out = placed.withColumn("_shard", shard).withColumn("_slot", F.expr(f"_g - (_shard * {n}L + {n_shards - 1}) div {n_shards}"))
+    return out.select(*columns_of("_row", df.columns), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:

@@ -289,9 +289,9 @@ def test_languages(spark):
 
 def test_filters_hold_what_they_were_given(spark):
     grams = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    table = np.zeros(language.SLOTS, np.uint64)
+    table = np.zeros(language.SLOTS, np.uint8)
     for s in language._slots(grams):
-        table[s] |= np.uint64(1)
+        table[s] |= np.uint8(1)
     assert all(table[s].all() for s in language._slots(grams))
 
 
@@ -309,12 +309,7 @@ def test_filters_and_popcounts_match_brute_force(spark):
     for r in language.gram_counts(spark.createDataFrame(taught, "text string, lang string").repartition(3)).collect():
         got[r["lang"]] += r["n"]
     assert got == {lang: c.total() for lang, c in counts.items()}
-    share = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in counts.items()}
-    most = collections.defaultdict(float)
-    for s in share.values():
-        for g, x in s.items():
-            most[g] = max(most[g], x)
-    has = {lang: {g for g, x in s.items() if x >= language.MIN_SHARE and x >= language.RIVAL * most[g]} for lang, s in share.items()}
+    has = {lang: set(c) for lang, c in counts.items()}
     f = language.fit(spark.createDataFrame(taught, "text string, lang string"))
     assert f.langs == sorted(has)
     asked = [t for t, _ in taught[::5]] + ["abc éé", "zz", "x" * 3000, "", "ü"]
@@ -587,6 +582,44 @@ def test_license_files_are_compared_whole(spark):
     assert got == {**{k: (name, "own") for k, name in enumerate(whole)}, 100: ("BSD-2-Clause", "inherited"), 101: (None, "none"), 102: (None, "none")}
 
 
+def wrapped(text, mark):
+    lines, line = [], mark
+    for w in text.split():
+        if len(line) + len(w) > 70:
+            lines.append(line)
+            line = mark
+        line += " " + w
+    return "\n".join([*lines, line])
+
+
+def test_wrapped_headers_and_openings_of_license_texts(spark):
+    gpl = "This program is free software{c} you can redistribute it and/or modify it under the terms of the GNU {k}General Public License as published by the Free Software Foundation{d} either version {v} of the License, or (at your option) any later version."
+    headers = {
+        "LGPL-2.1": gpl.format(c=";", k="Lesser ", d=";", v="2.1").replace("program", "library"), "LGPL-3.0": gpl.format(c=":", k="Lesser ", d=",", v="3").replace("program", "library"),
+        "GPL-3.0": gpl.format(c=":", k="", d=",", v="3"), "GPL-2.0": gpl.format(c=";", k="", d=";", v="2"), "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    }
+    openings = {
+        "GPL-3.0": " " * 20 + "GNU GENERAL PUBLIC LICENSE\n" + " " * 23 + "Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
+        "GPL-2.0": " " * 20 + "GNU GENERAL PUBLIC LICENSE\n" + " " * 23 + "Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n Everyone is permitted to copy\n",
+        "LGPL-2.1": " " * 18 + "GNU LESSER GENERAL PUBLIC LICENSE\n" + " " * 23 + "Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n",
+        "Apache-2.0": " " * 33 + "Apache License\n" + " " * 27 + "Version 2.0, January 2004\n" + " " * 24 + "http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n",
+    }
+    rows, want = [], {}
+    for name, text in headers.items():
+        for k, (head, mark, tail) in enumerate([("/*\n * Copyright (C) 2020 Someone\n *\n", " *", "\n */\n\nint main() { return 0; }\n"), ("#!/bin/sh\n#\n", "#", "\n#\n\necho hello world\n")]):
+            want[f"{name} header {k}"] = name
+            rows.append((f"{name} header {k}", f"src/{name}{k}/a", False, head + wrapped(text, mark) + tail))
+    for name, text in openings.items():
+        want[f"{name} opening"] = name
+        rows.append((f"{name} opening", f"text/{name}/a", False, text))
+    rows += [(f"plain{k}", f"plain/{k}", False, f"Nothing of that kind is said here.\nLine {k} of a program.\n\nThe end.") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, path string, is_license_file boolean, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.licenses(df).collect()}
+    assert {k: got[k] for k in want} == want
+    assert all(v is None for k, v in got.items() if k.startswith("plain"))
+
+
 def test_license_filter_loses_nothing(spark):
     rng = np.random.default_rng(3)
     pool = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["alpha", "beta", "gamma"]
@@ -604,6 +637,30 @@ def test_empty_tables(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("op", [
+    mixing.mixed, linededup.deduplicated_lines, lambda d: sharding.external_shuffle(d).drop("shard", "slot"), lambda d: quality.kept_rows(d, d), lambda d: quality.quality(d, d).select(*[f"`{c}`" for c in d.columns]),
+    simhash.deduplicated, lambda d: decontaminate.decontaminated(d, d.sparkSession.createDataFrame([(1, "no such words stand in any text here")], "item_id long, text string")),
+])
+def test_names_that_clash(spark, docs, op):
+    """Columns with the names that operators use themselves, and with a dot, come through unchanged."""
+    names = ["copies", "_copy", "a.b", "_gone", "_g", "_weights", "weights", "row", "hash", "_id", "_row", "worded", "h", "j", "col"]
+    clash = docs.withColumns({n: F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    out = op(clash)
+    assert out.columns == clash.columns
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n}:{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
+
+
+def test_items_that_open_alike_bring_no_pairs_together(spark):
+    """Windows that all items share are no keys: the candidates are the documents that hold an item."""
+    opening = "please read the following question with care and then choose one of the answers that are given below it"
+    own = lambda k: " ".join(f"word{k}x{i}" for i in range(30))
+    items = spark.createDataFrame([(k, f"{opening} {own(k)}") for k in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"{opening} {own(1000 + d)} " * 5) for d in range(40)] + [(100, f"start {opening} {own(7)} end")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(100, 7)]
+
+
 def test_sql(spark):
     from gleaner.llm import registry
 
