@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.scalar import valid_role
+from gleaner.operators.scan import GROUP_ROWS, has_large_group, in_chunks, running
 from gleaner.operators.sizes import small_or_not
 
 SCHEMA_VERSION = "0.2.0"
@@ -39,10 +40,13 @@ def uncached(wanted: DataFrame, cached: DataFrame, title: str) -> DataFrame:
     return wanted.join(cached.select(title), title, "left_anti")
 
 
-def batches(titles: DataFrame, title: str, group: str, size: int = 40) -> DataFrame:
-    """(group, batch, n, first, last): titles of each group in order, `size` to a request."""
-    numbered = titles.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(title)) - 1) / size))
-    return numbered.groupBy(group, "batch").agg(F.count(F.lit(1)).alias("n"), F.min(title).alias("first"), F.max(title).alias("last"))
+def batches(titles: DataFrame, title: str, group: str, size: int = 40, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(group, batch, n, first, last): titles of each group in order, `size` to a request. A group of more than `group_rows` titles is numbered in chunks."""
+    if has_large_group(titles, group, group_rows):
+        place = running(in_chunks(titles, group, [title], group_rows), group, [title], F.lit(1), "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size))
+    else:
+        place = titles.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(title)) - 1) / size))
+    return place.groupBy(group, "batch").agg(F.count(F.lit(1)).alias("n"), F.min(title).alias("first"), F.max(title).alias("last"))
 
 
 def manifest(entries: DataFrame, role: str, identity: str, file: str) -> DataFrame:

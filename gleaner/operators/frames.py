@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.scalar import stride_for_fps, timestamp_of
+from gleaner.functions.scalar import gradient_hash, stride_for_fps, timestamp_of
 from gleaner.operators.orbit import GROUP_ROWS, Apart, last_kept
 
 NEAR_BITS = 8
@@ -20,6 +20,35 @@ def strided(frames: DataFrame, media_fps: Column, target_fps: Column, index: str
     return frames.withColumn("stride", stride).where(F.col(index) % F.col("stride") == 0).withColumn("timestamp_s", timestamp_of(F.col(index), media_fps))
 
 
+#: Cells of a thumbnail that a picture's hash is made of: nine columns give eight differences a row.
+THUMB_COLS, THUMB_ROWS = 9, 8
+
+
+def cell_shares(at: Column, size: Column, cells: int) -> Column:
+    """(cell, weight) of the `cells` equal parts of `size` pixels that pixel `at` reaches into; weights are whole numbers, a pixel's add up to `cells`."""
+    first, last = F.floor(at * cells / size), F.ceil((at + 1) * cells / size) - 1
+    weight = lambda k: F.least((at + 1) * cells, (k + 1) * size) - F.greatest(at * cells, k * size)
+    return F.filter(F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("cell"), weight(k).cast("long").alias("weight"))), lambda s: s["weight"] > 0)
+
+
+def picture_hashes(pixels: DataFrame, by: str, w: Column, h: Column, cols: int = THUMB_COLS, rows: int = THUMB_ROWS) -> DataFrame:
+    """pixels (by, x, y, v) of pictures of w x h -> (by, dhash): 64 bits of brightness differences of an area-resized thumbnail.
+
+    A pixel on the edge of cells counts to each by the area that it has there; sums are of whole
+    numbers if `v` is, so that equal cells are equal. A cell without pixels is 0. Pixels are summed
+    before they are shuffled: a picture is `cols` x `rows` rows then, whatever its size. Pixels
+    outside of the picture, or without a value, are not looked at.
+    """
+    inside = pixels.where((F.col("x") >= 0) & (F.col("x") < w) & (F.col("y") >= 0) & (F.col("y") < h) & F.col("v").isNotNull())
+    wide = inside.select(by, "y", "v", h.alias("_h"), F.inline(cell_shares(F.col("x"), w, cols))).withColumnsRenamed({"cell": "_col", "weight": "_wx"})
+    both = wide.select(by, "v", "_col", "_wx", F.inline(cell_shares(F.col("y"), F.col("_h"), rows)))
+    area = F.col("_wx") * F.col("weight")
+    cells = both.groupBy(by, "_col", "cell").agg((F.sum(area * F.col("v")) / F.sum(area)).alias("_mean"))
+    known = cells.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct((F.col("cell") * cols + F.col("_col")).cast("int").alias("k"), F.col("_mean").cast("double").alias("m")))).alias("_cells"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(cols * rows - 1)), lambda k: F.coalesce(F.try_element_at("_cells", k), F.lit(0.0)))
+    return known.select(by, gradient_hash(grid, rows, cols - 1).alias("dhash"))
+
+
 def far(threshold: int) -> Apart:
     """Whether 64-bit hashes differ from one in more than `threshold` bits."""
     return lambda a, b: np.bitwise_count(np.bitwise_xor(np.asarray(a, np.int64), np.int64(b)).view(np.uint64)) > threshold

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.scan import CHUNK, GROUP_ROWS, has_large_group, in_chunks, neighbour, running
+
 EPS = 1e-9
 #: Ticks of one array.
 RUN = 1 << 15
@@ -20,16 +22,21 @@ def seconds_of(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts) / 1e6
 
 
-def tick_runs(captures: DataFrame, session: str, order: str, seconds: str, fps: float) -> DataFrame:
+def tick_runs(captures: DataFrame, session: str, order: str, seconds: str, fps: float, group_rows: int = GROUP_ROWS) -> DataFrame:
     """captures plus first_tick, last_tick: the run of ticks that show each (last before first: none).
 
     Tick k is at the session's first capture plus k / fps. The last capture is shown once more if a
-    tick falls on it, within EPS.
+    tick falls on it, within EPS. A session of more than `group_rows` captures is cut into chunks.
     """
-    by = Window.partitionBy(session).orderBy(seconds, order)
-    whole = Window.partitionBy(session)
     at = lambda c: (c - F.col("_epoch")) * fps
-    df = captures.withColumn("_epoch", F.min(seconds).over(whole)).withColumn("_next", F.lead(seconds).over(by))
+    if has_large_group(captures, session, group_rows):
+        cut = in_chunks(captures, session, [seconds, order], group_rows)
+        first = cut.groupBy(F.col(session).alias("_of")).agg(F.min(seconds).alias("_epoch"))
+        df = neighbour(cut, session, [seconds, order], seconds, "_next", ahead=True)
+        df = df.join(first, df[session].eqNullSafe(first["_of"])).drop("_of", CHUNK)
+    else:
+        by = Window.partitionBy(session).orderBy(seconds, order)
+        df = captures.withColumn("_epoch", F.min(seconds).over(Window.partitionBy(session))).withColumn("_next", F.lead(seconds).over(by))
     last = F.when(F.col("_next").isNull(), F.floor(at(F.col(seconds)) + EPS)).otherwise(F.ceil(at(F.col("_next")) - EPS) - 1)
     return df.withColumn("first_tick", F.ceil(at(F.col(seconds)) - EPS)).withColumn("last_tick", last).drop("_next")
 
@@ -62,12 +69,18 @@ def dropped(captures: DataFrame, session: str, order: str, seconds: str, fps: fl
     return tick_runs(captures, session, order, seconds, fps).where("first_tick > last_tick").select(session, order)
 
 
-def segments(captures: DataFrame, session: str, order: list[str], size: str) -> DataFrame:
-    """captures plus `segment`, from 0, new at each change of `size`, and `segment_frame`, from 0 in each."""
-    by = Window.partitionBy(session).orderBy(*order)
-    changed = F.coalesce(F.lag(size).over(by) != F.col(size), F.lit(False)).cast("int")
-    df = captures.withColumn("_c", changed).withColumn("segment", F.sum("_c").over(by)).drop("_c")
-    return df.withColumn("segment_frame", F.row_number().over(Window.partitionBy(session, "segment").orderBy(*order)) - 1)
+def segments(captures: DataFrame, session: str, order: list[str], size: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """captures plus `segment`, from 0, new at each change of `size`, and `segment_frame`, from 0 in each. A session of more than `group_rows` captures is cut into chunks."""
+    if not has_large_group(captures, session, group_rows):
+        by = Window.partitionBy(session).orderBy(*order)
+        changed = F.coalesce(F.lag(size).over(by) != F.col(size), F.lit(False)).cast("int")
+        df = captures.withColumn("_c", changed).withColumn("segment", F.sum("_c").over(by)).drop("_c")
+        return df.withColumn("segment_frame", F.row_number().over(Window.partitionBy(session, "segment").orderBy(*order)) - 1)
+    df = neighbour(in_chunks(captures, session, order, group_rows), session, order, size, "_was")
+    df = running(df.withColumn("_c", F.coalesce(F.col("_was") != F.col(size), F.lit(False)).cast("int")), session, order, F.col("_c"), "segment")
+    df = running(df, session, order, F.lit(1), "_n")
+    df = running(df, session, order, F.when(F.col("_c") == 1, F.col("_n")), "_from", largest=True)
+    return df.withColumn("segment_frame", (F.col("_n") - F.coalesce("_from", F.lit(1))).cast("int")).drop("_was", "_c", "_n", "_from", CHUNK)
 
 
 def capture_fps(captures: DataFrame, session: str, seconds: str) -> DataFrame:

@@ -101,6 +101,13 @@ ORACLES = {
     "parity_max_abs_diff": """WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), u AS (SELECT x, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS y FROM c)
       SELECT round(max(abs(x - y)), 9) AS max_diff, max(abs(x - y)) < 1e-4 AS same, count(*) AS n FROM u""",
     "dhash_grid": f"WITH {_HASH} SELECT vec_id, label, dhash FROM hashes",
+    "picture_dhash": """WITH p AS (SELECT l_suppkey AS frame, l_partkey % 70 AS x, l_orderkey % 61 AS y, l_quantity::BIGINT AS v FROM lineitem),
+      c AS (SELECT frame, i, j, sum((least(9 * (x + 1), 70 * (i + 1)) - greatest(9 * x, 70 * i)) * (least(8 * (y + 1), 61 * (j + 1)) - greatest(8 * y, 61 * j)) * v)::DOUBLE
+              / sum((least(9 * (x + 1), 70 * (i + 1)) - greatest(9 * x, 70 * i)) * (least(8 * (y + 1), 61 * (j + 1)) - greatest(8 * y, 61 * j))) AS m
+            FROM p, range(9) a(i), range(8) b(j) WHERE 9 * x < 70 * (i + 1) AND 70 * i < 9 * (x + 1) AND 8 * y < 61 * (j + 1) AND 61 * j < 8 * (y + 1) GROUP BY ALL),
+      g AS (SELECT frame, i, j, coalesce(m, 0) AS m FROM (SELECT DISTINCT frame FROM p) CROSS JOIN range(9) a(i) CROSS JOIN range(8) b(j) LEFT JOIN c USING (frame, i, j))
+      SELECT l.frame, CASE WHEN bool_or(l.i = 0 AND l.j = 0 AND r.m > l.m) THEN (-9223372036854775808)::BIGINT ELSE 0::BIGINT END + sum(CASE WHEN r.m > l.m AND (l.i > 0 OR l.j > 0) THEN 1::BIGINT << (63 - (l.j * 8 + l.i)) ELSE 0 END)::BIGINT AS dhash
+      FROM g l JOIN g r ON r.frame = l.frame AND r.j = l.j AND r.i = l.i + 1 GROUP BY l.frame""",
     "hamming_neighbours": f"WITH {_HASH}, p AS (SELECT vec_id, dhash, lag(dhash) OVER (PARTITION BY label ORDER BY vec_id) AS was FROM hashes) SELECT vec_id, bit_count(xor(dhash, was))::INT AS bits FROM p WHERE was IS NOT NULL",
     "dedup_last_kept": f"WITH RECURSIVE {_FOLD} SELECT label, vec_id, kept FROM w",
     "select_board_frames": f"WITH RECURSIVE {_FOLD} SELECT label, vec_id FROM w WHERE kept AND vec_id % 3 <> 0",

@@ -52,6 +52,16 @@ def dhash_grid(spark: SparkSession, d: str) -> DataFrame:
     return T.hashes(spark, d)
 
 
+#: Pictures of a size that neither nine nor eight divides.
+PICTURE_W, PICTURE_H = 70, 61
+
+
+def picture_dhash(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as pixels of a supplier's picture."""
+    p = T.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("frame"), (F.col("l_partkey") % PICTURE_W).alias("x"), (F.col("l_orderkey") % PICTURE_H).alias("y"), F.col("l_quantity").cast("long").alias("v"))
+    return frames.picture_hashes(p, "frame", F.lit(PICTURE_W), F.lit(PICTURE_H))
+
+
 def hamming_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each hash to the one before it in its video."""
     w = Window.partitionBy("label").orderBy("vec_id")
@@ -330,7 +340,7 @@ def pipeline_records(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        proto_mean, margin_nn, margin_abstain_stats, interproto_stats, top1_accuracy, parity_max_abs_diff, dhash_grid, hamming_neighbours, dedup_last_kept, select_board_frames, orb_ratio_count, stride_sample, media_fps,
+        proto_mean, margin_nn, margin_abstain_stats, interproto_stats, top1_accuracy, parity_max_abs_diff, dhash_grid, picture_dhash, hamming_neighbours, dedup_last_kept, select_board_frames, orb_ratio_count, stride_sample, media_fps,
         asof_resample, cfr_dup_flags, cfr_dropped, session_counters, thin_max_fps, segment_islands, capture_fps, wall_align, json_readings, temporal_fusion, fused_windows, box_area_aspect, hud_antijoin, iou_nms, iou_semijoin, crop_pixels,
         overlay_pixels, gate_case, red_shift, hs_histogram, hist_corr_top2, ensemble_combine, tint_discount, mining_rollup, head_to_head, gallery_counts, alias_resolve, slugify_urls, art_filter, uncached_pages, title_batches,
         manifest_summary, filename_parse, snapshot_nest, summary_lines, crop_names, iso_time, zip_identities, frame_limit, skipped_union, stem_lookup, localize_blobs, pipeline_records,
