@@ -101,6 +101,7 @@ ORACLES = {
     "parity_max_abs_diff": """WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), u AS (SELECT x, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS y FROM c)
       SELECT round(max(abs(x - y)), 9) AS max_diff, max(abs(x - y)) < 1e-4 AS same, count(*) AS n FROM u""",
     "dhash_grid": f"WITH {_HASH} SELECT vec_id, label, dhash FROM hashes",
+    "strided_files": "SELECT 'n' || s_nationkey AS video, s_suppkey AS frame_index, round(s_suppkey / 24.0::DOUBLE, 6) AS timestamp_s, s_name AS content FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey >= 10",
     "picture_dhash": """WITH p AS (SELECT l_suppkey AS frame, l_partkey % 70 AS x, l_orderkey % 61 AS y, l_quantity::BIGINT AS v FROM lineitem),
       c AS (SELECT frame, i, j, sum((least(9 * (x + 1), 70 * (i + 1)) - greatest(9 * x, 70 * i)) * (least(8 * (y + 1), 61 * (j + 1)) - greatest(8 * y, 61 * j)) * v)::DOUBLE
               / sum((least(9 * (x + 1), 70 * (i + 1)) - greatest(9 * x, 70 * i)) * (least(8 * (y + 1), 61 * (j + 1)) - greatest(8 * y, 61 * j))) AS m

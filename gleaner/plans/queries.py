@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import scalar
 from gleaner.operators import boxes, catalog, frames, fusion, identify, resample, vectors
+from gleaner.operators.durable import shared_folder
 from gleaner.plans import pipeline
+from gleaner.sources import files
 from gleaner.sources import tables as T
 
 #: Ticks and thinning of the event sessions: one in six hours.
@@ -93,6 +97,15 @@ def stride_sample(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "stride", F.round("timestamp_s", 6).alias("timestamp_s"))
 
 
+def strided_files(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as numbered frame files of a nation's video, written out and scanned by stride from the tenth on."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    s = T.table(spark, d, "supplier")
+    files.write_frames(s.select(F.concat(F.lit("n"), "s_nationkey").alias("video"), F.col("s_suppkey").alias("frame_index"), F.col("s_name").cast("binary").alias("content")), folder)
+    found = files.strided_files(spark, folder, 3, 24.0).where("frame_index >= 10")
+    return found.select("video", "frame_index", F.round("timestamp_s", 6).alias("timestamp_s"), F.col("content").cast("string").alias("content"))
+
+
 def media_fps(spark: SparkSession, d: str) -> DataFrame:
     probe = F.concat((F.col("event_id") % 61).cast("string"), F.lit("/"), (F.col("event_id") % 3).cast("string"))
     rate, source = scalar.media_fps(F.col("value") * 5 - 100, probe)
@@ -340,7 +353,7 @@ def pipeline_records(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        proto_mean, margin_nn, margin_abstain_stats, interproto_stats, top1_accuracy, parity_max_abs_diff, dhash_grid, picture_dhash, hamming_neighbours, dedup_last_kept, select_board_frames, orb_ratio_count, stride_sample, media_fps,
+        proto_mean, margin_nn, margin_abstain_stats, interproto_stats, top1_accuracy, parity_max_abs_diff, dhash_grid, picture_dhash, hamming_neighbours, dedup_last_kept, select_board_frames, orb_ratio_count, stride_sample, strided_files, media_fps,
         asof_resample, cfr_dup_flags, cfr_dropped, session_counters, thin_max_fps, segment_islands, capture_fps, wall_align, json_readings, temporal_fusion, fused_windows, box_area_aspect, hud_antijoin, iou_nms, iou_semijoin, crop_pixels,
         overlay_pixels, gate_case, red_shift, hs_histogram, hist_corr_top2, ensemble_combine, tint_discount, mining_rollup, head_to_head, gallery_counts, alias_resolve, slugify_urls, art_filter, uncached_pages, title_batches,
         manifest_summary, filename_parse, snapshot_nest, summary_lines, crop_names, iso_time, zip_identities, frame_limit, skipped_union, stem_lookup, localize_blobs, pipeline_records,
