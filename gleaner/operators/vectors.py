@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.scalar import UNKNOWN, dot, gradient_hash, hamming
+from gleaner.operators.durable import written
 from gleaner.operators.sizes import BROADCAST_BYTES
 
 MARGIN = 0.12
@@ -118,15 +119,93 @@ def nearest(vectors: DataFrame, protos: DataFrame, by: list[str], key: str = "la
     return out.withColumn("identity", F.when(sure, F.col("best")).otherwise(UNKNOWN)).withColumn("confidence", F.round(F.least(F.greatest(F.col("margin"), F.lit(0.0)), F.lit(1.0)), 4))
 
 
-def off_diagonal(protos: DataFrame, key: str = "label") -> DataFrame:
-    """Mean, median, 95th percentile, largest and smallest cosine of two different prototypes, each pair both ways.
+#: Prototypes of a block: two blocks meet in a task.
+GRAM_BLOCK = 1024
+_DIGIT = 16
 
-    By dimension: cosines are sums of products of cells that share one, so the pairs of a prototype are no single task's.
+
+def _block_cosines(table: pa.Table) -> np.ndarray:
+    """Cosines of all pairs of a block, or of two blocks; each pair once."""
+    side, x = table.column("_b").to_numpy(), _matrix(table.column("proto").combine_chunks())
+    first = side == side.min()
+    if first.all():
+        return (x @ x.T)[np.triu_indices(len(x), 1)]
+    return (x[first] @ x[~first].T).ravel()
+
+
+def _ordered_keys(values: np.ndarray) -> np.ndarray:
+    """64-bit whole numbers in the order of the doubles."""
+    bits = values.astype(np.float64).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _double_of(key: int) -> float:
+    bits = key ^ (1 << 63)
+    signed = bits - (1 << 64) if bits >> 63 else bits
+    return float(np.array([signed if signed >= 0 else signed ^ 0x7FFFFFFFFFFFFFFF], np.int64).view(np.float64)[0])
+
+
+def _digit_counts(shift: int, wanted: list[int]) -> Callable[[pa.Table], pa.Table]:
+    """Counts (k, digit, n) of the 16 bits from `shift` on, among cosines whose higher bits are wanted[k]."""
+
+    def counted(table: pa.Table) -> pa.Table:
+        keys = _ordered_keys(_block_cosines(table))
+        high_bits = keys >> np.uint64(shift + _DIGIT) if shift + _DIGIT < 64 else np.zeros(len(keys), np.uint64)
+        out: list[tuple[int, int, int]] = []
+        for k, prefix in enumerate(wanted):
+            digits, many = np.unique((keys[high_bits == np.uint64(prefix)] >> np.uint64(shift)) & np.uint64((1 << _DIGIT) - 1), return_counts=True)
+            out += [(k, int(d), int(m)) for d, m in zip(digits, many, strict=True)]
+        a, b, c = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"k": pa.array(a, pa.int32()), "digit": pa.array(b, pa.int32()), "n": pa.array(c, pa.int64())})
+
+    return counted
+
+
+def off_diagonal(protos: DataFrame, key: str = "label", block: int = GRAM_BLOCK) -> DataFrame:
+    """Mean, median, 95th percentile, largest and smallest cosine of two different prototypes, each pair both ways; one row.
+
+    Blocks of prototypes meet two by two; a pair of blocks gives sums and counts, and no pair is a
+    row. The percentiles are exact: four passes count the pairs by 16 more bits of their cosine, in
+    order, within the values that the wanted ranks have been narrowed to. Fewer than two
+    prototypes: nulls.
     """
-    cells = protos.select(F.col(key).alias("i"), F.posexplode("proto").alias("dim", "x"))
-    other = cells.select(F.col("i").alias("j"), "dim", F.col("x").alias("y"))
-    cosines = cells.join(other, "dim").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
-    return cosines.agg(F.avg("c").alias("mean"), F.median("c").alias("median"), F.percentile("c", 0.95).alias("p95"), F.max("c").alias("max"), F.min("c").alias("min"))
+    slim = written(protos.select(key, "proto"))
+    n = slim.count()
+    spark, names = slim.sparkSession, ("mean", "median", "p95", "max", "min")
+    if n < 2:
+        return spark.createDataFrame([(None,) * 5], ", ".join(f"{c} double" for c in names))
+    blocks = -(-n // block)
+    dealt = slim.select("proto", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = dealt.select("proto", "_b", F.least("_b", "_c").alias("_x"), F.greatest("_b", "_c").alias("_y")).groupBy("_x", "_y")
+
+    def sums(table: pa.Table) -> pa.Table:
+        c = _block_cosines(table)
+        return pa.table({"s": pa.array([c.sum()] if c.size else [], pa.float64()), "lo": pa.array([c.min()] if c.size else [], pa.float64()), "hi": pa.array([c.max()] if c.size else [], pa.float64())})
+
+    total, low, high = met.applyInArrow(sums, "s double, lo double, hi double").agg(F.sum("s"), F.min("lo"), F.max("hi")).first()
+    pairs = n * (n - 1) // 2
+    spots = {q: (2 * pairs - 1) * q for q in (0.5, 0.95)}
+    ranks = sorted({r for at in spots.values() for r in (int(at) // 2, min(int(at) + 1, 2 * pairs - 1) // 2)})
+    known = {r: (0, r) for r in ranks}  # the bits that are known of the rank's value, and its rank among those that share them
+    for shift in range(64 - _DIGIT, -1, -_DIGIT):
+        wanted = sorted({prefix for prefix, _ in known.values()})
+
+        # At most 65536 counts for each of four ranks.
+        rows = met.applyInArrow(_digit_counts(shift, wanted), "k int, digit int, n long").groupBy("k", "digit").agg(F.sum("n").alias("n")).orderBy("k", "digit").collect()
+        for r, (prefix, left) in known.items():
+            for row in (x for x in rows if wanted[x["k"]] == prefix):
+                if left < row["n"]:
+                    known[r] = (prefix << _DIGIT | row["digit"], left)
+                    break
+                left -= row["n"]
+    value = {r: _double_of(prefix) for r, (prefix, _) in known.items()}
+
+    def percentile(q: float) -> float:
+        at = spots[q]
+        a, b = value[int(at) // 2], value[min(int(at) + 1, 2 * pairs - 1) // 2]
+        return a + (b - a) * (at - int(at))
+
+    return spark.createDataFrame([(total / pairs, percentile(0.5), percentile(0.95), high, low)], ", ".join(f"{c} double" for c in names))
 
 
 def vector_hash(vector: Column) -> Column:
