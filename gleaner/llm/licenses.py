@@ -178,12 +178,29 @@ def can_reach(segments: DataFrame, squares: list[dict[str, float]], threshold: f
     return some.where(F.exists(shared, lambda x: x >= least)).drop("_w")
 
 
-def _candidates(docs: DataFrame, squares: list[dict[str, float]], threshold: float) -> DataFrame:
+def _dense(segment: Column, weight: dict[str, float], least: float) -> Column:
+    """Whether enough of a segment's weight is in the templates' terms: no cosine of the root of `least` without it.
+
+    By Cauchy-Schwarz a cosine's square is at most the share of the templates' terms in the squared
+    length of the segment; each of its other words adds the square of an unknown term's weight.
+    """
+    vocabulary = [t for t in weight if t]
+    idf = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit(weight[t]))])
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def judged(words: Column, known: Column) -> Column:
+        square = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda a, t: a + F.pow(F.size(F.filter(known, lambda y: y == t)) * F.element_at(idf, t), F.lit(2.0)))
+        return let(square, lambda s: s >= F.lit(least) * (s + (F.size(words) - F.size(known)) * F.lit(weight[""] ** 2)))
+
+    return let(terms(segment), lambda words: let(F.filter(words, lambda x: x.isin(vocabulary)), lambda known: judged(words, known)))
+
+
+def _candidates(docs: DataFrame, squares: list[dict[str, float]], weight: dict[str, float], threshold: float) -> DataFrame:
     """(doc_id, path, segment): segments that can reach the threshold."""
-    needed = _needed(squares, max(threshold - MARGIN, 0.0) ** 2)
-    asked = docs.where(F.arrays_overlap(terms(F.col("text")), needed))
+    least = max(threshold - MARGIN, 0.0) ** 2
+    asked = docs.where(F.arrays_overlap(terms(F.col("text")), _needed(squares, least)))
     whole = F.when(F.coalesce("is_license_file", F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
-    paragraphs = F.filter(F.split(F.col("text"), PARAGRAPH_ENDS), lambda x: F.contains(x, F.lit("\n")))
+    paragraphs = F.filter(F.split(F.col("text"), PARAGRAPH_ENDS), lambda x: F.contains(x, F.lit("\n")) & _dense(x, weight, least))
     segments = asked.select("doc_id", "path", F.explode(F.concat(F.split(F.col("text"), SEGMENT_ENDS), paragraphs, whole)).alias("segment"))
     return can_reach(segments, squares, threshold).distinct()
 
@@ -200,7 +217,8 @@ def licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     docs = docs.select("doc_id", "path", "is_license_file", "text")
     idf = stored(term_weights(docs))
-    candidates = stored(_candidates(docs, _squares(idf), threshold))
+    weight = {r["term"]: r["idf"] for r in idf.collect()}  # one row a term of TEMPLATES
+    candidates = stored(_candidates(docs, _squares(idf), weight, threshold))
     scores = similarities(candidates.select("segment").distinct(), idf)
     candidates = candidates.join(scores, "segment").where(F.col("score") >= threshold)
     best = candidates.groupBy(F.col("doc_id").alias("_id"), F.col("path").alias("_path")).agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
