@@ -178,29 +178,34 @@ def can_reach(segments: DataFrame, squares: list[dict[str, float]], threshold: f
     return some.where(F.exists(shared, lambda x: x >= least)).drop("_w")
 
 
-def _dense(segment: Column, weight: dict[str, float], least: float) -> Column:
+def _dense(segment: Column, idf: Column, least: float) -> Column:
     """Whether enough of a segment's weight is in the templates' terms: no cosine of the root of `least` without it.
 
     By Cauchy-Schwarz a cosine's square is at most the share of the templates' terms in the squared
     length of the segment; each of its other words adds the square of an unknown term's weight.
     """
-    vocabulary = [t for t in weight if t]
-    idf = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit(weight[t]))])
     let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    total = lambda array, f: F.aggregate(array, F.lit(0.0), lambda a, x: a + f(x))
 
-    def judged(words: Column, known: Column) -> Column:
-        square = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda a, t: a + F.pow(F.size(F.filter(known, lambda y: y == t)) * F.element_at(idf, t), F.lit(2.0)))
-        return let(square, lambda s: s >= F.lit(least) * (s + (F.size(words) - F.size(known)) * F.lit(weight[""] ** 2)))
+    def judged(words: Column, counts: Column) -> Column:
+        square = total(counts, lambda x: F.pow(x["n"] * F.element_at(idf, x["t"]), F.lit(2.0)))
+        other = F.size(words) - total(counts, lambda x: x["n"])
+        return let(square, lambda s: s >= F.lit(least) * (s + other * F.pow(F.element_at(idf, F.lit("")), F.lit(2.0))))
 
-    return let(terms(segment), lambda words: let(F.filter(words, lambda x: x.isin(vocabulary)), lambda known: judged(words, known)))
+    def counted(words: Column) -> Column:
+        return F.transform(F.array_intersect(words, F.map_keys(idf)), lambda t: F.struct(t.alias("t"), F.size(F.filter(words, lambda y: y == t)).alias("n")))
+
+    return let(terms(segment), lambda words: let(counted(words), lambda counts: judged(words, counts)))
 
 
 def _candidates(docs: DataFrame, squares: list[dict[str, float]], weight: dict[str, float], threshold: float) -> DataFrame:
     """(doc_id, path, segment): segments that can reach the threshold."""
     least = max(threshold - MARGIN, 0.0) ** 2
-    asked = docs.where(F.arrays_overlap(terms(F.col("text")), _needed(squares, least)))
+    # One row, one value a term of TEMPLATES.
+    idf = docs.sparkSession.createDataFrame([(weight,)], "w map<string, double>")
+    asked = docs.where(F.arrays_overlap(terms(F.col("text")), _needed(squares, least))).withColumn("_idf", idf.scalar())
     whole = F.when(F.coalesce("is_license_file", F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
-    paragraphs = F.filter(F.split(F.col("text"), PARAGRAPH_ENDS), lambda x: F.contains(x, F.lit("\n")) & _dense(x, weight, least))
+    paragraphs = F.filter(F.split(F.col("text"), PARAGRAPH_ENDS), lambda x: F.contains(x, F.lit("\n")) & _dense(x, F.col("_idf"), least))
     segments = asked.select("doc_id", "path", F.explode(F.concat(F.split(F.col("text"), SEGMENT_ENDS), paragraphs, whole)).alias("segment"))
     return can_reach(segments, squares, threshold).distinct()
 
