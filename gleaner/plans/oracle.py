@@ -16,7 +16,7 @@ norms AS (SELECT label, sqrt(sum(m * m)) AS norm FROM means GROUP BY label),
 proto AS (SELECT label, dim, m / norm AS p FROM means JOIN norms USING (label) WHERE norm >= 1e-9)"""
 _NAMED = f"""{_PROTO},
 vcells AS (SELECT vec_id, label AS own, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
-cosines AS (SELECT vec_id, own, label::VARCHAR AS k, sum(x * p) AS c FROM vcells JOIN proto USING (dim) GROUP BY vec_id, own, label),
+cosines AS (SELECT vec_id, own, label, label::VARCHAR AS k, sum(x * p) AS c FROM vcells JOIN proto USING (dim) GROUP BY vec_id, own, label),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) AS r FROM cosines),
 named AS (SELECT vec_id, any_value(own) AS own, max(k) FILTER (WHERE r = 1) AS best, max(c) FILTER (WHERE r = 1) - max(c) FILTER (WHERE r = 2) AS margin FROM ranked WHERE r <= 2 GROUP BY vec_id),
 found AS (SELECT *, CASE WHEN margin >= 0.12 THEN best ELSE 'unknown' END AS identity, round(least(greatest(margin, 0), 1), 4) AS confidence FROM named)"""
