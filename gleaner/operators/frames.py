@@ -28,7 +28,10 @@ def cell_shares(at: Column, size: Column, cells: int) -> Column:
     """(cell, weight) of the `cells` equal parts of `size` pixels that pixel `at` reaches into; weights are whole numbers, a pixel's add up to `cells`."""
     first, last = F.floor(at * cells / size), F.ceil((at + 1) * cells / size) - 1
     weight = lambda k: F.least((at + 1) * cells, (k + 1) * size) - F.greatest(at * cells, k * size)
-    return F.filter(F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("cell"), weight(k).cast("long").alias("weight"))), lambda s: s["weight"] > 0)
+    share = lambda k: F.struct(k.alias("cell"), weight(k).cast("long").alias("weight"))
+    # A pixel that is no wider than a cell lies in one of them or two.
+    narrow = F.when(first == last, F.array(share(first))).otherwise(F.array(share(first), share(last)))
+    return F.when(size >= cells, narrow).otherwise(F.transform(F.sequence(first, last), share))
 
 
 def picture_hashes(pixels: DataFrame, by: str, w: Column, h: Column, cols: int = THUMB_COLS, rows: int = THUMB_ROWS) -> DataFrame:

@@ -164,8 +164,8 @@ def _digit_counts(shift: int, wanted: list[int]) -> Callable[[pa.Table], pa.Tabl
 def off_diagonal(protos: DataFrame, key: str = "label", block: int = GRAM_BLOCK) -> DataFrame:
     """Mean, median, 95th percentile, largest and smallest cosine of two different prototypes, each pair both ways; one row.
 
-    Blocks of prototypes meet two by two; a pair of blocks gives sums and counts, and no pair is a
-    row. The percentiles are exact: four passes count the pairs by 16 more bits of their cosine, in
+    Up to `block` prototypes are one task's. Beyond, blocks of them meet two by two; a pair of
+    blocks gives sums and counts, and no pair is a row. The percentiles are exact: four passes count the pairs by 16 more bits of their cosine, in
     order, within the values that the wanted ranks have been narrowed to. Fewer than two
     prototypes: nulls.
     """
@@ -178,6 +178,13 @@ def off_diagonal(protos: DataFrame, key: str = "label", block: int = GRAM_BLOCK)
     dealt = slim.select("proto", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = dealt.select("proto", "_b", F.least("_b", "_c").alias("_x"), F.greatest("_b", "_c").alias("_y")).groupBy("_x", "_y")
 
+    def whole(table: pa.Table) -> pa.Table:
+        c = np.repeat(_block_cosines(table), 2)
+        return pa.table({n: pa.array([float(x)]) for n, x in zip(names, (c.mean(), np.median(c), np.percentile(c, 95), c.max(), c.min()), strict=True)})
+
+    if blocks == 1:
+        return met.applyInArrow(whole, ", ".join(f"{c} double" for c in names))
+
     def sums(table: pa.Table) -> pa.Table:
         c = _block_cosines(table)
         return pa.table({"s": pa.array([c.sum()] if c.size else [], pa.float64()), "lo": pa.array([c.min()] if c.size else [], pa.float64()), "hi": pa.array([c.max()] if c.size else [], pa.float64())})
