@@ -206,7 +206,8 @@ def _candidates(docs: DataFrame, squares: list[dict[str, float]], weight: dict[s
     asked = docs.where(F.arrays_overlap(terms(F.col("text")), _needed(squares, least))).withColumn("_idf", idf.scalar())
     whole = F.when(F.coalesce("is_license_file", F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
     paragraphs = F.filter(F.split(F.col("text"), PARAGRAPH_ENDS), lambda x: F.contains(x, F.lit("\n")) & _dense(x, F.col("_idf"), least))
-    segments = asked.select("doc_id", "path", F.explode(F.concat(F.split(F.col("text"), SEGMENT_ENDS), paragraphs, whole)).alias("segment"))
+    # No array is empty; `explode` would compute each once more to leave out those that are.
+    segments = asked.select("doc_id", "path", F.explode_outer(F.concat(F.split(F.col("text"), SEGMENT_ENDS), paragraphs, whole)).alias("segment"))
     return can_reach(segments, squares, threshold).distinct()
 
 
