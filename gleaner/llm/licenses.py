@@ -136,12 +136,15 @@ def similarities(segments: DataFrame, idf: DataFrame) -> DataFrame:
     weighted = _templates(spark).join(idf, "term").select("template", "license", "term", (F.col("n") * F.col("idf")).alias("x"))
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     templates = F.broadcast(weighted.join(norms, "template").select("license", "template", "term", (F.col("x") / F.col("norm")).alias("x")))
-    counted = segments.select("segment", F.explode(terms(F.col("segment"))).alias("term")).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n"))
-    vectors = counted.join(idf, "term", "left").select("segment", "term", (F.col("n") * F.coalesce(F.col("idf"), unknown)).alias("y"))
-    lengths = vectors.groupBy("segment").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
-    dots = vectors.join(templates, "term").groupBy("segment", "license", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(lengths, "segment").select("segment", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
-    return scored.groupBy("segment").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
+    # A segment may be long: sums go by its digest, not by its text.
+    keyed = segments.select("segment", F.sha2(F.col("segment").cast("binary"), 256).alias("key"))
+    counted = keyed.select("key", F.explode(terms(F.col("segment"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
+    vectors = counted.join(idf, "term", "left").select("key", "term", (F.col("n") * F.coalesce(F.col("idf"), unknown)).alias("y"))
+    lengths = vectors.groupBy("key").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
+    dots = vectors.join(templates, "term").groupBy("key", "license", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dots.join(lengths, "key").select("key", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
+    best = scored.groupBy("key").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
+    return keyed.join(best, "key").select("segment", "score", "license")
 
 
 def _squares(idf: DataFrame) -> list[dict[str, float]]:
