@@ -315,7 +315,7 @@ def iso_time(spark: SparkSession, d: str) -> DataFrame:
 
 def zip_identities(spark: SparkSession, d: str) -> DataFrame:
     """Line items as boxes and as names of the same order and line."""
-    b = T.boxes(spark, d).withColumn("slot", F.expr("box_id div 1000000000000"))
+    b = T.boxes(spark, d).withColumn("slot", F.col("l_linenumber").cast("long"))
     names = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("slot"), F.col("l_returnflag").alias("identity"))
     one = b.groupBy("frame", "slot").agg(F.max("w").alias("w"))
     return catalog.zipped(one, names.groupBy("frame", "slot").agg(F.max("identity").alias("identity")), "frame", "slot").groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("w"))

@@ -43,7 +43,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as candidate boxes: the order is the frame."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("frame"), (F.col("l_linenumber") * F.lit(1000000000000) + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).cast("long").alias("box_id"),
-        (F.col("l_partkey") % 80 / 100.0).alias("x"), (F.col("l_suppkey") % 75 / 100.0).alias("y"), (0.04 + F.col("l_quantity") % 10 / 100.0).alias("w"), (0.06 + F.col("l_linenumber") / 50.0).alias("h"), "l_partkey", "l_quantity", "l_discount",
+        (F.col("l_partkey") % 80 / 100.0).alias("x"), (F.col("l_suppkey") % 75 / 100.0).alias("y"), (0.04 + F.col("l_quantity") % 10 / 100.0).alias("w"), (0.06 + F.col("l_linenumber") / 50.0).alias("h"), "l_linenumber", "l_partkey", "l_quantity", "l_discount",
     )
 
 
