@@ -18,7 +18,7 @@ def hsv(bgr: np.ndarray) -> np.ndarray:
     """Hue 0 .. 179, saturation and value 0 .. 255 of a blue-green-red image."""
     x = bgr.astype(np.float64)
     b, g, r = x[..., 0], x[..., 1], x[..., 2]
-    v, low = x.max(axis=-1), x.min(axis=-1)
+    v, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
     span = np.where(v > low, v - low, 1)
     hue = np.select([v == r, v == g], [(g - b) / span, 2 + (b - r) / span], 4 + (r - g) / span) * 30
     out = np.stack([np.where(v > low, hue % 180, 0), np.where(v > 0, 255 * (v - low) / np.maximum(v, 1), 0), v], axis=-1)
@@ -26,30 +26,43 @@ def hsv(bgr: np.ndarray) -> np.ndarray:
 
 
 def card_mask(image: np.ndarray) -> np.ndarray:
-    """Pixels of card colours outside of the fixed screen strips and corners (fixed values)."""
-    h, s, v = np.moveaxis(hsv(image), -1, 0)
+    """Pixels of card colours outside of the fixed screen strips and corners (fixed values).
+
+    Hues are told only where the strips end and the colour is neither too dark nor too pale for any of them.
+    """
+    rows, cols = image.shape[:2]
+    inner = np.s_[int(0.09 * rows) : int(0.86 * rows), int(0.13 * cols) : int(0.92 * cols)]
+    part = image[inner]
+    b, g, r = part[..., 0], part[..., 1], part[..., 2]
+    most = np.maximum(np.maximum(b, g), r).astype(np.int32)
+    maybe = (most > 55) & (255 * (most - np.minimum(np.minimum(b, g), r)) >= 40 * most)
+    h, s, v = np.moveaxis(hsv(part[maybe]), -1, 0)
     colours = (
         ((h > 128) & (h < 175) & (s > 40) & (v > 65))
         | ((h > 7) & (h < 23) & (s > 65) & (v > 55))
         | (((h > 168) | (h < 6)) & (s > 55) & (v > 55))
         | ((s > 45) & (v > 85))
     )
-    rows, cols = h.shape
-    y, x = np.arange(rows)[:, None], np.arange(cols)[None, :]
-    strips = (y < int(0.09 * rows)) | (y >= int(0.86 * rows)) | (x < int(0.13 * cols)) | (x >= int(0.92 * cols))
-    corners = ((y < int(0.27 * rows)) & (x < int(0.27 * cols))) | ((y < int(0.36 * rows)) & (x >= int(0.84 * cols)))
-    return colours & ~strips & ~corners
+    out = np.zeros((rows, cols), bool)
+    out[inner][maybe] = colours
+    out[: int(0.27 * rows), : int(0.27 * cols)] = False
+    out[: int(0.36 * rows), int(0.84 * cols) :] = False
+    return out
 
 
 def _spread(mask: np.ndarray, k: int, grow: bool) -> np.ndarray:
-    """Running maximum (grow) or minimum over a k x k rectangle; outside counts as what changes nothing."""
+    """Running maximum (grow) or minimum over a k x k rectangle, by runs of doubled length; outside counts as what changes nothing."""
+    join = np.logical_or if grow else np.logical_and
     before, after = k // 2, k - 1 - k // 2
-    for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (before, after)
-        wide = np.pad(mask, pad, constant_values=not grow)
-        views = np.lib.stride_tricks.sliding_window_view(wide, k, axis=axis)
-        mask = views.any(axis=-1) if grow else views.all(axis=-1)
+    for _ in (0, 1):
+        wide = np.full((len(mask) + k - 1, mask.shape[1]), not grow)
+        wide[before : len(wide) - after] = mask
+        have = 1
+        while have < k:
+            step = min(have, k - have)
+            wide = join(wide[:-step], wide[step:])
+            have += step
+        mask = wide.T
     return mask
 
 
@@ -72,19 +85,23 @@ def component_boxes(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
             k = parent[k]
         return k
 
+    rows, cols = mask.shape
+    wide = np.zeros((rows, cols + 2), np.int8)
+    wide[:, 1:-1] = mask
+    edges = np.flatnonzero(np.diff(wide.ravel())).reshape(-1, 2)
     above: list[tuple[int, int, int]] = []
-    for y, row in enumerate(mask):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
-        now = []
-        for a, b in edges.reshape(-1, 2).tolist():
-            k = len(parent)
-            parent.append(k)
-            box.append([a, y, b, y + 1])
-            for pa, pb, p in above:
-                if pa <= b and pb >= a:
-                    parent[root(p)] = root(k)
-            now.append((a, b, k))
-        above = now
+    now: list[tuple[int, int, int]] = []
+    last = -1
+    for y, a, b in zip((edges[:, 0] // (cols + 2)).tolist(), *(edges % (cols + 2)).T.tolist(), strict=True):
+        if y != last:
+            above, now, last = (now if y == last + 1 else []), [], y
+        k = len(parent)
+        parent.append(k)
+        box.append([a, y, b, y + 1])
+        for pa, pb, p in above:
+            if pa <= b and pb >= a:
+                parent[root(p)] = root(k)
+        now.append((a, b, k))
     merged: dict[int, list[int]] = {}
     for k, (a, y, b, y1) in enumerate(box):
         m = merged.setdefault(root(k), [a, y, b, y1])
@@ -135,27 +152,27 @@ def grey_image(image: np.ndarray) -> np.ndarray:
 
 
 def frame_stats(frames: DataFrame, frame: str) -> DataFrame:
-    """frames (frame, w, h, pixels) -> (frame, mean, center, ring, red): what the gate and the tint test look at; nulls where bytes do not fit."""
+    """frames (frame, w, h, pixels) -> (frame, w, h, mean, center, ring, red): what the gate and the tint test look at; nulls where bytes do not fit."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, image in zip(batch[frame], _images(batch, "w", "h", "pixels"), strict=True):
+            for key, bw, bh, image in zip(batch[frame], batch["w"], batch["h"], _images(batch, "w", "h", "pixels"), strict=True):
                 if image is None:
-                    rows.append((key, None, None, None, None))
+                    rows.append((key, bw, bh, None, None, None, None))
                     continue
                 g = grey_image(image)
                 h, w = g.shape
-                box = np.zeros(g.shape, bool)
-                box[int(h * 0.3) : int(h * 0.7), int(w * 0.3) : int(w * 0.7)] = True
-                outer = np.zeros(g.shape, bool)
-                outer[int(h * 0.1) : int(h * 0.9), int(w * 0.1) : int(w * 0.9)] = True
+                # Grey is whole numbers: sums are exact, and the ring is what the box leaves of the outer part.
+                box = g[int(h * 0.3) : int(h * 0.7), int(w * 0.3) : int(w * 0.7)]
+                outer = g[int(h * 0.1) : int(h * 0.9), int(w * 0.1) : int(w * 0.9)]
+                n = outer.size - box.size
                 x = image.astype(np.int32)
-                ring = g[outer & ~box]
-                rows.append((key, g.mean(), g[box].mean() if box.any() else None, max(ring.mean(), 1.0) if ring.size else 1.0, float((x[..., 2] - np.maximum(x[..., 0], x[..., 1])).mean())))
-            yield pd.DataFrame(rows, columns=[frame, "mean", "center", "ring", "red"])
+                rows.append((key, bw, bh, g.mean(), box.mean() if box.size else None, max((outer.sum() - box.sum()) / n, 1.0) if n else 1.0, float((x[..., 2] - np.maximum(x[..., 0], x[..., 1])).mean())))
+            yield pd.DataFrame(rows, columns=[frame, "w", "h", "mean", "center", "ring", "red"])
 
-    return frames.select(frame, "w", "h", "pixels").mapInPandas(measure, f"{frame} {dict(frames.dtypes)[frame]}, mean double, center double, ring double, red double")
+    kinds = dict(frames.dtypes)
+    return frames.select(frame, "w", "h", "pixels").mapInPandas(measure, f"{frame} {kinds[frame]}, w {kinds['w']}, h {kinds['h']}, mean double, center double, ring double, red double")
 
 
 def crops(frames: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
@@ -165,13 +182,13 @@ def crops(frames: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for (_, r), image in zip(batch.iterrows(), _images(batch, "frame_w", "frame_h", "pixels"), strict=True):
+            for x, y, w, h, image in zip(batch["x"], batch["y"], batch["w"], batch["h"], _images(batch, "frame_w", "frame_h", "pixels"), strict=True):
                 if image is None:
                     out.append((0, 0, None))
                     continue
                 fh, fw, _ = image.shape
-                x0, x1 = (int(np.clip(np.rint(v * fw), 0, fw)) for v in (r["x"], r["x"] + r["w"]))
-                y0, y1 = (int(np.clip(np.rint(v * fh), 0, fh)) for v in (r["y"], r["y"] + r["h"]))
+                x0, x1 = (int(np.clip(np.rint(v * fw), 0, fw)) for v in (x, x + w))
+                y0, y1 = (int(np.clip(np.rint(v * fh), 0, fh)) for v in (y, y + h))
                 part = image[y0:y1, x0:x1]
                 out.append((part.shape[1], part.shape[0], part.tobytes()) if part.size else (0, 0, None))
             cw, ch, raw = zip(*out, strict=True) if out else ((), (), ())

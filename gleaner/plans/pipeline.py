@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from gleaner.functions.scalar import UNKNOWN
 from gleaner.operators import boxes, catalog, identify, pixels, vectors
 from gleaner.operators import frames as selection
+from gleaner.operators.durable import written
+from gleaner.operators.sizes import small_or_not
 
 #: Adds identity, role and confidence to a table of crops (frame, slot, crop_w, crop_h, crop).
 Identifier = Callable[[DataFrame], DataFrame]
@@ -112,21 +114,31 @@ def chosen_identifier(name: str, classical: Callable[[], Identifier], embedding:
 
 
 def gated(frames: DataFrame, frame: str) -> DataFrame:
-    """frames (frame, w, h, pixels) with state and tinted."""
+    """frames (frame, w, h, pixels) -> (frame, state, tinted, w, h): what is known of a frame without its pixels."""
     stats = pixels.frame_stats(frames, frame)
     state = selection.gate(F.coalesce("mean", F.lit(0.0)), F.col("center"), F.coalesce("ring", F.lit(1.0)))
-    return frames.join(stats.select(frame, state.alias("state"), F.coalesce(F.col("red") >= selection.RED, F.lit(False)).alias("tinted")), frame)
+    return stats.select(frame, state.alias("state"), F.coalesce(F.col("red") >= selection.RED, F.lit(False)).alias("tinted"), "w", "h")
 
 
 def run(frames: DataFrame, frame: str = "frame", identifier: Identifier = unknown_identifier, localizer: Localizer = localized, discount: bool = True) -> DataFrame:
-    """frames (frame, w, h, pixels; and, if known, state and tinted) -> one nested record a frame; only boards are localized."""
-    known = frames if "state" in frames.columns else gated(frames, frame)
-    known = known if "tinted" in known.columns else known.withColumn("tinted", F.lit(False))
-    board = known.where(F.col("state") == "board")
-    found = localizer(board, frame).select(frame, "slot", "x", "y", "w", "h")
-    named = identifier(pixels.crops(board, found, frame)).select(frame, "slot", "identity", "role", "confidence")
+    """frames (frame, w, h, pixels; and, if known, state and tinted) -> one nested record a frame; only boards are localized.
+
+    Each kernel sees a frame once: what the gate, the localizer and the crops give is written, and
+    goes to the pixels while it is small, so that pixels are not shuffled.
+    """
+    if "state" in frames.columns:
+        stated = frames if "tinted" in frames.columns else frames.withColumn("tinted", F.lit(False))
+        known, board = stated.select(frame, "state", "tinted", "w", "h"), stated.where(F.col("state") == "board")
+        whole = board
+    else:
+        known = written(gated(frames, frame))
+        board = frames.drop("tinted").join(small_or_not(known.where(F.col("state") == "board").select(frame, "state", "tinted"), 40), frame)
+        whole = frames  # of which only boards have boxes
+    found = written(localizer(board, frame).select(frame, "slot", "x", "y", "w", "h"))
+    cut = written(pixels.crops(whole, small_or_not(found, 64), frame))
+    named = identifier(cut).select(frame, "slot", "identity", "role", "confidence")
     cards = catalog.zipped(found, named, frame, "slot")
     if discount:
         identity, role, confidence = identify.tint_discounted(F.col("identity"), F.col("role"), F.col("confidence"), F.col("tinted"))
-        cards = cards.join(board.select(frame, "tinted"), frame).select(frame, "slot", "x", "y", "w", "h", identity.alias("identity"), role.alias("role"), confidence.alias("confidence"))
+        cards = cards.join(known.select(frame, "tinted"), frame).select(frame, "slot", "x", "y", "w", "h", identity.alias("identity"), role.alias("role"), confidence.alias("confidence"))
     return catalog.snapshots(known.select(frame, "state", "w", "h"), cards, frame)

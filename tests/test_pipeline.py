@@ -235,3 +235,27 @@ def test_model_input():
 
 def test_reference_of_one_row():
     assert pixels.reference_image(bytes([7, 9]), 2, 1, 1).tolist() == [[[7, 7, 7], [9, 9, 9]]]
+
+
+def test_kernels_see_a_frame_once(spark, monkeypatch):
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("frame_stats", "candidate_boxes")}
+
+    def noting(name):
+        kernel = getattr(pixels, name)
+
+        def run(shots, frame):
+            def note(batches):
+                for batch in batches:
+                    seen[name].add(len(batch))
+                    yield batch
+
+            return kernel(shots.select(frame, "w", "h", "pixels").mapInPandas(note, "frame int, w int, h int, pixels binary"), frame)
+
+        return run
+
+    for name in seen:
+        monkeypatch.setattr(pixels, name, noting(name))
+    shots = spark.createDataFrame([(k, 640, 360, frame_bytes((200, 120, 70, 90, GREEN))) for k in range(6)], "frame int, w int, h int, pixels binary")
+    out = pipeline.run(shots).collect()
+    assert [len(r["cards"]) for r in out] == [1] * 6
+    assert {name: a.value for name, a in seen.items()} == {"frame_stats": 6, "candidate_boxes": 6}
