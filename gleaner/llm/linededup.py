@@ -18,10 +18,12 @@ A line goes if an earlier one (by document id, line number, text) has Jaccard 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_row, read_table, small_or_not, stored, words_of
+from gleaner.llm.common import SPACES, as_row, read_table, small_or_not, stored
 
 #: Rarity is told by the slot of a word's hash, one byte each: a power of two, about a quarter of the vocabulary or more.
 SLOTS = 1 << 16
@@ -35,13 +37,21 @@ LONG_LINE, WIDE = 128, 8
 
 def slot_ranks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """One row, `ranks`: of each slot, the binary logarithm of the number of words in it, 0 to 31."""
-    words = docs.select(F.explode(words_of(F.lower("text"))).alias("w"))
-    counts = words.groupBy(_slot(F.xxhash64("w"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+    # Words are put in lower case, not texts: what is ASCII, as most words of any text are, takes a shorter way.
+    counts = words.groupBy(_slot(F.xxhash64(F.lower("w")), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     spine = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     rank = F.least(F.lit(31), F.floor(F.log2(F.coalesce("n", F.lit(1))))).cast("tinyint").alias("rank")
     return spine.join(counts, "slot", "left").select("slot", rank).groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", "rank"))).alias("r")).select(F.col("r.rank").alias("ranks"))
 
 
+def _words(text: Column) -> Column:
+    """The words of a text, with empty ones between them: cut at single spaces, which takes no pattern."""
+    for space in SPACES.replace(" ", ""):
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ")
+
+
 def _slot(h: Column, slots: int) -> Column:
     return h.bitwiseAND(F.lit(slots - 1)).cast("int")
 
@@ -52,20 +62,34 @@ def _ids(line: Column, ranks: Column, slots: int) -> Column:
     def coded(h: Column) -> Column:
         return F.shiftleft(F.get(ranks, _slot(h, slots)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words_of(F.lower(line)), lambda w: F.xxhash64(w)), coded)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(_words(F.lower(line)), ""), lambda w: F.xxhash64(w)), coded)))
 
 
 def _toggled(ids: Column, part: int, parts: int) -> Column:
     """64 of 64 * `parts` bits, of which each word toggles one."""
 
     def toggle(bits: Column, x: Column) -> Column:
-        own = F.shiftright(x, 6).bitwiseAND(F.lit(parts - 1))
-        one = (own == part).cast("long") if parts > 2 else own if part else own.bitwiseXOR(F.lit(1))
+        one = (F.shiftright(x, 6).bitwiseAND(F.lit(parts - 1)) == part).cast("long")
         return bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate(ids, F.lit(0).cast("long"), toggle)
 
 
+def _bits(ids: Column) -> list[Column]:
+    """128 bits, of which each word toggles one: as the halves' sum without carry, and the second half."""
+
+    def toggled(one: Callable[[Column], Column]) -> Column:
+        return F.aggregate(ids, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [toggled(lambda x: F.lit(1).cast("long")).alias("bits0"), toggled(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))).alias("bits1")]
+
+
+def _bits_may_link(a: Callable[[str], Column], b: Callable[[str], Column], sizes: Column) -> Column:
+    """As many bits differ as words at most that one has and the other lacks."""
+    both, second = (a(k).bitwiseXOR(b(k)) for k in ("bits0", "bits1"))
+    return (NUM + DEN) * (F.bit_count(both.bitwiseXOR(second)) + F.bit_count(second)) <= (DEN - NUM) * sizes
+
+
 def _lines(docs: DataFrame, ranks: DataFrame, slots: int) -> DataFrame:
     """(doc_id, line, text_hash, chars, ids) of every line that has a word. Lines are coded within their document's row, and only then set apart."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.length(x).alias("chars"), _ids(x, F.col("_ranks"), slots).alias("ids")))
@@ -83,7 +107,7 @@ def _classes(docs: DataFrame, ranks: DataFrame, slots: int) -> tuple[DataFrame,
     """(lines with their class's signature, classes with a number `c`, place, size, bitmap and prefix)."""
     first = F.slice("ids", F.lit(1), F.expr(f"size(ids) - (({NUM} * size(ids) + {DEN - 1}) div {DEN}) + 1").cast("int"))
     prefix = F.transform(first, lambda x: F.shiftright(x, 32).cast("int"))
-    bits = [_toggled(F.col("ids"), k, 2).alias(f"bits{k}") for k in (0, 1)]
+    bits = _bits(F.col("ids"))
     lines = stored(_lines(docs, ranks, slots).select("doc_id", "line", "text_hash", "chars", *_signature(), *bits, prefix.alias("prefix")))
     place = F.min(F.struct("doc_id", "line", "text_hash")).alias("place")
     classes = lines.groupBy("s1", "s2", "n").agg(place, *[F.first(x).alias(x) for x in ("bits0", "bits1", "prefix")])
@@ -95,9 +119,8 @@ def _may_link() -> Column:
     need = NUM * (F.col("a.n") + F.col("b.n"))
     length = (DEN * F.col("a.n") >= NUM * F.col("b.n")) & (DEN * F.col("b.n") >= NUM * F.col("a.n"))
     room = (NUM + DEN) * F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need
-    # As many bits differ as words at most that one has and the other lacks.
-    apart = F.bit_count(F.col("a.bits0").bitwiseXOR(F.col("b.bits0"))) + F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1")))
-    return (F.col("a.c") != F.col("b.c")) & length & room & ((NUM + DEN) * apart <= (DEN - NUM) * (F.col("a.n") + F.col("b.n")))
+    near = _bits_may_link(lambda k: F.col(f"a.{k}"), lambda k: F.col(f"b.{k}"), F.col("a.n") + F.col("b.n"))
+    return (F.col("a.c") != F.col("b.c")) & length & room & near
 
 
 def _met(classes: DataFrame) -> DataFrame:
@@ -134,15 +157,15 @@ def _counts(owners: DataFrame, classes: DataFrame, sets: DataFrame, block_words:
     weights = owners.groupBy("word").agg(F.sum("n").alias("weight")).where(F.col("weight") > block_words)
     cut = small_or_not(stored(weights.select("word", F.ceil(F.col("weight") / block_words).cast("int").alias("blocks"))), 32)
     dealt = owners.join(cut, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    whole = dealt.join(sets, "c").join(classes.select("c", "place"), "c")
-    meets = whole.select("word", "c", "place", "ids", "earlier", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = meets.groupBy("word", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("c", "place", "ids", "earlier", "own")).alias("all")).where(F.size("all") > 1)
+    whole = dealt.join(sets, "c").join(classes.select("c", "place", "bits0", "bits1"), "c")
+    meets = whole.select("word", "c", "place", "bits0", "bits1", "ids", "earlier", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = meets.groupBy("word", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("c", "place", "bits0", "bits1", "ids", "earlier", "own")).alias("all")).where(F.size("all") > 1)
 
     def links(a: Column, b: Column) -> Column:
         apart = (a["c"] != b["c"]) & ((F.col("x") == F.col("y")) | (a["own"] != b["own"]))
         sizes = F.size(a["ids"]) + F.size(b["ids"])
         near = (DEN * F.size(a["ids"]) >= NUM * F.size(b["ids"])) & (DEN * F.size(b["ids"]) >= NUM * F.size(a["ids"]))
-        return apart & near & ~F.arrays_overlap(a["earlier"], b["earlier"]) & ((NUM + DEN) * F.size(F.array_intersect(a["ids"], b["ids"])) >= NUM * sizes)
+        return apart & near & _bits_may_link(lambda k: a[k], lambda k: b[k], sizes) & ~F.arrays_overlap(a["earlier"], b["earlier"]) & ((NUM + DEN) * F.size(F.array_intersect(a["ids"], b["ids"])) >= NUM * sizes)
 
     def linked(a: Column) -> Column:
         partners = F.transform(F.filter("all", lambda b: links(a, b)), lambda b: b["place"])

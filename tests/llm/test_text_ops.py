@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleaner.llm import bytescan, decontaminate, language, licenses, linededup, mixing, quality, sharding, simhash, toxicity
+from gleaner.llm import bytescan, common, decontaminate, language, licenses, linededup, mixing, quality, sharding, simhash, toxicity
 from gleaner.llm.graph import components
 from tests import oracle
 from tests.llm.conftest import SCHEMA, crc
@@ -668,3 +668,19 @@ def test_sql(spark):
     con = oracle.connect(sf)
     for name, sql in registry.ORACLES.items():
         oracle.same(registry.QUERIES[name](spark, sf), sql, con)
+
+
+def test_lines_words_in_lower_case_as_their_text(spark):
+    """Case that depends on neighbours ends at white space: a word's lower case is its part of the line's."""
+    odd = ["ΟΔΟΣ ΣΑΣ\tΣ ÁΣ", "İstanbul İ DŽ ẞ", "\x0bΑΣ\x0cΣΑ\r", "  ", "ΑΣ'Σ ­Σ", "x Y Z"]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    by_word = F.filter(F.transform(linededup._words(F.col("text")), lambda w: F.lower(w)), lambda w: w != "")
+    by_line = F.array_remove(linededup._words(F.lower("text")), "")
+    by_pattern = common.words_of(F.lower("text"))
+    assert df.where((by_word != by_line) | (by_word != by_pattern)).count() == 0
+
+
+def test_line_bitmaps_bound_the_words_apart(spark):
+    df = spark.createDataFrame([([k * 7919 << 20 | j * 31 for j in range(n)],) for k, n in ((1, 1), (2, 5), (1, 90), (3, 400))], "ids array<long>")
+    r = df.select(*linededup._bits(F.col("ids")), *[linededup._toggled(F.col("ids"), k, 2).alias(f"t{k}") for k in (0, 1)]).collect()
+    assert all((x["bits0"] ^ x["bits1"], x["bits1"]) == (x["t0"], x["t1"]) for x in r)
