@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACES, as_row, read_table, small_or_not, stored
+from gleaner.llm.common import BROADCAST_BYTES, SPACES, as_row, read_table, small_or_not, stored
 
 #: Rarity is told by the slot of a word's hash, one byte each: a power of two, about a quarter of the vocabulary or more.
 SLOTS = 1 << 16
@@ -31,38 +31,50 @@ SLOTS = 1 << 16
 NUM, DEN = 4, 5
 #: Words of the sets of a block, of which two meet in a task (a larger set is a block of its own).
 BLOCK_WORDS = 1 << 15
-#: From this size on a set has a second bitmap, of WIDE longs.
-LONG_LINE, WIDE = 128, 8
+#: From the first size on a set has 128 bits instead of 64, from the second also a bitmap of WIDE longs.
+LINE_OF_128, LONG_LINE, WIDE = 96, 128, 8
 
 
 def slot_ranks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """One row, `ranks`: of each slot, the binary logarithm of the number of words in it, 0 to 31."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
-    # Words are put in lower case, not texts: what is ASCII, as most words of any text are, takes a shorter way.
-    counts = words.groupBy(_slot(F.xxhash64(F.lower("w")), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.lower("text").alias("text")).select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(_slot(F.xxhash64("w"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     spine = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     rank = F.least(F.lit(31), F.floor(F.log2(F.coalesce("n", F.lit(1))))).cast("tinyint").alias("rank")
     return spine.join(counts, "slot", "left").select("slot", rank).groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", "rank"))).alias("r")).select(F.col("r.rank").alias("ranks"))
 
 
+def _spaced(text: Column) -> Column:
+    """The text with single spaces for white space within lines; most texts have none of it, and one look tells."""
+    out, spaces = text, SPACES.replace(" ", "").replace("\n", "")
+    for space in spaces:
+        out = F.replace(out, F.lit(space), F.lit(" "))
+    return F.when(F.rlike(text, F.lit(f"[{spaces}]")), out).otherwise(text)
+
+
 def _words(text: Column) -> Column:
     """The words of a text, with empty ones between them: cut at single spaces, which takes no pattern."""
-    for space in SPACES.replace(" ", ""):
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.split(text, " ")
+    return F.split(F.replace(_spaced(text), F.lit("\n"), F.lit(" ")), " ")
 
 
 def _slot(h: Column, slots: int) -> Column:
     return h.bitwiseAND(F.lit(slots - 1)).cast("int")
 
 
+def _text_lines(text: Column) -> Column:
+    """The lines of a text, their words apart by spaces only."""
+    return F.split(_spaced(text), "\n")
+
+
 def _ids(line: Column, ranks: Column, slots: int) -> Column:
-    """The line's set of word ids, rarest first."""
+    """The set of word ids of a line of `_text_lines`, rarest first."""
 
     def coded(h: Column) -> Column:
         return F.shiftleft(F.get(ranks, _slot(h, slots)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(_words(F.lower(line)), ""), lambda w: F.xxhash64(w)), coded)))
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w)))
+    # Different hashes may have the same id.
+    return F.sort_array(F.array_distinct(F.transform(hashes, coded)))
 
 
 def _toggled(ids: Column, part: int, parts: int) -> Column:
@@ -75,28 +87,29 @@ def _toggled(ids: Column, part: int, parts: int) -> Column:
     return F.aggregate(ids, F.lit(0).cast("long"), toggle)
 
 
-def _bits(ids: Column) -> list[Column]:
-    """128 bits, of which each word toggles one: as the halves' sum without carry, and the second half."""
+def _bits(ids: Column, second_from: int = 0) -> list[Column]:
+    """128 bits, of which each word toggles one: as the halves' sum without carry, and the second half (null for sets below `second_from`)."""
 
     def toggled(one: Callable[[Column], Column]) -> Column:
         return F.aggregate(ids, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
-    return [toggled(lambda x: F.lit(1).cast("long")).alias("bits0"), toggled(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))).alias("bits1")]
+    second = F.when(F.size(ids) >= second_from, toggled(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))))
+    return [toggled(lambda x: F.lit(1).cast("long")).alias("bits0"), second.alias("bits1")]
 
 
 def _bits_may_link(a: Callable[[str], Column], b: Callable[[str], Column], sizes: Column) -> Column:
-    """As many bits differ as words at most that one has and the other lacks."""
+    """As many bits differ as words at most that one has and the other lacks; without a second half, the sum's bits are told apart."""
     both, second = (a(k).bitwiseXOR(b(k)) for k in ("bits0", "bits1"))
-    return (NUM + DEN) * (F.bit_count(both.bitwiseXOR(second)) + F.bit_count(second)) <= (DEN - NUM) * sizes
+    differ = F.coalesce(F.bit_count(both.bitwiseXOR(second)) + F.bit_count(second), F.bit_count(both))
+    return (NUM + DEN) * differ <= (DEN - NUM) * sizes
 
 
 def _lines(docs: DataFrame, ranks: DataFrame, slots: int) -> DataFrame:
-    """(doc_id, line, text_hash, chars, ids) of every line that has a word. Lines are coded within their document's row, and only then set apart."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.length(x).alias("chars"), _ids(x, F.col("_ranks"), slots).alias("ids")))
-    # Beside an explode, an expression is computed once a line: the text's hash comes before it.
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", ranks.scalar().alias("_ranks"))
-    rows = hashed.select("doc_id", "text_hash", F.posexplode(lines).alias("line", "x"))
-    return rows.where(F.size("x.ids") > 0).select("doc_id", "line", "text_hash", "x.chars", "x.ids")
+    """(doc_id, line, text_hash, chars, ids) of every line that has a word."""
+    # Beside an explode, an expression is computed once a line: the text's hash comes before it, the ranks after it.
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = hashed.select("doc_id", "text_hash", F.posexplode(_text_lines(F.col("text"))).alias("line", "x")).where(F.trim("x") != "")
+    return rows.withColumn("_ranks", ranks.scalar()).select("doc_id", "line", "text_hash", F.length("x").alias("chars"), _ids(F.col("x"), F.col("_ranks"), slots).alias("ids"))
 
 
 def _signature() -> list[Column]:
@@ -107,7 +120,7 @@ def _classes(docs: DataFrame, ranks: DataFrame, slots: int) -> tuple[DataFrame,
     """(lines with their class's signature, classes with a number `c`, place, size, bitmap and prefix)."""
     first = F.slice("ids", F.lit(1), F.expr(f"size(ids) - (({NUM} * size(ids) + {DEN - 1}) div {DEN}) + 1").cast("int"))
     prefix = F.transform(first, lambda x: F.shiftright(x, 32).cast("int"))
-    bits = _bits(F.col("ids"))
+    bits = _bits(F.col("ids"), LINE_OF_128)
     lines = stored(_lines(docs, ranks, slots).select("doc_id", "line", "text_hash", "chars", *_signature(), *bits, prefix.alias("prefix")))
     place = F.min(F.struct("doc_id", "line", "text_hash")).alias("place")
     classes = lines.groupBy("s1", "s2", "n").agg(place, *[F.first(x).alias(x) for x in ("bits0", "bits1", "prefix")])
@@ -131,11 +144,15 @@ def _met(classes: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, ranks: DataFrame, slots: int, wanted: DataFrame) -> DataFrame:
-    """(c, ids) of the `wanted` classes (c, place, s1, s2, n), from the lines at their places."""
-    ids = small_or_not(wanted.select("place.doc_id").distinct(), 24)
-    lines = _lines(docs.join(ids, "doc_id", "left_semi"), ranks, slots).select(F.struct("doc_id", "line", "text_hash").alias("place"), "ids", *_signature())
+    """(c, ids) of the `wanted` classes (c, place), from the lines at their places: no other line is coded again."""
+    by_text = wanted.groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("c", "place.line")).alias("wanted"))
+    if wanted.count() * 48 <= BROADCAST_BYTES:
+        by_text = F.broadcast(by_text)
+    found = docs.withColumn("text_hash", F.xxhash64("text")).join(by_text, ["doc_id", "text_hash"])
+    lines = found.select("wanted", _text_lines(F.col("text")).alias("lines")).select(F.inline("wanted"), "lines")
+    lines = lines.select("c", F.get("lines", F.col("line")).alias("x"), ranks.scalar().alias("_ranks"))
     # A row that repeats has its lines as often.
-    return lines.join(small_or_not(wanted, 80), ["place", "s1", "s2", "n"]).select("c", "ids").dropDuplicates(["c"])
+    return lines.select("c", _ids(F.col("x"), F.col("_ranks"), slots).alias("ids")).dropDuplicates(["c"])
 
 
 def _owners(met: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,7 +205,7 @@ def similar_lines(docs: DataFrame, slots: int = SLOTS, block_words: int = BLOCK_
     ranks = stored(slot_ranks(docs, slots))
     lines, classes = _classes(docs, ranks, slots)
     met = stored(_met(classes))
-    wanted = classes.join(met.select("c").distinct(), "c", "left_semi").select("c", "place", "s1", "s2", "n")
+    wanted = classes.join(met.select("c").distinct(), "c", "left_semi").select("c", "place")
     sets = stored(_whole_sets(docs, ranks, slots, stored(wanted)))
     counts = _counts(stored(_owners(met, classes, sets)), classes, sets, block_words)
     known = classes.select("s1", "s2", "n", "place", "c").join(stored(counts), "c", "left")

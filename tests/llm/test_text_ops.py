@@ -684,3 +684,27 @@ def test_line_bitmaps_bound_the_words_apart(spark):
     df = spark.createDataFrame([([k * 7919 << 20 | j * 31 for j in range(n)],) for k, n in ((1, 1), (2, 5), (1, 90), (3, 400))], "ids array<long>")
     r = df.select(*linededup._bits(F.col("ids")), *[linededup._toggled(F.col("ids"), k, 2).alias(f"t{k}") for k in (0, 1)]).collect()
     assert all((x["bits0"] ^ x["bits1"], x["bits1"]) == (x["t0"], x["t1"]) for x in r)
+
+
+def test_line_bitmaps_of_unlike_sizes_bound_the_words_apart(spark):
+    """A small set has no second half: what differs is then told by the sum, and stays a bound beside sets that have one."""
+    small, large = linededup.LINE_OF_128 - 1, linededup.LINE_OF_128
+    sets = [list(range(k, k + n * 31, 31)) for k, n in ((0, 4), (0, 5), (0, small), (0, large), (31, large), (0, 3 * large))]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "k int, ids array<long>").select("k", "ids", *linededup._bits(F.col("ids"), large))
+    assert [r["bits1"] is None for r in df.orderBy("k").collect()] == [len(s) < large for s in sets]
+    sizes = F.size("a.ids") + F.size("b.ids")
+    near = linededup._bits_may_link(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), sizes)
+    rows = df.alias("a").crossJoin(df.alias("b")).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), near.alias("near")).collect()
+    apart = {(i, j): len(set(a) ^ set(b)) for i, a in enumerate(sets) for j, b in enumerate(sets)}
+    assert all(r["near"] for r in rows if 9 * apart[r["i"], r["j"]] <= len(sets[r["i"]]) + len(sets[r["j"]]))
+    assert not next(r["near"] for r in rows if (r["i"], r["j"]) == (0, 2))
+
+
+def test_whole_sets_are_those_of_the_lines_at_their_places(spark):
+    docs = spark.createDataFrame([(1, "A b\tc\n\x0b \nb A c d"), (1, "A b\tc\n\x0b \nb A c d"), (1, "x\ny z")], "doc_id long, text string")
+    ranks = linededup.stored(linededup.slot_ranks(docs, 64))
+    lines = {(r["text_hash"], r["line"]): r["ids"] for r in linededup._lines(docs, ranks, 64).collect()}
+    assert sorted(len(ids) for ids in lines.values()) == [1, 2, 3, 4]
+    places = sorted(lines)
+    wanted = spark.createDataFrame([(c, (1, line, h)) for c, (h, line) in enumerate(places[1:])], "c long, place struct<doc_id:long,line:int,text_hash:long>")
+    assert {r["c"]: r["ids"] for r in linededup._whole_sets(docs, ranks, 64, wanted).collect()} == {c: lines[p] for c, p in enumerate(places[1:])}
