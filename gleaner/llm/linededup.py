@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import BROADCAST_BYTES, SPACES, as_row, read_table, small_or_not, stored
 
-#: Rarity is told by the slot of a word's hash, one byte each: a power of two, about a quarter of the vocabulary or more.
+#: Rarity is told by the slot of a word's hash, eight bytes each: a power of two, about a quarter of the vocabulary or more.
 SLOTS = 1 << 16
 #: Jaccard threshold NUM / DEN, so that an overlap o of sizes m and n suffices if (NUM + DEN) * o >= NUM * (m + n).
 NUM, DEN = 4, 5
@@ -36,12 +36,12 @@ LINE_OF_128, LONG_LINE, WIDE = 96, 128, 8
 
 
 def slot_ranks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row, `ranks`: of each slot, the binary logarithm of the number of words in it, 0 to 31."""
+    """One row, `ranks`: of each slot, the binary logarithm of the number of words in it, 0 to 31, as the upper bits of an id."""
     words = docs.select(F.lower("text").alias("text")).select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
     counts = words.groupBy(_slot(F.xxhash64("w"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     spine = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    rank = F.least(F.lit(31), F.floor(F.log2(F.coalesce("n", F.lit(1))))).cast("tinyint").alias("rank")
-    return spine.join(counts, "slot", "left").select("slot", rank).groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", "rank"))).alias("r")).select(F.col("r.rank").alias("ranks"))
+    rank = F.least(F.lit(31), F.floor(F.log2(F.coalesce("n", F.lit(1))))).cast("long")
+    return spine.join(counts, "slot", "left").select("slot", F.shiftleft(rank, 58).alias("rank")).groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", "rank"))).alias("r")).select(F.col("r.rank").alias("ranks"))
 
 
 def _spaced(text: Column) -> Column:
@@ -49,7 +49,10 @@ def _spaced(text: Column) -> Column:
     out, spaces = text, SPACES.replace(" ", "").replace("\n", "")
     for space in spaces:
         out = F.replace(out, F.lit(space), F.lit(" "))
-    return F.when(F.rlike(text, F.lit(f"[{spaces}]")), out).otherwise(text)
+    found = F.contains(text, F.lit(spaces[0]))
+    for space in spaces[1:]:
+        found = found | F.contains(text, F.lit(space))
+    return F.when(found, out).otherwise(text)
 
 
 def _words(text: Column) -> Column:
@@ -70,10 +73,10 @@ def _ids(line: Column, ranks: Column, slots: int) -> Column:
     """The set of word ids of a line of `_text_lines`, rarest first."""
 
     def coded(h: Column) -> Column:
-        return F.shiftleft(F.get(ranks, _slot(h, slots)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+        return F.get(ranks, _slot(h, slots)).bitwiseOR(F.shiftrightunsigned(h, 6))
 
-    hashes = F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w)))
-    # Different hashes may have the same id.
+    hashes = F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w))
+    # A set once all is coded, not before: different hashes may have the same id.
     return F.sort_array(F.array_distinct(F.transform(hashes, coded)))
 
 
@@ -123,7 +126,8 @@ def _classes(docs: DataFrame, ranks: DataFrame, slots: int) -> tuple[DataFrame,
     bits = _bits(F.col("ids"), LINE_OF_128)
     lines = stored(_lines(docs, ranks, slots).select("doc_id", "line", "text_hash", "chars", *_signature(), *bits, prefix.alias("prefix")))
     place = F.min(F.struct("doc_id", "line", "text_hash")).alias("place")
-    classes = lines.groupBy("s1", "s2", "n").agg(place, *[F.first(x).alias(x) for x in ("bits0", "bits1", "prefix")])
+    # Few lines are copies: they go to their class's task at once, and are sorted there only.
+    classes = lines.repartition("s1").groupBy("s1", "s2", "n").agg(place, *[F.first(x).alias(x) for x in ("bits0", "bits1", "prefix")])
     return lines.drop("bits0", "bits1", "prefix"), stored(classes.withColumn("c", F.monotonically_increasing_id()))
 
 
@@ -175,14 +179,16 @@ def _counts(owners: DataFrame, classes: DataFrame, sets: DataFrame, block_words:
     cut = small_or_not(stored(weights.select("word", F.ceil(F.col("weight") / block_words).cast("int").alias("blocks"))), 32)
     dealt = owners.join(cut, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     whole = dealt.join(sets, "c").join(classes.select("c", "place", "bits0", "bits1"), "c")
-    meets = whole.select("word", "c", "place", "bits0", "bits1", "ids", "earlier", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = meets.groupBy("word", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("c", "place", "bits0", "bits1", "ids", "earlier", "own")).alias("all")).where(F.size("all") > 1)
+    meets = whole.select("word", "c", "n", "place", "bits0", "bits1", "ids", "earlier", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = meets.groupBy("word", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("c", "n", "place", "bits0", "bits1", "ids", "earlier", "own")).alias("all")).where(F.size("all") > 1)
 
     def links(a: Column, b: Column) -> Column:
         apart = (a["c"] != b["c"]) & ((F.col("x") == F.col("y")) | (a["own"] != b["own"]))
-        sizes = F.size(a["ids"]) + F.size(b["ids"])
-        near = (DEN * F.size(a["ids"]) >= NUM * F.size(b["ids"])) & (DEN * F.size(b["ids"]) >= NUM * F.size(a["ids"]))
-        return apart & near & _bits_may_link(lambda k: a[k], lambda k: b[k], sizes) & ~F.arrays_overlap(a["earlier"], b["earlier"]) & ((NUM + DEN) * F.size(F.array_intersect(a["ids"], b["ids"])) >= NUM * sizes)
+        sizes = a["n"] + b["n"]
+        near = (DEN * a["n"] >= NUM * b["n"]) & (DEN * b["n"] >= NUM * a["n"])
+        # Of sets that link, few words are in one only: these are gathered, not those in both.
+        shared = a["n"] - F.size(F.array_except(a["ids"], b["ids"]))
+        return near & _bits_may_link(lambda k: a[k], lambda k: b[k], sizes) & apart & ~F.arrays_overlap(a["earlier"], b["earlier"]) & ((NUM + DEN) * shared >= NUM * sizes)
 
     def linked(a: Column) -> Column:
         partners = F.transform(F.filter("all", lambda b: links(a, b)), lambda b: b["place"])

@@ -708,3 +708,27 @@ def test_whole_sets_are_those_of_the_lines_at_their_places(spark):
     places = sorted(lines)
     wanted = spark.createDataFrame([(c, (1, line, h)) for c, (h, line) in enumerate(places[1:])], "c long, place struct<doc_id:long,line:int,text_hash:long>")
     assert {r["c"]: r["ids"] for r in linededup._whole_sets(docs, ranks, 64, wanted).collect()} == {c: lines[p] for c, p in enumerate(places[1:])}
+
+
+def test_lines_are_coded_without_patterns_and_made_sets_once(spark):
+    docs = spark.createDataFrame([(1, "b  a\tB c\x0bc\x0cd\rD "), (2, "a a a a\n \na  b")], "doc_id long, text string")
+    ranks = linededup.slot_ranks(docs, 64)
+    lines = linededup._lines(docs, ranks, 64)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("array_distinct(") == 1
+    upper = ranks.first()["ranks"]
+    want = lambda line: sorted({upper[h & 63] | (h % (1 << 64)) >> 6 for h in (xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split())})
+    assert {(r["doc_id"], r["line"]): r["ids"] for r in lines.collect()} == {(1, 0): want("a b c d"), (2, 0): want("a"), (2, 2): want("a b")}
+    assert len(upper) == 64 and all(x >> 58 << 58 == x for x in upper)
+
+
+def test_copies_of_lines_meet_in_their_class_without_a_partial_sort(spark):
+    """Lines go to the task of their class as they are: one sort, of what has met there."""
+    docs = spark.createDataFrame([(k, "one two three\nfour five") for k in range(4)], "doc_id long, text string")
+    made = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(linededup, "stored", lambda df: made.append(df) or common.stored(df))
+        lines, classes = linededup._classes(docs, common.stored(linededup.slot_ranks(docs, 64)), 64)
+    plan = made[-1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 == plan.count("REPARTITION_BY_COL")
+    assert lines.count() == 8 and sorted((r["n"], r["place"]["doc_id"], r["place"]["line"]) for r in classes.collect()) == [(2, 0, 1), (3, 0, 0)]
